@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import contains_any, percent_decode2
+from tracewright.functions.text import contains_any, let, percent_decode2
 
 # Needles for each web request and script indicator.
 TAUTOLOGIES = ("or1=1", "or1=1--", "or'1'='1", 'or"1"="1', "or1<2", "or1like1", "')or('")
@@ -123,7 +123,7 @@ def cookie_archive(value: Column) -> Column:
     head = F.hex(F.substring(data, 1, 8))
     kind = F.coalesce(*[F.when(head.startswith(magic), name) for magic, name in ARCHIVE_MAGIC])
     size = F.conv(F.concat(F.hex(F.substring(data, 28, 1)), F.hex(F.substring(data, 27, 1))), 16, 10).cast("int")
-    member = F.when((kind == "zip") & (size > 0), F.decode(F.substr(data, F.lit(31), size), "UTF-8"))
+    member = F.when((kind == "zip") & (size > 0), F.make_valid_utf8(F.substr(data, F.lit(31), size).cast("string")))
     return F.when(kind.isNotNull(), F.struct(kind.alias("container"), member.alias("member")))
 
 
@@ -164,6 +164,8 @@ BARE_FILE = r"(?<![\\/\w.@\-])[\w\-$~]+(?:\.[\w\-]+)*\.(?i:" + _EXT + r")(?![\w\
 DOMAIN = r"(?<![@\w./\\\-])(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w\\/@]|\.\w)"
 CLAUSE_BREAK = r"(?<=[.;!?])\s+|\n+|,?\s+but\s+|(?<=not (?:observed|present|found|seen))\s+and\s+"
 NEGATION = r"(?i)\b(?:not|no|never|neither|nor|without|didn't|wasn't|weren't)\b"
+# Every observable has a separator inside it, or is a long run of hex digits; other clauses are skipped early.
+OBSERVABLE_HINT = r"[\\/@]|[A-Za-z0-9_]\.[A-Za-z0-9]|[0-9a-fA-F]{32}"
 HASH_LABEL = r"(?i)\b(?:sha-?(?:1|256)|md5)\b"
 
 
@@ -172,33 +174,46 @@ def _every(text: Column, shape: str) -> Column:
     return F.transform(found, lambda v: F.regexp_replace(v, r"[.,;:!?)\]]+$", ""))
 
 
-def extract_iocs(text: Column, bare_hashes: bool = True) -> Column:
-    """Observables as a map of kind to sorted distinct values; negated clauses give nothing."""
-    kept = F.filter(F.split(text, CLAUSE_BREAK), lambda c: ~c.rlike(NEGATION))
-    prose = F.array_join(kept, "\n")
-    hashed = prose if bare_hashes else F.array_join(F.filter(kept, lambda c: c.rlike(HASH_LABEL)), "\n")
+def _kinds(prose: Column, hashed: Column) -> Column:
     rest = prose
     for shape in (URL, EMAIL, REGISTRY_KEY, CONTROL_SET_KEY):
         rest = F.regexp_replace(rest, shape, " ")
-    names = rest
-    for shape in (UNC_PATH, DRIVE_PATH, UNIX_PATH):
-        names = F.regexp_replace(names, shape, " ")
+
+    def rest_kinds(r: Column) -> Column:
+        names = r
+        for shape in (UNC_PATH, DRIVE_PATH, UNIX_PATH):
+            names = F.regexp_replace(names, shape, " ")
+        return let(names, lambda n: F.array(
+            _every(F.regexp_replace(n, BARE_FILE, " "), DOMAIN),
+            F.concat(_every(r, DRIVE_PATH), _every(r, UNC_PATH), _every(F.regexp_replace(r, UNC_PATH, " "), UNIX_PATH), _every(n, BARE_FILE)),
+        ))
+
     control = F.transform(_every(prose, CONTROL_SET_KEY), lambda k: F.concat(F.lit("HKLM\\SYSTEM\\"), k))
-    kinds = {
-        "urls": _every(prose, URL),
-        "emails": _every(F.regexp_replace(prose, URL, " "), EMAIL),
-        "ips": _every(prose, IPV4),
-        "domains": _every(F.regexp_replace(names, BARE_FILE, " "), DOMAIN),
-        "paths": F.concat(
-            _every(rest, DRIVE_PATH),
-            _every(rest, UNC_PATH),
-            _every(F.regexp_replace(rest, UNC_PATH, " "), UNIX_PATH),
-            _every(names, BARE_FILE),
-        ),
-        "registry": F.concat(_every(prose, REGISTRY_KEY), control),
-        "hashes": F.transform(_every(hashed, HEX_DIGEST), F.lower),
-    }
-    return F.create_map(*[part for kind, found in kinds.items() for part in (F.lit(kind), F.array_sort(F.array_distinct(found)))])
+
+    def gather(found: Column) -> Column:
+        kinds = {
+            "urls": _every(prose, URL),
+            "emails": _every(F.regexp_replace(prose, URL, " "), EMAIL),
+            "ips": _every(prose, IPV4),
+            "domains": found[0],
+            "paths": found[1],
+            "registry": F.concat(_every(prose, REGISTRY_KEY), control),
+            "hashes": F.transform(_every(hashed, HEX_DIGEST), F.lower),
+        }
+        return F.create_map(*[part for kind, vals in kinds.items() for part in (F.lit(kind), F.array_sort(F.array_distinct(vals)))])
+
+    return let(rest, lambda r: let(rest_kinds(r), gather))
+
+
+def extract_iocs(text: Column, bare_hashes: bool = True) -> Column:
+    """Observables as a map of kind to sorted distinct values; negated clauses give nothing."""
+    kept = F.filter(F.split(text, CLAUSE_BREAK), lambda c: c.rlike(OBSERVABLE_HINT) & ~c.rlike(NEGATION))
+
+    def read(clauses: Column) -> Column:
+        labelled = clauses if bare_hashes else F.filter(clauses, lambda c: c.rlike(HASH_LABEL))
+        return let(F.array_join(clauses, "\n"), lambda prose: _kinds(prose, F.array_join(labelled, "\n")))
+
+    return let(kept, read)
 
 
 def recall_terms(technique: Column, text: Column) -> Column:

@@ -76,11 +76,20 @@ def percent_decode2(text: Column) -> Column:
 
 def clip_bytes(text: Column, limit: int, suffix: str = "") -> Column:
     """First characters whose UTF-8 form fits in `limit` bytes, plus `suffix` when something was cut."""
-    fits = F.octet_length(text) <= limit
-    # Cut the bytes, then drop the replacement character a split character leaves behind.
-    head = F.decode(F.substring(F.encode(text, "UTF-8"), 1, limit), "UTF-8")
-    head = F.regexp_replace(head, "\uFFFD+$", "")
-    return F.when(fits, text).otherwise(F.concat(head, F.lit(suffix)))
+    data = F.encode(text, "UTF-8")
+
+    def inner(position: int) -> Column:
+        # Bytes 80 to BF continue a character.
+        return F.hex(F.substring(data, position, 1)).between("80", "BF")
+
+    size = (
+        F.when(~inner(limit + 1), limit)
+        .when(~inner(limit), limit - 1)
+        .when(~inner(limit - 1), limit - 2)
+        .otherwise(limit - 3)
+    )
+    head = F.decode(F.substr(data, F.lit(1), size), "UTF-8")
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(head, F.lit(suffix)))
 
 
 def cookie_pairs(header: Column, max_name: int = 64, max_value: int = 256) -> Column:
@@ -118,6 +127,11 @@ def neutralize_counts(text: Column) -> Column:
     return F.map_from_entries(F.transform(hit, lambda p: F.struct(p["k"], p["n"])))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(text: Column, needles) -> Column:
     """True where any literal needle occurs in the text."""
     hit = F.lit(False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,11 +84,17 @@ def local_accounts(registry: DataFrame) -> DataFrame:
     return dedup_leads(out, ["host", "account"], ["us", "row_no"]).withColumn("technique", F.lit("T1136.001"))
 
 
-def decode_utf16_hex(data: Column) -> Column:
+@F.pandas_udf("string")
+def decode_utf16_hex(data: pd.Series) -> pd.Series:
     """Text before the first terminator of a UTF-16LE blob given in hex; null when it is not hex or empty."""
-    ok = data.rlike(r"^(?:[0-9a-fA-F]{2})+$")
-    text = F.decode(F.unhex(F.when(ok, data)), "UTF-16LE")
-    return F.nullif(F.split(text, "\u0000")[0], F.lit(""))
+
+    def one(value):
+        try:
+            return bytes.fromhex(value).decode("utf-16-le", "ignore").split("\0")[0] or None
+        except (TypeError, ValueError):
+            return None
+
+    return data.map(one)
 
 
 def recent_use(registry: DataFrame) -> DataFrame:

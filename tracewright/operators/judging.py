@@ -184,7 +184,7 @@ def contradiction_rows(counts: DataFrame, keys=("case_id",)) -> DataFrame:
     rules = F.array(*[F.struct(F.lit(i).alias("rule_no"), F.lit(r).alias("reason"), F.col(r).alias("partners")) for i, r in enumerate(("opposite_tier", "other_technique", "low_overlap"), 1)])
     each = counts.select(*keys, "finding_id", F.explode(rules).alias("r")).select(*keys, "finding_id", "r.*").where("partners > 0")
     numbered = dense_index(each, list(keys), ["finding_id", "rule_no"], F.substring("finding_id", 1, 6), "n", start=1)
-    return numbered.withColumn("contradiction_id", F.concat(F.lit("ctr-"), F.lpad(F.col("n").cast("string"), 4, "0"))).drop("n", "rule_no")
+    return numbered.withColumn("contradiction_id", F.format_string("ctr-%04d", F.col("n"))).drop("n", "rule_no")
 
 
 def ablate(classed: DataFrame, classes, keys=("case_id",)) -> DataFrame:

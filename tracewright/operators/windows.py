@@ -73,7 +73,7 @@ def mfa_fatigue(events: DataFrame, denied: Column, approved: Column, prompts: in
 def number_rows(df: DataFrame, keys, order, bucket: Column, prefix: str, name: str = "row_id") -> DataFrame:
     """Ids such as ctr-0001 in order within each key."""
     out = dense_index(df, list(keys), list(order), bucket, "__n", start=1)
-    return out.withColumn(name, F.concat(F.lit(prefix + "-"), F.lpad(F.col("__n").cast("string"), 4, "0"))).drop("__n")
+    return out.withColumn(name, F.format_string(prefix + "-%04d", F.col("__n"))).drop("__n")
 
 
 def pair_positions(df: DataFrame, keys, pool: str, order, bucket: Column, sides=("A", "B")) -> DataFrame:

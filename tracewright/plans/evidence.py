@@ -23,7 +23,7 @@ EVIDENCE = {
                CASE event_type WHEN 'view' THEN 'svchost.exe' WHEN 'signup' THEN 'ManagementAgentHost.exe'
                     ELSE concat(event_type, '_', CAST(event_id % 211 AS STRING), '.exe') END AS image_name,
                CAST(1000 + event_id % 400 AS BIGINT) AS pid, CAST(1000 + (event_id * 7) % 400 AS BIGINT) AS ppid,
-               US(ts) AS us, event_id
+               US(ts) AS us, event_id, event_type AS origin
         FROM events""",
     "event_log": """
         SELECT event_id AS record_id, US(ts) AS us, concat('host-', CAST(user_id % 20 AS STRING)) AS host,
@@ -101,7 +101,7 @@ EVIDENCE = {
         FROM conversations""",
     "cases": """
         SELECT concat('case-', CAST(c_custkey AS STRING)) AS case_id, c_custkey % 3 > 0 AS substantive
-        FROM customer WHERE c_custkey < 60""",
+        FROM customer""",
     "calls": """
         SELECT concat('case-', CAST(o_custkey % 40 AS STRING)) AS case_id, concat('tc-', CAST(o_orderkey AS STRING)) AS tool_call_id,
                concat('tool_', CAST(o_orderkey % 9 AS STRING)) AS tool,
