@@ -46,4 +46,4 @@ def query(name: str, check: str | None = None, uses: tuple = ()):
 
 
 def load_all() -> None:
-    from tracewright.plans import fleet_plans, log_plans, text_plans  # noqa: F401
+    from tracewright.plans import disk_plans, fleet_plans, log_plans, text_plans, traffic_plans  # noqa: F401

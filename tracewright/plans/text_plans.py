@@ -75,10 +75,14 @@ def _(src):
     return src.findings.select("finding_id", "case_id", F.md5(text.enforce_prefix(F.col("description"), F.col("confidence"))).alias("digest"))
 
 
-@query("clipped_texts", None)
+@query(
+    "clipped_texts",
+    """WITH c AS (SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text ELSE concat(left(text, list_max(list_filter(range(0, 201), lambda n: strlen(left(text, CAST(n AS BIGINT))) <= 200))), '...') END AS t FROM documents)
+       SELECT doc_id, strlen(t) AS bytes, md5(t) AS digest FROM c""",
+)
 def _(src):
     clipped = text.clip_bytes(F.col("text"), 200, "...")
-    return src.given("documents").select("doc_id", F.octet_length(clipped).alias("bytes"), F.md5(clipped).alias("digest"))
+    return src.given("documents").select("doc_id", F.octet_length(clipped).cast("long").alias("bytes"), F.md5(clipped).alias("digest"))
 
 
 @query(
@@ -309,7 +313,7 @@ def _(src):
     return joins.apply_signatures(src.findings).select("finding_id", "case_id", "signature", "signature_technique")
 
 
-@query("cookie_archives", None)
+@query("cookie_archives", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'zip' END AS container, CASE WHEN doc_id % 2 = 0 THEN 'notes.txt' END AS member FROM documents")
 def _(src):
     # Each document's own bytes behind an archive header, as a cookie would carry them.
     zip_head = F.unhex(F.lit("504B0304" + "00" * 22 + "09000000" + "6E6F7465732E747874"))
