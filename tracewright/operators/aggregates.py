@@ -60,7 +60,7 @@ def http_requests(pkts: DataFrame, keys=()) -> DataFrame:
         pkts.where("http_host <> '' AND http_method <> ''")
         .groupBy(*keys, "src", "dst", F.col("http_host").alias("host"), F.col("http_method").alias("method"))
         .agg(
-            F.min_by("http_uri", "pkt_no").alias("uri"),
+            F.min_by("http_uri", F.struct("pkt_no", "http_uri")).alias("uri"),
             F.bool_or(F.col("cookie") != "").alias("has_cookie"),
             F.count(F.lit(1)).alias("requests"),
             F.min(stamped).alias("first_ts"),

@@ -102,7 +102,6 @@ def merkle_root(leaf_rows: DataFrame, keys=("case_id",), bits: int = 12, rounds:
     """Root per key, in rounds that fold 2^bits nodes to one; three rounds cover 2^36 leaves of one log."""
     key = list(keys)
     nodes = _level_zero(leaf_rows, key)
-    total = F.col("n").alias("leaf_count")
     nodes = nodes.withColumn("leaf_count", F.col("n"))
     for _ in range(rounds):
         packed = F.transform(F.array_sort(F.collect_list(F.struct("idx", "h"))), lambda x: x["h"])
@@ -125,7 +124,7 @@ def inclusion_proofs(leaf_rows: DataFrame, chosen: DataFrame, keys=("case_id",),
         alone = F.col("n") <= (1 << bits)
         width = 1 << bits
 
-        def climb(state: Column, _, alone=alone) -> Column:
+        def climb(state: Column, _step: Column) -> Column:
             level, i = state["level"], state["i"]
             right = i % 2 == 1
             mate = F.coalesce(F.get(level, F.when(right, i - 1).otherwise(i + 1)), F.get(level, i))
@@ -149,16 +148,12 @@ def check_proofs(proofs: DataFrame) -> DataFrame:
     return proofs.withColumn("proof_ok", rebuilt == F.col("root"))
 
 
-def verify_manifest(manifest: DataFrame, audit: DataFrame, keys=("case_id",), order: str = "line_no") -> DataFrame:
+def compare_manifest(manifest: DataFrame, chain: DataFrame, derived: DataFrame, keys=("case_id",)) -> DataFrame:
     """One row per sealed case: chain, count, final digest, leaves, root and signature presence.
 
     Manifest columns: merkle_root_hex, leaf_count, audit_log_record_count, audit_log_final_hash, leaves, signature_present.
     """
     key = list(keys)
-    chain = verify_chain(audit, keys, order)
-    fields = {"kind": "$.kind", "seq": "$.seq", "output_hash": "$.payload.output_hash", "tool_call_id": "$.payload.tool_call_id", "finding_id": "$.payload.finding_id"}
-    read = audit.select(*key, "line", *[F.get_json_object("line", p).alias(c) for c, p in fields.items()]).withColumn("seq", F.col("seq").try_cast("long"))
-    derived = leaves(read, keys)
     declared = manifest.select(*key, F.posexplode("leaves").alias("leaf_idx", "leaf")).select(*key, F.col("leaf_idx").cast("long"), "leaf.*")
     differing = leaf_diff(declared, derived, keys).groupBy(*key).agg(F.count(F.lit(1)).alias("leaf_differences"))
     rebuilt = merkle_root(declared, keys).withColumnRenamed("leaf_count", "declared_leaves")
@@ -178,6 +173,13 @@ def verify_manifest(manifest: DataFrame, audit: DataFrame, keys=("case_id",), or
     return out.select(*key, *flags, every.alias("overall"), "break_at", "reason")
 
 
+def verify_manifest(manifest: DataFrame, audit: DataFrame, keys=("case_id",), order: str = "line_no") -> DataFrame:
+    """compare_manifest against the chain and leaves read from the log's own lines."""
+    fields = {"kind": "$.kind", "seq": "$.seq", "output_hash": "$.payload.output_hash", "tool_call_id": "$.payload.tool_call_id", "finding_id": "$.payload.finding_id"}
+    read = audit.select(*keys, "line", *[F.get_json_object("line", p).alias(c) for c, p in fields.items()]).withColumn("seq", F.col("seq").try_cast("long"))
+    return compare_manifest(manifest, verify_chain(audit, keys, order), leaves(read, keys), keys)
+
+
 def verify_traces(lines: DataFrame) -> DataFrame:
     """verify_chain over many files at once, keyed by file."""
     return verify_chain(lines, keys=("file",))

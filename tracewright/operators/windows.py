@@ -20,12 +20,17 @@ def temporal_clusters(events: DataFrame, us: str = "us", host: str = "host", gap
     Events inside one gap-wide cell always chain, so a cell is one row (earliest, latest, count) whatever its
     size; chaining then runs over cells, in blocks of a week.
     """
-    per_host = events.where(F.col(us).isNotNull()).groupBy(slot(us, gap_us).alias("cell"), F.col(host).alias("__h")).agg(
+    per_host = events.where(F.col(us).isNotNull()).groupBy(slot(us, gap_us).alias("cell"), F.col(host).alias("host")).agg(
         F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")
     )
+    return clusters_from_cells(per_host, gap_us, min_hosts)
+
+
+def clusters_from_cells(per_host: DataFrame, gap_us: int = 60_000_000, min_hosts: int = 2) -> DataFrame:
+    """Clusters from (cell, host, lo, hi, n) rows, as the batch job or the stream leaves them."""
     cells = per_host.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     chained = islands(cells, "cell", "lo", "hi", gap_us, max(1, 7 * DAY_US // gap_us)).select("cell", "island_start")
-    per_chain_host = per_host.join(chained, "cell").groupBy("island_start", "__h").agg(
+    per_chain_host = per_host.join(chained, "cell").groupBy("island_start", "host").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")
     )
     return (

@@ -74,12 +74,12 @@ EVIDENCE = {
         FROM lineitem""",
     "usn": """
         SELECT concat('host-', CAST(o_orderkey % 20 AS STRING)) AS host,
-               concat('job', CAST(o_orderkey % 700 AS STRING), CASE o_orderkey % 5 WHEN 0 THEN '.zip' WHEN 1 THEN '.docx' WHEN 2 THEN '.cab' WHEN 3 THEN '.xlsx' ELSE '.rar' END) AS filename,
+               concat('job', CAST(o_orderkey % 700 AS STRING), CASE CAST(floor(o_orderkey / 7) AS BIGINT) % 5 WHEN 0 THEN '.zip' WHEN 1 THEN '.docx' WHEN 2 THEN '.cab' WHEN 3 THEN '.xlsx' ELSE '.rar' END) AS filename,
                CAST(256 AS BIGINT) AS reason_mask, US(o_orderdate) AS us, o_orderkey AS mft_entry, o_orderkey * 10 AS usn
         FROM orders
         UNION ALL
         SELECT concat('host-', CAST(l_orderkey % 20 AS STRING)) AS host,
-               concat('job', CAST(l_orderkey % 700 AS STRING), CASE l_orderkey % 5 WHEN 0 THEN '.zip' WHEN 1 THEN '.docx' WHEN 2 THEN '.cab' WHEN 3 THEN '.xlsx' ELSE '.rar' END) AS filename,
+               concat('job', CAST(l_orderkey % 700 AS STRING), CASE CAST(floor(l_orderkey / 7) AS BIGINT) % 5 WHEN 0 THEN '.zip' WHEN 1 THEN '.docx' WHEN 2 THEN '.cab' WHEN 3 THEN '.xlsx' ELSE '.rar' END) AS filename,
                CAST(CASE WHEN l_linenumber % 2 = 0 THEN 512 ELSE 2 END AS BIGINT) AS reason_mask,
                US(l_shipdate) + l_linenumber * 1000000 AS us, l_orderkey AS mft_entry, l_orderkey * 10 + l_linenumber AS usn
         FROM lineitem""",
@@ -92,7 +92,7 @@ EVIDENCE = {
                CASE WHEN (conv_id + turn) % 13 = 0 THEN '' ELSE concat('tc-', CAST(CAST(floor(conv_id / 2) AS BIGINT) AS STRING)) END AS tool_call_id,
                concat('/evidence/', CASE conv_id % 5 WHEN 0 THEN 'registry' WHEN 1 THEN 'prefetch' WHEN 2 THEN 'Security.evtx' WHEN 3 THEN 'memory.raw' ELSE 'mail' END, '/', CAST(conv_id % 40 AS STRING)) AS artifact_path,
                CASE (conv_id * 3 + turn * 2) % 5 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'INFERRED' WHEN 2 THEN 'HYPOTHESIS' WHEN 3 THEN 'INFERRED' ELSE 'CONFIRMED' END AS confidence,
-               CASE (conv_id + turn) % 6 WHEN 0 THEN 'T1059.001' WHEN 1 THEN 'T1055' WHEN 2 THEN 'T1014' WHEN 3 THEN 'T1070.001' WHEN 4 THEN '' ELSE 'T1547.001' END AS mitre_technique,
+               CASE (CASE WHEN conv_id % 3 = 0 THEN conv_id + turn ELSE conv_id + CAST(floor(turn / 2) AS BIGINT) END) % 6 WHEN 0 THEN 'T1059.001' WHEN 1 THEN 'T1055' WHEN 2 THEN 'T1014' WHEN 3 THEN 'T1070.001' WHEN 4 THEN '' ELSE 'T1547.001' END AS mitre_technique,
                concat(text, CASE (conv_id * 5 + turn) % 7 WHEN 0 THEN ' It executed: Prefetch and Amcache agree.' WHEN 1 THEN ' Amcache shows it ran.'
                     WHEN 2 THEN ' Sysmon saw it launched.' WHEN 3 THEN ' UserAssist run count 3.' ELSE '' END) AS description,
                CASE (conv_id + turn) % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'downgraded' WHEN 2 THEN 'rejected' ELSE 'approved' END AS verifier_action,
@@ -181,7 +181,8 @@ EVIDENCE = {
                CASE event_id % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'INFERRED' ELSE 'HYPOTHESIS' END AS confidence,
                CASE WHEN event_id % 4 = 0 THEN 'rejected' ELSE 'approved' END AS action,
                concat('f-', CAST(event_id AS STRING)) AS finding_id,
-               concat('{"kind":"', event_type, '","props":', props, ',"seq":', CAST(event_id AS STRING), '}') AS line
+               concat('{"kind":"', event_type, '","props":', CASE WHEN value > 200 THEN props ELSE replace(props, ' ', '') END, ',"seq":', CAST(event_id AS STRING), '}') AS line,
+               value
         FROM events""",
 }
 
@@ -202,7 +203,7 @@ def ansi_sql(name: str) -> str:
 def with_evidence(*names: str, body: str) -> str:
     """Check SQL: the derived tables as common table expressions, then the query."""
     ctes = ", ".join(f"{n} AS ({ansi_sql(n)})" for n in names)
-    return f"WITH {ctes} {body}" if names else body
+    return f"WITH RECURSIVE {ctes} {body}" if names else body
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -214,7 +215,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def evidence(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived evidence table as a DataFrame."""
-    sql = spark_sql(name)
+    # Braces are placeholders for tables in this call, so the text's own are doubled.
+    sql = spark_sql(name).replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", sql)
