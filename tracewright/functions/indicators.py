@@ -116,15 +116,18 @@ MIN_COOKIE_BASE64 = 32
 
 def cookie_archive(value: Column) -> Column:
     """(container, member) when a cookie value is base64 of an archive, tail cuts included; else null."""
+
+    def read(data: Column) -> Column:
+        head = F.hex(F.substring(data, 1, 8))
+        kind = F.coalesce(*[F.when(head.startswith(magic), name) for magic, name in ARCHIVE_MAGIC])
+        size = F.conv(F.concat(F.hex(F.substring(data, 28, 1)), F.hex(F.substring(data, 27, 1))), 16, 10).cast("int")
+        member = F.when((kind == "zip") & (size > 0), F.make_valid_utf8(F.substr(data, F.lit(31), size).cast("string")))
+        return F.when(kind.isNotNull(), F.struct(kind.alias("container"), member.alias("member")))
+
     plain = F.regexp_replace(F.trim(value), "=+$", "")
     whole = F.substr(plain, F.lit(1), F.length(plain) - F.length(plain) % 4)
-    ok = plain.rlike(r"^[A-Za-z0-9+/]{" + str(MIN_COOKIE_BASE64) + ",}$")
-    data = F.try_to_binary(F.when(ok, whole), F.lit("base64"))
-    head = F.hex(F.substring(data, 1, 8))
-    kind = F.coalesce(*[F.when(head.startswith(magic), name) for magic, name in ARCHIVE_MAGIC])
-    size = F.conv(F.concat(F.hex(F.substring(data, 28, 1)), F.hex(F.substring(data, 27, 1))), 16, 10).cast("int")
-    member = F.when((kind == "zip") & (size > 0), F.make_valid_utf8(F.substr(data, F.lit(31), size).cast("string")))
-    return F.when(kind.isNotNull(), F.struct(kind.alias("container"), member.alias("member")))
+    ok = (F.length(plain) >= MIN_COOKIE_BASE64) & ~plain.rlike("[^A-Za-z0-9+/]")
+    return let(F.try_to_binary(F.when(ok, whole), F.lit("base64")), read)
 
 
 def printable_strings(data: Column, shortest: int = 4) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from tracewright.functions.hashing import canonical_json
-from tracewright.functions.values import is_ipv6, json_leaves
+from tracewright.functions.values import json_leaves
 
 # name, parameters, return type, body
 SQL_FUNCTIONS = (
@@ -26,5 +26,4 @@ def register_sql(spark: SparkSession) -> None:
     for name, params, returns, body in SQL_FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {returns} RETURN {body}")
     spark.udf.register("tw_canonical_json", canonical_json)
-    spark.udf.register("tw_is_ipv6", is_ipv6)
     spark.udf.register("tw_json_leaves", json_leaves)

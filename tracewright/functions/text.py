@@ -38,10 +38,9 @@ def _quoted(token: str) -> str:
 
 def tokens(*parts: Column) -> Column:
     """Distinct lower-case alphanumeric tokens, stop words and short ones removed."""
-    text = F.lower(F.concat_ws(" ", *parts))
-    found = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t)))
+    # A run of three or more characters is a whole token longer than two; array_except also removes repeats.
+    found = F.regexp_extract_all(F.lower(F.concat_ws(" ", *parts)), F.lit("([a-z0-9]{3,})"), F.lit(1))
+    return F.array_except(found, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def word_tokens(text: Column) -> Column:

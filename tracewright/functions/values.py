@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
 import json
 import re
 
@@ -19,18 +18,16 @@ FILE_NAME_SHAPE = r"^[^\\/]+\.[A-Za-z0-9][A-Za-z0-9_-]{0,7}$"
 LEAF = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
 
 
-@F.pandas_udf(T.BooleanType())
-def is_ipv6(tokens: pd.Series) -> pd.Series:
-    def ok(token):
-        if not token or ":" not in token:
-            return False
-        try:
-            ipaddress.IPv6Address(token.split("%", 1)[0])
-        except ValueError:
-            return False
-        return True
-
-    return tokens.map(ok)
+def is_ipv6(token: Column) -> Column:
+    """IPv6 address text: eight groups, one '::' for the missing ones, a zone suffix or an embedded IPv4 tail."""
+    bare = F.lower(F.substring_index(token, "%", 1))
+    tail = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
+    plain = F.regexp_replace(bare, "(?<=:)" + tail, "0:0")
+    sides = F.split(plain, "::")
+    groups = F.aggregate(sides, F.lit(0), lambda n, side: n + F.when(side == "", 0).otherwise(F.size(F.split(side, ":"))))
+    shaped = F.forall(sides, lambda side: (side == "") | side.rlike("^[0-9a-f]{1,4}(:[0-9a-f]{1,4})*$"))
+    counted = F.when(F.size(sides) == 1, groups == 8).when(F.size(sides) == 2, groups <= 7).otherwise(False)
+    return F.coalesce(F.contains(token, F.lit(":")) & shaped & counted, F.lit(False))
 
 
 def is_identity(expected: Column, mode: Column) -> Column:

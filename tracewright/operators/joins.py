@@ -153,26 +153,25 @@ def _signed(findings: DataFrame) -> DataFrame:
     return findings.withColumn("__rank", rank).withColumn("__tech", F.coalesce(F.nullif("mitre_technique", F.lit("")), F.lit(None)))
 
 
-def similar_claims(a: DataFrame, b: DataFrame, keys, least: float = DISAGREE_BELOW) -> DataFrame:
+def similar_claims(rows: DataFrame, keys, in_a: Column, in_b: Column, least: float = DISAGREE_BELOW) -> DataFrame:
     """Pairs of distinct token sets within a key whose overlap is at least `least`; exact, by rare-token prefixes.
 
-    Both sides carry `__sig` (digest of the token set) and `__tokens`. Two sets that overlap enough must share one
-    of the rarest tokens of each, so only those are joined.
+    Rows carry `__sig` (digest of the token set) and `__tokens`. Copies collapse to one set first. Two sets that
+    overlap enough must share one of the rarest tokens of each, so only those are joined.
     """
-    both = a.select(*keys, "__sig", "__tokens").unionByName(b.select(*keys, "__sig", "__tokens")).dropDuplicates([*keys, "__sig"])
-    counts = both.select(*keys, F.explode("__tokens").alias("t")).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(side: DataFrame, name: str) -> DataFrame:
-        sets = side.select(*keys, "__sig", "__tokens").dropDuplicates([*keys, "__sig"])
-        size = F.size("__tokens")
-        keep = size - F.ceil(size * F.lit(least)).cast("int") + 1
-        rare = Window.partitionBy(*keys, "__sig").orderBy("df", "t")
-        rows = sets.withColumn("t", F.explode("__tokens")).join(counts, [*keys, "t"]).withColumn("__pos", F.row_number().over(rare))
-        return rows.where(F.col("__pos") <= keep).select(*keys, "t", F.col("__sig").alias(name), F.col("__tokens").alias(name + "_tokens"))
-
-    left, right = prefix(a, "sig_a"), prefix(b, "sig_b")
-    pairs = left.join(right, [*keys, "t"]).dropDuplicates([*keys, "sig_a", "sig_b"])
-    return pairs.where(text.jaccard(F.col("sig_a_tokens"), F.col("sig_b_tokens")) >= least).select(*keys, "sig_a", "sig_b")
+    sets = rows.groupBy(*keys, "__sig").agg(F.first("__tokens").alias("__tokens"), F.bool_or(in_a).alias("__a"), F.bool_or(in_b).alias("__b"))
+    each = sets.withColumn("t", F.explode("__tokens"))
+    counts = each.groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("df"))
+    rare = Window.partitionBy(*keys, "__sig").orderBy("df", "t")
+    size = F.size("__tokens")
+    placed = each.join(counts, [*keys, "t"]).withColumn("__pos", F.row_number().over(rare))
+    prefix = placed.where(F.col("__pos") <= size - F.ceil(size * F.lit(least)).cast("int") + 1)
+    left = prefix.where("__a").select(*keys, "t", F.col("__sig").alias("sig_a"), F.col("__tokens").alias("tokens_a"))
+    right = prefix.where("__b").select(*keys, "t", F.col("__sig").alias("sig_b"), F.col("__tokens").alias("tokens_b"))
+    near = left.join(right, [*keys, "t"]).where(text.jaccard(F.col("tokens_a"), F.col("tokens_b")) >= least)
+    # Two empty descriptions agree, but share no token to meet on.
+    blank = sets.where((size == 0) & F.col("__a") & F.col("__b")).select(*keys, F.col("__sig").alias("sig_a"), F.col("__sig").alias("sig_b"))
+    return near.select(*keys, "sig_a", "sig_b").distinct().unionByName(blank)
 
 
 def contradictions(findings: DataFrame, keys=("case_id",)) -> DataFrame:
@@ -184,7 +183,8 @@ def contradictions(findings: DataFrame, keys=("case_id",)) -> DataFrame:
     """
     rows = _signed(findings).withColumn("__tokens", F.array_sort(text.word_tokens(F.col("description"))))
     rows = rows.withColumn("__sig", F.md5(F.array_join("__tokens", " ")))
-    a = rows.where("coalesce(pool_origin, 'A') = 'A'")
+    a_rows = rows.where("coalesce(pool_origin, 'A') = 'A'")
+    a = a_rows.drop("__tokens", "description")
     b = rows.where("coalesce(pool_origin, 'B') = 'B'")
     key = list(keys)
     call_key, path_key = [*key, "tool_call_id"], [*key, "artifact_path"]
@@ -211,9 +211,9 @@ def contradictions(findings: DataFrame, keys=("case_id",)) -> DataFrame:
     a = a.withColumn("r2", F.when(F.col("__tech").isNotNull() & cited, near).otherwise(0))
     # Rule 3: everything else on the artifact, minus similar descriptions that rules 1 and 2 leave alone.
     a = a.join(total(b.where(placed), path_key, "b_here"), path_key, "left").na.fill(0, ["b_here"])
-    alike = similar_claims(a.where(placed), b.where(placed), path_key)
+    alike = similar_claims(rows.where(placed), path_key, F.coalesce("pool_origin", F.lit("A")) == "A", F.coalesce("pool_origin", F.lit("B")) == "B")
     shape = [*path_key, "__sig", "tool_call_id", "__rank", "__tech"]
-    a_shapes = total(a.where(placed), shape, "__na").drop("__na").withColumnsRenamed({"__sig": "sig_a", "tool_call_id": "call_a", "__rank": "rank_a", "__tech": "tech_a"})
+    a_shapes = total(a_rows.where(placed), shape, "__na").drop("__na").withColumnsRenamed({"__sig": "sig_a", "tool_call_id": "call_a", "__rank": "rank_a", "__tech": "tech_a"})
     b_shapes = total(b.where(placed), shape, "__nb").withColumnsRenamed({"__sig": "sig_b", "tool_call_id": "call_b", "__rank": "rank_b", "__tech": "tech_b"})
     both = alike.join(a_shapes, [*path_key, "sig_a"]).join(b_shapes, [*path_key, "sig_b"])
     one_call = F.coalesce((F.col("call_a") == F.col("call_b")) & (F.col("call_a") != ""), F.lit(False))
@@ -252,25 +252,18 @@ def contradiction_partners(findings: DataFrame, chosen: DataFrame, keys=("case_i
 
 
 def eligible(expected: DataFrame, run: DataFrame, keys=("case_id",)) -> DataFrame:
-    """Expected × run pairs of a case with enough shared tokens, through a token index on the rarer tokens.
+    """Expected × run pairs of a case with enough shared tokens, by an equality join on the token.
 
-    At least half of the expected tokens must be shared, so one of its rarest (n - ceil(n/2) + 1) must be; only
-    those are joined, and the exact shares are computed on the pairs found.
+    Tokens of one finding leave one task, so the pair counts are combined before they shuffle: at most one row
+    per finding and expected item, and an answer key has few items.
     """
     key = list(keys)
-    exp = expected.select(*key, "expected_id", text.tokens(F.col("description"), F.col("artifact_hint")).alias("e_tokens")).where(F.size("e_tokens") >= MATCH_MIN_SHARED)
-    got = run.select(*key, "finding_id", text.tokens(F.col("description"), F.col("artifact_path")).alias("r_tokens"))
-    r_index = got.select(*key, "finding_id", F.explode("r_tokens").alias("t"))
-    e_index = exp.select(*key, "expected_id", "e_tokens", F.explode("e_tokens").alias("t"))
-    wanted = e_index.select(*key, "t").distinct()
-    df = r_index.join(wanted, [*key, "t"]).groupBy(*key, "t").agg(F.count(F.lit(1)).alias("df"))
-    rare = Window.partitionBy(*key, "expected_id").orderBy(F.coalesce("df", F.lit(0)), "t")
-    n = F.size("e_tokens")
-    prefix = e_index.join(df, [*key, "t"], "left").withColumn("pos", F.row_number().over(rare)).where(F.col("pos") <= n - F.ceil(n * MATCH_COVERAGE).cast("int") + 1)
-    found = prefix.select(*key, "t", "expected_id").join(r_index, [*key, "t"]).select(*key, "expected_id", "finding_id").distinct()
-    pairs = found.join(exp, [*key, "expected_id"]).join(got, [*key, "finding_id"])
-    shared = F.size(F.array_intersect("e_tokens", "r_tokens"))
-    out = pairs.select(*key, "expected_id", "finding_id", shared.alias("shared"), (shared / F.size("e_tokens")).alias("coverage"))
+    exp = expected.select(*key, "expected_id", text.tokens(F.col("description"), F.col("artifact_hint")).alias("__t")).where(F.size("__t") >= MATCH_MIN_SHARED)
+    got = run.select(*key, "finding_id", text.tokens(F.col("description"), F.col("artifact_path")).alias("__t"))
+    e_index = exp.select(*key, "expected_id", F.size("__t").alias("__n"), F.explode("__t").alias("t"))
+    r_index = got.select(*key, "finding_id", F.explode("__t").alias("t"))
+    counted = r_index.join(e_index, [*key, "t"]).groupBy(*key, "expected_id", "finding_id", "__n").agg(F.count(F.lit(1)).alias("shared"))
+    out = counted.withColumn("coverage", F.col("shared") / F.col("__n")).drop("__n")
     return out.where((F.col("shared") >= MATCH_MIN_SHARED) & (F.col("coverage") >= MATCH_COVERAGE))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.session import cut_lineage
+
 # Ranking constants and decay span in days.
 K1 = 1.2
 B = 0.75
@@ -35,30 +37,31 @@ def _words(text: Column) -> Column:
 def recall(memory: DataFrame, queries: DataFrame, now_us: Column, k: int = 10) -> DataFrame:
     """The k best memories per query phrase, by BM25 of the phrase, then re-ranked with recency decay.
 
-    Candidates come from an index on the query's rarest word; the phrase is then counted in the candidate's text.
+    Candidates come from an index on the query's longest word; the phrase is then counted in the candidate's text.
     Relevance is 1 / (1 + score), which falls as the score rises; kept as the rule this reproduces has it.
     """
     doc = memory.withColumn("__w", _words(F.concat_ws(" ", "kind", "key", "value")))
     doc = doc.withColumn("__text", F.concat(F.lit(" "), F.array_join("__w", "  "), F.lit(" "))).withColumn("__len", F.size("__w"))
     ask = queries.withColumn("__q", _words(F.col("phrase"))).where(F.size("__q") > 0)
     index = doc.select("memory_id", F.explode(F.array_distinct("__w")).alias("w"))
-    asked = ask.select("query_id", F.explode(F.array_distinct("__q")).alias("w"))
-    df = index.join(asked.select("w").distinct(), "w").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rarest = asked.join(df, "w", "left").groupBy("query_id").agg(
-        F.min_by("w", F.struct(F.coalesce("df", F.lit(0)).alias("a"), F.col("w").alias("b"))).alias("w")
-    )
+    # The longest word of a phrase stands for its rarest: any word finds every candidate, a long one finds few others.
+    longest = F.array_sort(F.transform("__q", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))[0]["w"]
+    rarest = ask.select("query_id", longest.alias("w"))
     phrase = ask.select("query_id", F.concat(F.lit(" "), F.array_join("__q", "  "), F.lit(" ")).alias("__p"))
     cand = rarest.join(index, "w").select("query_id", "memory_id").join(doc, "memory_id").join(phrase, "query_id")
     # Words are two blanks apart, so neighbouring hits never share a blank.
     times = (F.length("__text") - F.length(F.replace("__text", F.col("__p"), F.lit("")))) / F.length("__p")
-    hits = cand.withColumn("f", times).where("f > 0")
-    stats = doc.agg(F.count(F.lit(1)).alias("n"), F.avg("__len").alias("avg"))
+    slim = cand.withColumn("f", times).where("f > 0").select("query_id", "memory_id", "us", "f", "__len")
+    # Few rows, read twice below: once to count the hits of a phrase, once to score them.
+    hits = cut_lineage(slim)
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
-    rows = hits.join(found, "query_id").withColumn("n", stats.select("n").scalar()).withColumn("avg", stats.select("avg").scalar())
+    stats = doc.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("__len").alias("avg")).alias("s")).scalar()
+    rows = hits.join(found, "query_id").withColumn("stats", stats).withColumn("n", F.col("stats.n")).withColumn("avg", F.col("stats.avg"))
     idf = F.greatest(F.log((F.col("n") - F.col("nq") + 0.5) / (F.col("nq") + 0.5)), F.lit(1e-6))
     score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("__len") / F.col("avg")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")
     top = rows.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     days = F.greatest(F.lit(0.0), (now_us - F.col("us")) / F.lit(86_400_000_000.0))
     confidence = F.exp(-days / DECAY_DAYS) / (1 + F.col("score"))
-    return top.select("query_id", "memory_id", "case_id", "kind", "key", "value", "us", "score", confidence.alias("confidence"))
+    best_rows = top.select("query_id", "memory_id", "score", confidence.alias("confidence"))
+    return best_rows.join(memory.select("memory_id", "case_id", "kind", "key", "value", "us"), "memory_id")

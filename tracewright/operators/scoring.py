@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.joins import eligible
 from tracewright.operators.setops import unrecovered
+from tracewright.session import cut_lineage
 
 # Outcome words by polarity.
 EVIL = ("CONFIRMED_EVIL", "SUSPICIOUS", "SUSPICION", "EVIL")
@@ -72,22 +73,27 @@ def score_runs(runs: DataFrame, findings: DataFrame, keys_table: DataFrame, expe
 
     Null means unmeasured: no denominator gives no number.
     """
-    edges = eligible(expected, findings).join(expected.select("case_id", "expected_id", "expected_order"), ["case_id", "expected_id"]).join(
+    def spec(df: DataFrame, kind: str) -> DataFrame:
+        return df.select("case_id", F.concat(F.lit(kind + ":"), "expected_id").alias("expected_id"), "description", "artifact_hint")
+
+    # One pass over the findings for all three lists; the pairs found are few and are read several times below.
+    specs = spec(expected, "ex").unionByName(spec(anti_facts, "af")).unionByName(spec(known_negatives, "kn"))
+    pairs = cut_lineage(eligible(specs, findings).select("case_id", "finding_id", F.substring("expected_id", 1, 2).alias("kind"), F.substr("expected_id", F.lit(4)).alias("expected_id")))
+    edges = pairs.where("kind = 'ex'").drop("kind").join(expected.select("case_id", "expected_id", "expected_order"), ["case_id", "expected_id"]).join(
         findings.select("case_id", "finding_id", "finding_order"), ["case_id", "finding_id"]
     )
-    matched = match_expected(edges, expected)
-    extra = findings.join(matched.select("case_id", "finding_id"), ["case_id", "finding_id"], "left_anti")
-
-    def trips(spec: DataFrame, name: str) -> DataFrame:
-        return eligible(spec, extra).select("case_id", "finding_id").distinct().withColumn(name, F.lit(True))
-
-    flagged = extra.join(trips(anti_facts, "af"), ["case_id", "finding_id"], "left").join(trips(known_negatives, "kn"), ["case_id", "finding_id"], "left")
+    matched = cut_lineage(match_expected(edges, expected))
+    # From here on a digest stands for the text, so texts are not shuffled.
+    slim = findings.select("case_id", "finding_id", F.md5(F.coalesce("description", F.lit(""))).alias("text_digest"))
+    extra = slim.join(matched.select("case_id", "finding_id"), ["case_id", "finding_id"], "left_anti")
+    trips = pairs.where("kind <> 'ex'").groupBy("case_id", "finding_id").agg(F.bool_or(F.col("kind") == "af").alias("af"), F.bool_or(F.col("kind") == "kn").alias("kn"))
+    flagged = extra.join(trips, ["case_id", "finding_id"], "left")
     flagged = flagged.withColumn("violation", F.when(F.col("af"), "anti_fact").when(F.col("kn"), "known_negative"))
     terms = denylist.select("case_id", F.lower("term").alias("term")).distinct()
     # The terms of one key are a short list by construction; they ride on the case row.
     listed = terms.groupBy("case_id").agg(F.collect_set("term").alias("terms"))
     said = findings.join(listed, "case_id").select(
-        "case_id", "finding_id", "description", F.filter("terms", lambda t: (t != "") & F.contains(F.lower(F.col("description")), t)).alias("hit_terms")
+        "case_id", "finding_id", F.md5("description").alias("text_digest"), F.filter("terms", lambda t: (t != "") & F.contains(F.lower(F.col("description")), t)).alias("hit_terms")
     ).where(F.size("hit_terms") > 0)
     per_extra = flagged.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("extra_n"),
@@ -95,8 +101,8 @@ def score_runs(runs: DataFrame, findings: DataFrame, keys_table: DataFrame, expe
         F.count_if(F.col("violation") == "anti_fact").alias("anti_fact_violations"),
         F.count_if(F.col("violation") == "known_negative").alias("known_negative_violations"),
     )
-    bait = flagged.where("violation IS NOT NULL").select("case_id", "finding_id", "description").unionByName(said.select("case_id", "finding_id", "description"))
-    planted = bait.groupBy("case_id").agg(F.count_distinct("finding_id", F.coalesce("description", F.lit(""))).alias("fp_planted"))
+    bait = flagged.where("violation IS NOT NULL").select("case_id", "finding_id", "text_digest").unionByName(said.select("case_id", "finding_id", "text_digest"))
+    planted = bait.groupBy("case_id").agg(F.count_distinct("finding_id", "text_digest").alias("fp_planted"))
     asserted = said.select("case_id", F.explode("hit_terms").alias("t")).groupBy("case_id").agg(F.count_distinct("t").alias("denylist_terms_asserted"))
 
     def n(df: DataFrame, name: str) -> DataFrame:

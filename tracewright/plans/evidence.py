@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -210,7 +212,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table, with zone-less times read as UTC."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     zoneless = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+    # Text is costly per row, so a small text table is dealt out before it is worked on.
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def evidence(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import labels
 from tracewright.operators import aggregates, filters, joins, judging, recall, scoring, setops
 from tracewright.plans.catalog import query
+from tracewright.session import spread
 from tracewright.plans.text_plans import _tokens_sql, _words_sql
 
 _RANK = "CASE {0} WHEN 'CONFIRMED' THEN 2 WHEN 'INFERRED' THEN 1 WHEN 'HYPOTHESIS' THEN 0 ELSE 1 END"
@@ -423,7 +424,7 @@ def _(src):
 
 def _asserted(src):
     """Events as findings that assert values of their own tool output, some of them wrong."""
-    e = src.given("events")
+    e = spread(src.given("events"))
     eid, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
     output = F.concat(F.lit('{"rows":[{"id":'), eid, F.lit(',"user":"u'), user, F.lit('","sha":"'), F.md5("event_type"), F.lit('","at":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"},{"id":'), (F.col("event_id") + 1).cast("string"), F.lit(',"user":"u'), user, F.lit('"}],"kind":"'), "event_type", F.lit('"}'))
 

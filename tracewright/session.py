@@ -54,3 +54,9 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
     """Hint a broadcast when a count proves the side small; otherwise leave the join to the optimizer."""
     small = df.select(F.lit(1)).limit(limit + 1).count() <= limit
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores when the input has fewer splits than that; large inputs pass through unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
