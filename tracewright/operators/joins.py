@@ -188,27 +188,34 @@ def contradictions(findings: DataFrame, keys=("case_id",)) -> DataFrame:
     b = rows.where("coalesce(pool_origin, 'B') = 'B'")
     key = list(keys)
     call_key, path_key = [*key, "tool_call_id"], [*key, "artifact_path"]
-    end, opposite = F.col("__rank").isin(0, 2), 2 - F.col("__rank")
     cited = F.coalesce("tool_call_id", F.lit("")) != ""
     placed = F.coalesce("artifact_path", F.lit("")) != ""
-    b_end = b.where(end & cited)
+    ranks = (0, 1, 2)
 
     def total(side: DataFrame, cols, name: str) -> DataFrame:
         return side.groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
 
-    # Rule 1: totals of the opposite tier per call, and per call and artifact for the overlap with rule 3.
-    a = a.withColumn("__opp", F.when(end & cited, opposite))
-    a = a.join(total(b_end.withColumnRenamed("__rank", "__opp"), [*call_key, "__opp"], "r1"), [*call_key, "__opp"], "left")
-    a = a.join(total(b_end.withColumnRenamed("__rank", "__opp"), [*call_key, "artifact_path", "__opp"], "r1_here"), [*call_key, "artifact_path", "__opp"], "left")
-    # Rule 2: named techniques per call and artifact whose tier is not opposite, minus those of the same technique.
+    def by_rank(test: Column, letter: str) -> list:
+        return [F.count_if(test & (F.col("__rank") == r)).alias(f"{letter}{r}") for r in ranks]
+
+    def pick(test, letter: str) -> Column:
+        return reduce(lambda x, y: x + y, [F.when(test(r), F.col(f"{letter}{r}")).otherwise(0) for r in ranks])
+
+    opposite = lambda r: (F.abs(F.col("__rank") - r) == 2)
+    near = lambda r: (F.abs(F.col("__rank") - r) < 2)
+    named = F.col("__tech").isNotNull()
     here = [*call_key, "artifact_path"]
-    tech = b.where(cited & F.col("__tech").isNotNull())
-    per_rank = [F.count_if(F.col("__rank") == r).alias(f"n{r}") for r in (0, 1, 2)]
-    same_rank = [F.count_if(F.col("__rank") == r).alias(f"s{r}") for r in (0, 1, 2)]
-    a = a.join(tech.groupBy(*here).agg(*per_rank), here, "left")
-    a = a.join(tech.groupBy(*here, "__tech").agg(*same_rank), [*here, "__tech"], "left").na.fill(0, ["r1", "r1_here", "n0", "n1", "n2", "s0", "s1", "s2"])
-    near = reduce(lambda x, y: x + y, [F.when(F.abs(F.col("__rank") - r) < 2, F.col(f"n{r}") - F.col(f"s{r}")).otherwise(0) for r in (0, 1, 2)])
-    a = a.withColumn("r2", F.when(F.col("__tech").isNotNull() & cited, near).otherwise(0))
+    b_cited = b.where(cited)
+    # Pool-B totals per tier: on the call (c), on the call and artifact (n, and t with a technique), of one technique (s).
+    a = a.join(b_cited.groupBy(*call_key).agg(*by_rank(F.lit(True), "c")), call_key, "left")
+    a = a.join(b_cited.groupBy(*here).agg(*by_rank(F.lit(True), "n"), *by_rank(named, "t")), here, "left")
+    a = a.join(b_cited.where(named).groupBy(*here, "__tech").agg(*by_rank(F.lit(True), "s")), [*here, "__tech"], "left")
+    a = a.na.fill(0, [f"{x}{r}" for x in "cnts" for r in ranks])
+    a = a.withColumns({
+        "r1": F.when(cited, pick(opposite, "c")).otherwise(0),
+        "r1_here": F.when(cited, pick(opposite, "n")).otherwise(0),
+        "r2": F.when(cited & named, pick(near, "t") - pick(near, "s")).otherwise(0),
+    })
     # Rule 3: everything else on the artifact, minus similar descriptions that rules 1 and 2 leave alone.
     a = a.join(total(b.where(placed), path_key, "b_here"), path_key, "left").na.fill(0, ["b_here"])
     alike = similar_claims(rows.where(placed), path_key, F.coalesce("pool_origin", F.lit("A")) == "A", F.coalesce("pool_origin", F.lit("B")) == "B")
