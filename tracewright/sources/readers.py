@@ -67,7 +67,7 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     A document is one JSON value and has to be parsed whole by one task; exports of this kind are bounded by the
     provider's page size. Line-delimited exports go through read_json_lines, which splits.
     """
-    docs = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"))
+    docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"))
     v = F.try_parse_json("doc")
     wrapped = [F.try_variant_get(v, f"$.{k}", "array<variant>") for k in CONTAINER_KEYS]
     records = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *wrapped, F.when(v.isNotNull(), F.array(v)))
@@ -177,7 +177,7 @@ def read_alerts(spark: SparkSession, path: str, lines: bool = True) -> DataFrame
     if lines:
         rows = read_json_lines(spark, path).where("parsed").select("file", "raw")
     else:
-        docs = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
+        docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
         rows = docs.mapInPandas(_split_objects, "file string, raw string").where("raw IS NOT NULL")
     out = project_first(rows, "raw", ALERT_KEYS)
     return out.withColumn("event_id", F.col("event_id").try_cast("long")).withColumn("timestamp", times.iso_micros(F.col("timestamp")))
@@ -249,7 +249,7 @@ def read_fleet(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
     docs = docs.select("*", host).where("_bad IS NULL")
     hosts = docs.select("host", "case_id", F.coalesce("verdict", F.lit("?")).alias("outcome"), F.col("cryptographic_attestation.merkle_root_hex").alias("merkle_root"))
     findings = docs.select("host", "case_id", F.explode("findings").alias("f")).select("host", "case_id", "f.*")
-    scans = spark.read.option("wholetext", True).text(f"{folder}/*/psscan.json").select(F.col("value").alias("doc"), host)
+    scans = spark.read.text(f"{folder}/*/psscan.json", wholetext=True).select(F.col("value").alias("doc"), host)
     each = scans.select("host", F.explode(F.try_variant_get(F.try_parse_json("doc"), "$", "array<variant>")).alias("r"))
     get = lambda *keys: F.coalesce(*[F.try_variant_get("r", "$." + k, "string") for k in keys])
     procs = each.select("host", get("image_name", "ImageFileName", "name").alias("image_name"), get("pid", "PID").try_cast("long").alias("pid"), get("ppid", "PPID").try_cast("long").alias("ppid"), times.iso_ts(get("create_time_iso", "CreateTime", "create_time")).alias("created"))
