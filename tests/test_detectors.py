@@ -325,3 +325,5 @@ def test_round_robin_and_capped(spark):
     assert [(r["path"], r["total"], r["truncated"]) for r in out] == [("00", 7, True), ("01", 7, True)]
     order = topk.triage_order(spark.createDataFrame([("All Users/Start Menu/Programs/Calculator.lnk",), ("Suspect/NetHood/staging share/target.lnk",)], "path string"))
     assert "NetHood" in order.first()["path"]
+    logs = topk.triage_order(spark.createDataFrame([(p,) for p in ("a/Microsoft-Windows-X.evtx", "a/Application.evtx", "a/Security.evtx", "a/Sysmon%4Operational.evtx")], "path string"))
+    assert [r["rank"] for r in logs.collect()] == [0, 0, 1, 2]

@@ -231,4 +231,6 @@ def test_terms_and_labels(ev):
 def test_sql_names(spark):
     registry.register_sql(spark)
     assert spark.sql("SELECT tw_percent_decode('a%2527'), tw_tier(0.8D), tw_downgrade('INFERRED'), tw_rot13('Nop'), tw_jaccard(tw_word_tokens('a b'), tw_word_tokens('b'))").first()[:] == ("a'", "CONFIRMED", "HYPOTHESIS", "Abc", 0.5)
+    got = spark.sql("SELECT tw_tokens('The evil.exe file'), tw_neutralize('a <|IM_END|> b'), tw_value_match('0x10', '16', 'int'), tw_value_match('10', '010', 'int'), tw_run_entry('HRZR_EHACNGU:P:\\\\n.rkr')").first()
+    assert got[:] == (["evil", "exe"], "a [neutralized:im_end] b", True, False, "C:\\a.exe")
     assert quote("é") == "%C3%A9"

@@ -80,12 +80,14 @@ def test_alerts_in_three_layouts(spark, tmp_path):
 def test_linux_formats(spark, tmp_path):
     path = put(tmp_path, "audit.log", ["----", 'type=SYSCALL msg=audit(1.1:2): a0=1 exe="/bin/sh" a0=2', ""])
     (r,) = readers.read_linux_audit(spark, path).collect()
-    assert r["fields"]["exe"] == "/bin/sh" and r["fields"]["a0"] == "2" and r["fields"]["type"] == "SYSCALL"
+    assert r["fields"]["exe"] == '"/bin/sh"' and r["fields"]["a0"] == "2" and r["fields"]["type"] == "SYSCALL"
     path = put(tmp_path, "j.json", ['{"__REALTIME_TIMESTAMP":"1000000","_HOSTNAME":"h","MESSAGE":"m"}', '[{"MESSAGE":"a"},{"MESSAGE":"b"}]'])
     assert sorted(r["message"] for r in readers.read_journal(spark, path).collect()) == ["a", "b", "m"]
-    path = put(tmp_path, "last.txt", ["bob pts/0 10.0.0.1 Mon Jan 1 10:00:00 2024 - Mon Jan 1 11:00:00 2024 (01:00)", "reboot system boot 5.4 Tue Jan 2 10:00", "wtmp begins Mon Jan 1", ""])
-    got = sorted((r["user"], r["line"], r["host"], r["login"], r["logout"] is None) for r in readers.read_logins(spark, path).collect())
-    assert got == [("bob", "pts/0", "10.0.0.1", "Mon Jan 1 10:00:00 2024", False), ("reboot", "system", "boot 5.4", "Tue Jan 2 10:00", True)]
+    path = put(tmp_path, "last.txt", ["bob pts/0 10.0.0.1 Mon Jan 1 10:00:00 2024 - Mon Jan 1 11:00:00 2024 (01:00)", "reboot system boot 5.4 Tue Jan 2 10:00", "amy tty1 Wed Jan 3 09:00:00 2024 still logged in", "odd", "wtmp begins Mon Jan 1", ""])
+    got = sorted((r["user"], r["line"], r["host"], r["login"], r["logout"]) for r in readers.read_logins(spark, path).collect())
+    assert got == [
+        ("amy", "tty1", "", "Wed Jan 3 09:00:00 2024", None), ("bob", "pts/0", "10.0.0.1", "Mon Jan 1 10:00:00 2024", "Mon Jan 1 11:00:00 2024"), ("odd", "", "", None, None), ("reboot", "system", "boot 5.4", None, None),
+    ]
     path = put(tmp_path, "eve.json", ['{"event_type":"alert","timestamp":"2024-01-01T00:00:00+0000","src_ip":"1.1.1.1"}'])
     assert readers.read_eve(spark, path).first()["src_ip"] == "1.1.1.1"
     path = put(tmp_path, "nf.json", ['{"src4_addr":"1.1.1.1","in_packets":5}', "x"])

@@ -17,6 +17,9 @@ from tracewright.functions.paths import registrable_domain
 BRUTE_FORCE_MIN = 5
 MULTIPLEX_MIN_DOMAINS = 5
 
+# Fixed value: longer request addresses keep this much of their end.
+URI_TAIL = 256
+
 
 def value_counts(df: DataFrame, value: Column, k: int | None = None, keys=()) -> DataFrame:
     """Counts per value, most frequent first, then by value; empty and '-' are never counted."""
@@ -49,7 +52,7 @@ def zeek_top_hosts(df: DataFrame, k: int = 10) -> DataFrame:
 
 def conversations(pkts: DataFrame, keys=()) -> DataFrame:
     port = F.when(F.col("tcp_port") != "", F.col("tcp_port")).otherwise(F.col("udp_port"))
-    rows = pkts.where("src <> '' AND dst <> ''").withColumn("dst_port", port)
+    rows = pkts.where("src <> '' OR dst <> ''").withColumn("dst_port", port)
     return rows.groupBy(*keys, "src", "dst", "dst_port", "proto").agg(F.count(F.lit(1)).alias("packets"))
 
 
@@ -57,10 +60,10 @@ def http_requests(pkts: DataFrame, keys=()) -> DataFrame:
     """Requests per (src, dst, host, method): first address seen, any cookie, count, time span."""
     stamped = F.when(F.col("ts") > 0, F.col("ts"))
     return (
-        pkts.where("http_host <> '' AND http_method <> ''")
+        pkts.where("http_method <> ''")
         .groupBy(*keys, "src", "dst", F.col("http_host").alias("host"), F.col("http_method").alias("method"))
         .agg(
-            F.min_by("http_uri", F.struct("pkt_no", "http_uri")).alias("uri"),
+            F.min_by(F.when(F.length("http_uri") > URI_TAIL, F.concat(F.lit("…"), F.right("http_uri", F.lit(URI_TAIL)))).otherwise(F.col("http_uri")), F.when(F.col("http_uri") != "", F.struct("pkt_no", "http_uri"))).alias("uri"),
             F.bool_or(F.col("cookie") != "").alias("has_cookie"),
             F.count(F.lit(1)).alias("requests"),
             F.min(stamped).alias("first_ts"),
@@ -80,7 +83,7 @@ def web_summary(requests: DataFrame) -> DataFrame:
     tagged = hits.select(F.explode(F.concat(
         F.transform("indicators", lambda i: F.struct(F.lit("indicator").alias("kind"), i.alias("value"))),
         F.array(F.struct(F.lit("client").alias("kind"), F.col("client_ip").alias("value"))),
-    )).alias("e"))
+    )).alias("e")).where("e.value <> ''")
     return tagged.groupBy(F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("hits"))
 
 

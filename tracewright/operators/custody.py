@@ -20,7 +20,7 @@ EMPTY_ROOT = "0" * 64
 def chain_state(audit: DataFrame, keys=("case_id",), order: str = "line_no", line: str = "line") -> DataFrame:
     """Adds to each line its position, and the digest of the line before it."""
     key = list(keys)
-    rows = audit.where(F.trim(line) != "").withColumn("__b", F.floor(F.col(order) / CHAIN_BLOCK)).withColumn("line_hash", sha256_hex(F.col(line)))
+    rows = audit.where(F.col(line) != "").withColumn("__b", F.floor(F.col(order) / CHAIN_BLOCK)).withColumn("line_hash", sha256_hex(F.col(line)))
     inside = Window.partitionBy(*key, "__b").orderBy(order)
     edges = rows.groupBy(*key, "__b").agg(F.count(F.lit(1)).alias("__n"), F.max_by("line_hash", order).alias("__last"))
     before = Window.partitionBy(*key).orderBy("__b")
@@ -148,13 +148,13 @@ def check_proofs(proofs: DataFrame) -> DataFrame:
     return proofs.withColumn("proof_ok", rebuilt == F.col("root"))
 
 
-def compare_manifest(manifest: DataFrame, chain: DataFrame, derived: DataFrame, keys=("case_id",)) -> DataFrame:
+def compare_manifest(manifest: DataFrame, declared: DataFrame, chain: DataFrame, derived: DataFrame, keys=("case_id",)) -> DataFrame:
     """One row per sealed case: chain, count, final digest, leaves, root and signature presence.
 
-    Manifest columns: merkle_root_hex, leaf_count, audit_log_record_count, audit_log_final_hash, leaves, signature_present.
+    Manifest columns: merkle_root_hex, leaf_count, audit_log_record_count, audit_log_final_hash, signature_present.
+    Declared and derived leaves are rows with leaf_idx, seq, kind, digest_hex, record_id, so a long list is never one value.
     """
     key = list(keys)
-    declared = manifest.select(*key, F.posexplode("leaves").alias("leaf_idx", "leaf")).select(*key, F.col("leaf_idx").cast("long"), "leaf.*")
     differing = leaf_diff(declared, derived, keys).groupBy(*key).agg(F.count(F.lit(1)).alias("leaf_differences"))
     rebuilt = merkle_root(declared, keys).withColumnRenamed("leaf_count", "declared_leaves")
     out = manifest.join(chain, key, "left").join(differing, key, "left").join(rebuilt, key, "left")
@@ -173,11 +173,16 @@ def compare_manifest(manifest: DataFrame, chain: DataFrame, derived: DataFrame,
     return out.select(*key, *flags, every.alias("overall"), "break_at", "reason")
 
 
+def declared_leaves(manifest: DataFrame, keys=("case_id",)) -> DataFrame:
+    """Leaf rows of manifests that carry their list as an array, as the sealed files do."""
+    return manifest.select(*keys, F.posexplode("leaves").alias("leaf_idx", "leaf")).select(*keys, F.col("leaf_idx").cast("long"), "leaf.*")
+
+
 def verify_manifest(manifest: DataFrame, audit: DataFrame, keys=("case_id",), order: str = "line_no") -> DataFrame:
     """compare_manifest against the chain and leaves read from the log's own lines."""
     fields = {"kind": "$.kind", "seq": "$.seq", "output_hash": "$.payload.output_hash", "tool_call_id": "$.payload.tool_call_id", "finding_id": "$.payload.finding_id"}
     read = audit.select(*keys, "line", *[F.get_json_object("line", p).alias(c) for c, p in fields.items()]).withColumn("seq", F.col("seq").try_cast("long"))
-    return compare_manifest(manifest, verify_chain(audit, keys, order), leaves(read, keys), keys)
+    return compare_manifest(manifest.drop("leaves"), declared_leaves(manifest, keys), verify_chain(audit, keys, order), leaves(read, keys), keys)
 
 
 def verify_traces(lines: DataFrame) -> DataFrame:

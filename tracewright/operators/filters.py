@@ -112,14 +112,14 @@ def between_or_null(col: Column, since: Column | None, until: Column | None) ->
 
 
 def network_filter(df: DataFrame, ids=(3,), since=None, until=None, image=None, ip=None, port=None) -> DataFrame:
-    """Conjunctive filter over network events; address and port match either end."""
+    """Conjunctive filter over network events; address and port are those of the destination."""
     out = filter_ids(df, ids).where(between_or_null(F.col("us"), since, until))
     if image is not None:
         out = out.where(F.contains(F.lower("image"), F.lit(image.lower())))
     if ip is not None:
-        out = out.where((F.col("source_ip") == ip) | (F.col("destination_ip") == ip))
+        out = out.where(F.col("destination_ip") == ip)
     if port is not None:
-        out = out.where((F.col("source_port") == port) | (F.col("destination_port") == port))
+        out = out.where(F.col("destination_port") == port)
     return out
 
 

@@ -16,6 +16,7 @@ from tracewright.functions.indicators import extract_cves
 from tracewright.functions.paths import base_name, slashed
 from tracewright.operators.ordered import DAY_US, asof_before, first_within
 from tracewright.operators.setops import view_counts
+from tracewright.session import broadcast_if_small
 
 # Eligibility of a finding for an expected one.
 MATCH_COVERAGE = 0.5
@@ -262,14 +263,15 @@ def eligible(expected: DataFrame, run: DataFrame, keys=("case_id",)) -> DataFram
     """Expected × run pairs of a case with enough shared tokens, by an equality join on the token.
 
     Tokens of one finding leave one task, so the pair counts are combined before they shuffle: at most one row
-    per finding and expected item, and an answer key has few items.
+    per finding and expected item, and an answer key has few items. A key index small enough is broadcast, so the
+    exploded tokens of the findings are not shuffled at all.
     """
     key = list(keys)
     exp = expected.select(*key, "expected_id", text.tokens(F.col("description"), F.col("artifact_hint")).alias("__t")).where(F.size("__t") >= MATCH_MIN_SHARED)
     got = run.select(*key, "finding_id", text.tokens(F.col("description"), F.col("artifact_path")).alias("__t"))
     e_index = exp.select(*key, "expected_id", F.size("__t").alias("__n"), F.explode("__t").alias("t"))
     r_index = got.select(*key, "finding_id", F.explode("__t").alias("t"))
-    counted = r_index.join(e_index, [*key, "t"]).groupBy(*key, "expected_id", "finding_id", "__n").agg(F.count(F.lit(1)).alias("shared"))
+    counted = r_index.join(broadcast_if_small(e_index), [*key, "t"]).groupBy(*key, "expected_id", "finding_id", "__n").agg(F.count(F.lit(1)).alias("shared"))
     out = counted.withColumn("coverage", F.col("shared") / F.col("__n")).drop("__n")
     return out.where((F.col("shared") >= MATCH_MIN_SHARED) & (F.col("coverage") >= MATCH_COVERAGE))
 
@@ -293,7 +295,7 @@ def enrich(iocs: DataFrame, feeds: DataFrame, keys=("kind", "value")) -> DataFra
 
 def ground_techniques(techniques: DataFrame, kb: DataFrame) -> DataFrame:
     """Techniques with their knowledge-base entry, matched without regard to case."""
-    known = kb.select(F.upper("technique_id").alias("technique_id"), F.lit(True).alias("found"), "current_id", "name")
+    known = broadcast_if_small(kb).select(F.upper("technique_id").alias("technique_id"), F.lit(True).alias("found"), "current_id", "name")
     out = techniques.withColumn("technique_id", F.upper("technique_id")).join(known, "technique_id", "left")
     return out.withColumn("found", F.coalesce("found", F.lit(False))).withColumn("id_match", F.coalesce(F.col("current_id") == F.col("technique_id"), F.lit(False)))
 
@@ -302,7 +304,7 @@ def ground_cves(findings: DataFrame, nvd: DataFrame, keys=("case_id",)) -> DataF
     """Vulnerability ids mentioned in findings, with severity when the table knows them."""
     named = findings.select(*keys, "finding_id", F.explode(extract_cves(F.col("description"))).alias("cve_id"))
     per = named.groupBy(*keys, "cve_id").agg(F.count_distinct("finding_id").alias("findings"))
-    out = per.join(nvd.select("cve_id", "severity", F.lit(True).alias("found")), "cve_id", "left")
+    out = per.join(broadcast_if_small(nvd).select("cve_id", "severity", F.lit(True).alias("found")), "cve_id", "left")
     return out.withColumn("status", F.when(F.col("found"), "supported").otherwise("unsupported")).drop("found")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import cut_lineage
+from tracewright.session import broadcast_if_small, cut_lineage
 
 # Ranking constants and decay span in days.
 K1 = 1.2
@@ -48,7 +48,7 @@ def recall(memory: DataFrame, queries: DataFrame, now_us: Column, k: int = 10) -
     longest = F.array_sort(F.transform("__q", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))[0]["w"]
     rarest = ask.select("query_id", longest.alias("w"))
     phrase = ask.select("query_id", F.concat(F.lit(" "), F.array_join("__q", "  "), F.lit(" ")).alias("__p"))
-    cand = rarest.join(index, "w").select("query_id", "memory_id").join(doc, "memory_id").join(phrase, "query_id")
+    cand = index.join(broadcast_if_small(rarest), "w").select("query_id", "memory_id").join(doc, "memory_id").join(phrase, "query_id")
     # Words are two blanks apart, so neighbouring hits never share a blank.
     times = (F.length("__text") - F.length(F.replace("__text", F.col("__p"), F.lit("")))) / F.length("__p")
     slim = cand.withColumn("f", times).where("f > 0").select("query_id", "memory_id", "us", "f", "__len")

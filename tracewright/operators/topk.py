@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.paths import base_name, is_webroot_script, slashed
+
 
 def top_conversations(conv: DataFrame, k: int = 50) -> DataFrame:
     return conv.orderBy(F.desc("packets"), "src", "dst", "dst_port", "proto").limit(k)
@@ -36,22 +38,31 @@ def recent_history(history: DataFrame, n: int, us: str = "us", tie: str = "url")
     return history.orderBy(F.desc_nulls_last(us), tie).limit(n)
 
 
-# Reading order of evidence.
-LOG_ORDER = ("security", "system", "application", "sysmon")
+# Which logs, script folders and hives are read first.
+CORE_LOGS = r"^(security|system)\.evtx$|sysmon|powershell"
+SIGNAL_LOGS = r"^(application|forwardedevents)\.evtx$|^archive-security|taskscheduler|windows defender|winrm|wmi-activity|terminalservices|applocker"
+WRITABLE_FOLDERS = r"(^|/)(uploads?|tmp|temp|cache|files|images|img|media|avatars|attachments|data)$"
+DOCUMENT_ROOTS = r"(htdocs|wwwroot|public_html|www|webroot)$"
 HIVE_ORDER = ("system", "software", "sam", "security", "ntuser.dat", "usrclass.dat")
 
 
 def triage_rank(path: Column) -> Column:
-    """Smaller is read first: well-known logs, then recent or network shortcuts with a staging tell, then hives."""
-    from tracewright.functions.paths import base_name, slashed
-
+    """Draw order inside a class: core logs, then named ones, then the provider tail; scripts where uploads land
+    first, then in the document root; shortcuts with a staging tell first; hives in their fixed order."""
     low, name = slashed(path), base_name(path)
-    rank = F.when(low.rlike("/(recent|nethood)/") & low.contains("staging"), 10)
-    for i, stem in enumerate(LOG_ORDER):
-        rank = rank.when(name.startswith(stem) & name.rlike(r"\.evtx?$"), i)
-    for i, hive in enumerate(HIVE_ORDER):
-        rank = rank.when(name == hive, 20 + i)
-    return rank.when(low.rlike("/(recent|nethood)/"), 11).when(name.endswith(".lnk"), 40).otherwise(90)
+    folder = F.regexp_replace(low, "/?[^/]*$", "")
+    log = F.when(name.rlike(CORE_LOGS), 0).when(name.rlike(SIGNAL_LOGS) | ~name.startswith("microsoft-windows-"), 1).otherwise(2)
+    script = F.when(folder.rlike(WRITABLE_FOLDERS), 0).when(folder.rlike(DOCUMENT_ROOTS), 1).otherwise(2)
+    recent = low.rlike("/(recent|nethood)/")
+    link = F.when(recent & low.contains("staging"), 0).when(recent, 1).otherwise(2)
+    hive = F.array_position(F.array(*[F.lit(h) for h in HIVE_ORDER]), name).cast("int")
+    return (
+        F.when(name.endswith(".evtx"), log)
+        .when(is_webroot_script(path), script)
+        .when(name.endswith(".lnk"), link)
+        .when(hive > 0, hive - 1)
+        .otherwise(0)
+    )
 
 
 def triage_order(df: DataFrame, path: str = "path") -> DataFrame:

@@ -132,4 +132,6 @@ def attack_chain(findings: DataFrame, keys=("case_id", "host"), us: str = "us")
     """Findings in phase order, then time, numbered per host."""
     rank = F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col("phase"))
     placed = findings.withColumn("phase_rank", F.when(rank > 0, rank).otherwise(99).cast("long"))
-    return dense_index(placed, list(keys), ["phase_rank", us, "finding_id"], F.col("phase_rank"), "step", start=1)
+    # Phase, then day, rises with the order and keeps one busy phase from being one bucket.
+    bucket = F.col("phase_rank") * 10_000_000 + slot(us, DAY_US)
+    return dense_index(placed, list(keys), ["phase_rank", us, "finding_id"], bucket, "step", start=1)

@@ -271,11 +271,14 @@ def _(src):
 
 @query(
     "triage_order",
-    """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 20 WHEN 2 THEN 10 WHEN 3 THEN 40 ELSE 90 END AS rank FROM part""",
+    """SELECT p_partkey, [0, 1, 2, 0, 1, 2, 0, 2, 1, 4, 0][1 + p_size % 11]::BIGINT AS rank FROM part""",
 )
 def _(src):
-    k = F.col("p_size") % 5
-    path = F.when(k == 0, "logs/Security.evtx").when(k == 1, "config/SYSTEM").when(k == 2, "u/NetHood/staging share/t.lnk").when(k == 3, "Start Menu/Calc.lnk").otherwise("x/readme.txt")
+    names = (
+        "logs/Security.evtx", "logs/Application.evtx", "logs/Microsoft-Windows-Foo%4Operational.evtx", "var/www/uploads/s.php", "srv/htdocs/i.php", "var/www/app/lib/x.php",
+        "u/NetHood/staging share/t.lnk", "Start Menu/Calc.lnk", "config/SOFTWARE", "u/NTUSER.DAT", "x/readme.txt",
+    )
+    path = F.array(*[F.lit(n) for n in names])[F.col("p_size") % 11]
     return topk.triage_order(src.given("part").select("p_partkey", path.alias("path"))).select("p_partkey", F.col("rank").cast("long").alias("rank"))
 
 

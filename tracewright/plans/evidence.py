@@ -59,7 +59,7 @@ EVIDENCE = {
                CASE WHEN l_linenumber % 3 = 0 THEN '53' ELSE '' END AS udp_port,
                CASE WHEN l_linenumber % 3 = 0 THEN 'UDP' ELSE 'TCP' END AS proto,
                CASE WHEN l_linenumber % 3 = 1 THEN concat('www', CAST(l_partkey % 3 AS STRING), '.site', CAST(l_partkey % 17 AS STRING), '.example') ELSE '' END AS http_host,
-               CASE WHEN l_returnflag = 'R' THEN 'POST' ELSE 'GET' END AS http_method,
+               CASE WHEN l_linenumber % 3 <> 1 THEN '' WHEN l_returnflag = 'R' THEN 'POST' ELSE 'GET' END AS http_method,
                concat('/item/', CAST(l_partkey AS STRING), '?o=', CAST(l_orderkey AS STRING)) AS http_uri,
                CASE WHEN l_linenumber % 2 = 0 THEN concat('sid=', CAST(l_orderkey AS STRING), '; k = ', l_linestatus, ';;flag') ELSE '' END AS cookie,
                CASE WHEN l_linenumber = 7 THEN CAST(0 AS DOUBLE) ELSE US(l_shipdate) / 1000000.0 END AS ts,

@@ -32,13 +32,13 @@ def _(src):
 @query(
     "network_filter",
     """, n AS (SELECT *, CASE WHEN logon_type = '10' THEN NULL ELSE us END AS t, concat('10.0.0.', CAST(length(payload) % 5 AS STRING)) AS dip, CASE WHEN length(account) = 5 THEN 443 ELSE 80 END AS dport FROM event_log)
-       SELECT record_id, host FROM n WHERE eid IN (3, 22) AND (t IS NULL OR (t >= 1704412800000000 AND t <= 1705881600000000)) AND contains(lower(process_name), 'tools') AND (source_ip = '10.0.0.3' OR dip = '10.0.0.3') AND dport = 80""",
+       SELECT record_id, host FROM n WHERE eid IN (3, 22) AND (t IS NULL OR (t >= 1704412800000000 AND t <= 1705881600000000)) AND contains(lower(process_name), 'tools') AND dip = '10.0.0.3' AND dport = 80""",
     uses=("event_log",),
 )
 def _(src):
     rows = src.event_log.withColumn("image", F.col("process_name")).withColumns({
         "us": F.when(F.col("logon_type") != "10", F.col("us")), "event_id": F.col("eid"), "destination_ip": F.concat(F.lit("10.0.0."), (F.length("payload") % 5).cast("string")),
-        "destination_port": F.when(F.length("account") == 5, 443).otherwise(80), "source_port": F.lit(50000),
+        "destination_port": F.when(F.length("account") == 5, 443).otherwise(80),
     })
     return filters.network_filter(rows, (3, 22), F.lit(1704412800000000), F.lit(1705881600000000), "TOOLS", "10.0.0.3", 80).select("record_id", "host")
 

@@ -86,3 +86,20 @@ def _(src):
     rows = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("case_id"), F.col("turn").alias("seq"), F.lit("").alias("prev_hash"), line.alias("line"))
     # No line names its predecessor here, so every line after the first is a break.
     return drain(live.verify_chain_stream(rows)).drop("batch")
+
+
+@query(
+    "stream_travel",
+    """, p AS (SELECT *, lag(us) OVER w AS pu, lag(lat) OVER w AS pa, lag(lon) OVER w AS po, lag(source_ip) OVER w AS pi FROM signins WINDOW w AS (PARTITION BY actor ORDER BY us, event_id)),
+       d AS (SELECT *, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - pa) / 2), 2) + cos(radians(pa)) * cos(radians(lat)) * pow(sin(radians(lon - po) / 2), 2)))) / ((us - pu) / 3600000000.0) AS v FROM p WHERE pu IS NOT NULL AND us > pu)
+       SELECT actor, us, pi AS from_ip, source_ip AS to_ip, round(v, 3) AS velocity_kmh FROM d WHERE v > 1000""",
+    uses=("signins",),
+)
+def _(src):
+    e = stream_table(src.spark, src.folder, "events")
+    i, user = F.col("event_id"), F.col("user_id")
+    rows = e.select(
+        F.concat(F.lit("u"), (user % 40).cast("string"), F.lit("@corp.example")).alias("actor"), F.unix_micros("ts").alias("us"), (F.lit(-60) + (i * 37) % 120).cast("double").alias("lat"), (F.lit(-180) + (i * 91) % 360).cast("double").alias("lon"),
+        F.concat(F.lit("203.0."), (user % 11).cast("string"), F.lit("."), (i % 23).cast("string")).alias("source_ip"),
+    )
+    return drain(live.travel_stream(rows)).drop("batch").withColumn("velocity_kmh", F.round("velocity_kmh", 3))

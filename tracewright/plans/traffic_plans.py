@@ -26,7 +26,7 @@ def _(src):
 
 
 _HTTP = """, h AS (SELECT src, dst, http_host AS host, http_method AS method, arg_min(http_uri, struct_pack(a := pkt_no, b := http_uri)) AS uri, bool_or(cookie <> '') AS has_cookie, count(*) AS requests,
-       min(CASE WHEN ts > 0 THEN ts END) AS first_ts, max(CASE WHEN ts > 0 THEN ts END) AS last_ts FROM packets WHERE http_host <> '' AND http_method <> '' GROUP BY 1, 2, 3, 4)"""
+       min(CASE WHEN ts > 0 THEN ts END) AS first_ts, max(CASE WHEN ts > 0 THEN ts END) AS last_ts FROM packets WHERE http_method <> '' GROUP BY 1, 2, 3, 4)"""
 
 
 @query("http_requests", _HTTP + " SELECT * FROM h", uses=("packets",))

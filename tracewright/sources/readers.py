@@ -115,7 +115,7 @@ def read_zeek(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-COMBINED = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+)(?: [^"]*)?" (\d{3}) \S+(?: "[^"]*" "([^"]*)")?'
+COMBINED = r'^\s*([^\s\[]+)[^\[]*\[([^\]]*)\][^"]*"\s*([A-Za-z]+)(?=[\s"])\s*([^\s"]*)[^"]*"\s*([^\s"]*)[^"]*(?:"[^"]*"[^"]*"([^"]*)")?'
 
 
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
@@ -131,7 +131,7 @@ def read_w3c_log(spark: SparkSession, path: str) -> DataFrame:
     A file that changes its field list midway is matched by the number of values, which is what tells the lists apart.
     """
     rows = _lines(spark, path)
-    heads = rows.where(F.col("line").startswith("#Fields:")).select("file", F.split(F.trim(F.substr("line", F.lit(9))), r"\s+").alias("fields")).distinct()
+    heads = rows.where(F.col("line").startswith("#Fields:")).select("file", F.split(F.lower(F.trim(F.substr("line", F.lit(9)))), r"\s+").alias("fields")).distinct()
     heads = heads.withColumn("n", F.size("fields")).dropDuplicates(["file", "n"])
     data = rows.where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumn("vals", F.split(F.trim("line"), r"\s+")).withColumn("n", F.size("vals"))
     row = F.map_from_arrays("fields", "vals")
@@ -140,7 +140,7 @@ def read_w3c_log(spark: SparkSession, path: str) -> DataFrame:
     target = F.when(get("cs-uri-query").isNotNull(), F.concat(get("cs-uri-stem"), F.lit("?"), get("cs-uri-query"))).otherwise(get("cs-uri-stem"))
     return joined.select(
         "file", F.col("row").isNotNull().alias("parsed"), get("c-ip").alias("client_ip"), F.concat_ws(" ", get("date"), get("time")).alias("timestamp"),
-        times.w3c_ts(get("date"), get("time")).alias("ts"), get("cs-method").alias("method"), target.alias("target"), get("sc-status").alias("status"), F.replace(get("cs(User-Agent)"), F.lit("+"), F.lit(" ")).alias("user_agent"),
+        times.w3c_ts(get("date"), get("time")).alias("ts"), get("cs-method").alias("method"), target.alias("target"), get("sc-status").alias("status"), F.replace(get("cs(user-agent)"), F.lit("+"), F.lit(" ")).alias("user_agent"),
     )
 
 
@@ -198,25 +198,29 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 
 def read_linux_audit(spark: SparkSession, path: str) -> DataFrame:
     """Audit lines as key/value maps plus the raw line; separators are skipped, the last of equal keys is kept."""
-    pair = r"""(\w[\w-]*)=("[^"]*"|'[^']*'|\S+)"""
     rows = _lines(spark, path).where((F.trim("line") != "") & ~F.col("line").rlike("^-+$"))
-    keys = F.regexp_extract_all("line", F.lit(pair), F.lit(1))
-    values = F.transform(F.regexp_extract_all("line", F.lit(pair), F.lit(2)), lambda v: F.regexp_replace(v, r"""^["']|["']$""", ""))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    words = F.filter(F.split(F.trim("line"), r"\s+"), lambda w: F.instr(w, "=") > 1)
+    pairs = F.transform(words, lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.substr(w, F.instr(w, "=") + 1).alias("v")))
     # A map takes each key once, so a pair is dropped when its key comes again further on.
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
     return rows.select("file", F.col("line").alias("raw"), F.map_from_entries(last).alias("fields"))
 
 
 def read_logins(spark: SparkSession, path: str) -> DataFrame:
-    """Session table text: user, line, host up to the first weekday, login and logout."""
+    """Session table text: user, line, host up to the first weekday, login and logout stamps of five tokens."""
     tokens = F.split(F.trim("line"), r"\s+")
-    rows = _lines(spark, path).where((F.trim("line") != "") & ~F.col("line").rlike(r"^(wtmp|btmp|utmp) begins")).withColumn("t", tokens)
-    day = F.array_position(F.transform("t", lambda x: F.when(x.isin(*WEEKDAYS), "day").otherwise("")), "day").cast("int")
-    rows = rows.withColumn("d", day).where("d > 0")
-    rest = F.array_join(F.slice("t", F.col("d"), F.size("t")), " ")
-    host = F.array_join(F.slice("t", F.lit(3), F.greatest(F.col("d") - 3, F.lit(0))), " ")
-    return rows.select("file", F.col("t")[0].alias("user"), F.when(F.col("d") > 2, F.col("t")[1]).alias("line"), F.nullif(host, F.lit("")).alias("host"), F.trim(F.substring_index(rest, " - ", 1)).alias("login"), F.when(F.contains(rest, F.lit(" - ")), F.trim(F.regexp_extract(rest, r" - (.*)$", 1))).alias("logout"), F.col("line").alias("raw"))
+    rows = _lines(spark, path).where(~F.trim("line").rlike("^$|^[wb]tmp begins")).withColumn("t", tokens)
+    days = F.transform("t", lambda x: F.when(x.isin(*WEEKDAYS), "day").otherwise(""))
+    rows = rows.withColumn("days", days).withColumn("d", F.array_position("days", "day").cast("int"))
+    left = F.greatest(F.size("t") - F.col("d") - 4, F.lit(0))
+    again = F.array_position(F.slice("days", F.col("d") + 5, left), "day").cast("int")
+    rows = rows.withColumn("e", F.when((F.col("d") > 0) & (again > 0), F.col("d") + 4 + again))
+
+    def stamp(at: str) -> Column:
+        return F.when((F.col(at) > 0) & (F.size("t") >= F.col(at) + 4), F.array_join(F.slice("t", F.col(at), F.lit(5)), " "))
+
+    host = F.when(F.col("d") > 3, F.array_join(F.slice("t", F.lit(3), F.col("d") - 3), " ")).otherwise("")
+    return rows.select("file", F.col("t")[0].alias("user"), F.coalesce(F.get("t", F.lit(1)), F.lit("")).alias("line"), host.alias("host"), stamp("d").alias("login"), stamp("e").alias("logout"), F.col("line").alias("raw"))
 
 
 def normalize_browser(urls: DataFrame | None = None, places: DataFrame | None = None, old_places: DataFrame | None = None, visits: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +112,33 @@ def bursts_stream(stream: DataFrame, prompts: int = 5, minutes: int = 10) -> Dat
     )
 
 
+def _travel(kmh: float):
+    def step(key, chunks, state):
+        last = state.get if state.exists else None
+        rows = pd.concat(list(chunks)).sort_values("us")
+        out = []
+        for us, lat, lon, ip in zip(rows["us"], rows["lat"], rows["lon"], rows["source_ip"]):
+            if last is not None and us > last[0]:
+                a, b = math.radians(last[1]), math.radians(lat)
+                half = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon - last[2]) / 2) ** 2
+                speed = 2 * 6371.0 * math.asin(math.sqrt(min(half, 1.0))) / ((us - last[0]) / 3_600_000_000)
+                if speed > kmh:
+                    out.append((key[0], int(us), last[3], ip, speed))
+            last = (int(us), float(lat), float(lon), ip)
+        state.update(last)
+        yield pd.DataFrame(out, columns=["actor", "us", "from_ip", "to_ip", "velocity_kmh"])
+
+    return step
+
+
+def travel_stream(stream: DataFrame, kmh: float = 1000.0) -> DataFrame:
+    """Impossible travel per actor, with the last sign-in as state; columns actor, us, lat, lon, source_ip."""
+    rows = stream.where("lat IS NOT NULL AND lon IS NOT NULL").select("actor", "us", "lat", "lon", "source_ip")
+    return rows.groupBy("actor").applyInPandasWithState(
+        _travel(kmh), "actor string, us long, from_ip string, to_ip string, velocity_kmh double", "us long, lat double, lon double, ip string", "append", "NoTimeout"
+    )
+
+
 def line_hashes(stream: DataFrame) -> DataFrame:
     """Digest of every line, for joining with a sealed leaf list."""
     return stream.select("case_id", "seq", sha256_hex(F.col("line")).alias("line_hash"))
