@@ -22,7 +22,7 @@ def chain_state(audit: DataFrame, keys=("case_id",), order: str = "line_no", lin
     key = list(keys)
     rows = audit.where(F.col(line) != "").withColumn("__b", F.floor(F.col(order) / CHAIN_BLOCK)).withColumn("line_hash", sha256_hex(F.col(line)))
     inside = Window.partitionBy(*key, "__b").orderBy(order)
-    edges = rows.groupBy(*key, "__b").agg(F.count(F.lit(1)).alias("__n"), F.max_by("line_hash", order).alias("__last"))
+    edges = rows.groupBy(*key, "__b").agg(F.count(F.lit(1)).alias("__n"), F.max_by(line, order).alias("__line")).withColumn("__last", sha256_hex(F.col("__line")))
     before = Window.partitionBy(*key).orderBy("__b")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(*key, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"), F.lag("__last").over(before).alias("__carry"))

@@ -16,7 +16,7 @@ from tracewright.functions.indicators import extract_cves
 from tracewright.functions.paths import base_name, slashed
 from tracewright.operators.ordered import DAY_US, asof_before, first_within
 from tracewright.operators.setops import view_counts
-from tracewright.session import broadcast_if_small
+from tracewright.session import broadcast_if_small, cut_lineage
 
 # Eligibility of a finding for an expected one.
 MATCH_COVERAGE = 0.5
@@ -167,12 +167,16 @@ def similar_claims(rows: DataFrame, keys, in_a: Column, in_b: Column, least: flo
     size = F.size("__tokens")
     placed = each.join(counts, [*keys, "t"]).withColumn("__pos", F.row_number().over(rare))
     prefix = placed.where(F.col("__pos") <= size - F.ceil(size * F.lit(least)).cast("int") + 1)
-    left = prefix.where("__a").select(*keys, "t", F.col("__sig").alias("sig_a"), F.col("__tokens").alias("tokens_a"))
-    right = prefix.where("__b").select(*keys, "t", F.col("__sig").alias("sig_b"), F.col("__tokens").alias("tokens_b"))
-    near = left.join(right, [*keys, "t"]).where(text.jaccard(F.col("tokens_a"), F.col("tokens_b")) >= least)
+    left = prefix.where("__a").select(*keys, "t", F.col("__sig").alias("sig_a"))
+    right = prefix.where("__b").select(*keys, "t", F.col("__sig").alias("sig_b"))
+    # Candidates combine on the map side before their token sets are fetched and compared.
+    cand = left.join(right, [*keys, "t"]).select(*keys, "sig_a", "sig_b").distinct()
+    cand = cand.join(sets.select(*keys, F.col("__sig").alias("sig_a"), F.col("__tokens").alias("tokens_a")), [*keys, "sig_a"])
+    cand = cand.join(sets.select(*keys, F.col("__sig").alias("sig_b"), F.col("__tokens").alias("tokens_b")), [*keys, "sig_b"])
+    near = cand.where(text.jaccard(F.col("tokens_a"), F.col("tokens_b")) >= least).select(*keys, "sig_a", "sig_b")
     # Two empty descriptions agree, but share no token to meet on.
     blank = sets.where((size == 0) & F.col("__a") & F.col("__b")).select(*keys, F.col("__sig").alias("sig_a"), F.col("__sig").alias("sig_b"))
-    return near.select(*keys, "sig_a", "sig_b").distinct().unionByName(blank)
+    return near.unionByName(blank)
 
 
 def contradictions(findings: DataFrame, keys=("case_id",)) -> DataFrame:
@@ -184,8 +188,10 @@ def contradictions(findings: DataFrame, keys=("case_id",)) -> DataFrame:
     """
     rows = _signed(findings).withColumn("__tokens", F.array_sort(text.word_tokens(F.col("description"))))
     rows = rows.withColumn("__sig", F.md5(F.array_join("__tokens", " ")))
+    # Texts are tokenised once; the totals below read this table from storage.
+    rows = cut_lineage(rows.select(*keys, "finding_id", "pool_origin", "tool_call_id", "artifact_path", "__rank", "__tech", "__sig", "__tokens"))
     a_rows = rows.where("coalesce(pool_origin, 'A') = 'A'")
-    a = a_rows.drop("__tokens", "description")
+    a = a_rows.drop("__tokens")
     b = rows.where("coalesce(pool_origin, 'B') = 'B'")
     key = list(keys)
     call_key, path_key = [*key, "tool_call_id"], [*key, "artifact_path"]

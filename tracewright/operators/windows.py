@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.times import haversine_km
 from tracewright.operators.ordered import DAY_US, HOUR_US, dense_index, first_within, islands, previous_values, slot, trailing_count
+from tracewright.session import cut_lineage
 
 # Our choice of thresholds.
 TRAVEL_KMH = 1000.0
@@ -23,7 +24,8 @@ def temporal_clusters(events: DataFrame, us: str = "us", host: str = "host", gap
     per_host = events.where(F.col(us).isNotNull()).groupBy(slot(us, gap_us).alias("cell"), F.col(host).alias("host")).agg(
         F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")
     )
-    return clusters_from_cells(per_host, gap_us, min_hosts)
+    # The events are read once; what follows reads this bounded table several times.
+    return clusters_from_cells(cut_lineage(per_host), gap_us, min_hosts)
 
 
 def clusters_from_cells(per_host: DataFrame, gap_us: int = 60_000_000, min_hosts: int = 2) -> DataFrame:
