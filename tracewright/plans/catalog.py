@@ -46,4 +46,4 @@ def query(name: str, check: str | None = None, uses: tuple = ()):
 
 
 def load_all() -> None:
-    from tracewright.plans import custody_plans, disk_plans, fleet_plans, judging_plans, log_plans, stream_plans, text_plans, traffic_plans  # noqa: F401
+    from tracewright.plans import custody_plans, disk_plans, fleet_plans, judging_plans, log_plans, source_plans, stream_plans, text_plans, traffic_plans  # noqa: F401

@@ -126,12 +126,12 @@ def _(src):
 
 @query(
     "case_outcomes",
-    """, g AS (SELECT case_id, bool_or(confidence = 'CONFIRMED' OR (confidence = 'INFERRED' AND mitre_technique IN ('T1014', 'T1055'))) AS evil, count(*) AS findings FROM findings WHERE confidence <> 'CONFIRMED' OR us % 3000000 = 0 GROUP BY 1)
+    """, g AS (SELECT case_id, bool_or(confidence = 'CONFIRMED' OR (confidence = 'INFERRED' AND mitre_technique IN ('T1014', 'T1055'))) AS evil, count(*) AS findings FROM findings WHERE verifier_action <> 'rejected' AND host NOT IN ('host-2', 'host-5') GROUP BY 1)
        SELECT c.case_id, coalesce(findings, 0) AS findings, CASE WHEN evil THEN 'SUSPICIOUS' WHEN findings > 0 THEN 'INDETERMINATE' WHEN substantive THEN 'NO_EVIL' ELSE 'INDETERMINATE' END AS outcome FROM cases c LEFT JOIN g ON c.case_id = g.case_id""",
     uses=("findings", "cases"),
 )
 def _(src):
-    kept = src.findings.where("confidence <> 'CONFIRMED' OR us % 3000000 = 0")
+    kept = src.findings.where("verifier_action <> 'rejected' AND host NOT IN ('host-2', 'host-5')")
     return aggregates.case_outcome(kept, src.cases)
 
 
@@ -541,12 +541,12 @@ def _(src):
 
 @query(
     "expert_miss_rate",
-    """, e AS (SELECT *, 1706745600000000 - 10 * 86400000000 AS cut FROM timeline), r AS (SELECT CASE WHEN significance = 'context' THEN 'unknown' ELSE significance END AS edit_type, case_id FROM e WHERE us >= cut AND event_id % 2 = 1)
+    """, e AS (SELECT *, 1706745600000000 - 10 * 86400000000 AS cut FROM timeline), r AS (SELECT CASE WHEN significance = 'context' THEN 'unknown' ELSE significance END AS edit_type, case_id FROM e WHERE us >= cut AND account <> '')
        SELECT edit_type, count(*) AS misses, (SELECT count(DISTINCT case_id) FROM r) AS cases, round(count(*) / (SELECT count(DISTINCT case_id) FROM r), 6) AS rate_per_case FROM r GROUP BY 1""",
     uses=("timeline",),
 )
 def _(src):
-    ledger = src.timeline.select("case_id", "us", F.when(F.col("significance") != "context", F.col("significance")).alias("edit_type"), F.when(F.col("event_id") % 2 == 1, "expert_miss").otherwise("note").alias("kind"))
+    ledger = src.timeline.select("case_id", "us", F.when(F.col("significance") != "context", F.col("significance")).alias("edit_type"), F.when(F.col("account") != "", "expert_miss").otherwise("note").alias("kind"))
     return aggregates.miss_rate(ledger, F.lit(1706745600000000), 10).withColumn("rate_per_case", F.round("rate_per_case", 6))
 
 

@@ -47,15 +47,15 @@ def _(src):
 
 @query(
     "stream_provisional_timeline",
-    """SELECT concat('case-', CAST(user_id % 30 AS STRING)) AS case_id, concat('f-', CAST(event_id AS STRING)) AS finding_id, concat('tc-', CAST(user_id AS STRING)) AS tool_call_id, event_type AS summary, 'INFERRED' AS confidence FROM events WHERE event_type IN ('purchase', 'signup') AND user_id % 2 = 1""",
+    """SELECT concat('case-', CAST(user_id % 30 AS STRING)) AS case_id, concat('f-', CAST(event_id AS STRING)) AS finding_id, concat('tc-', CAST(user_id AS STRING)) AS tool_call_id, event_type AS summary, 'INFERRED' AS confidence FROM events WHERE event_type IN ('purchase', 'signup') AND user_id NOT IN (SELECT user_id FROM events WHERE value > 200)""",
 )
 def _(src):
     e = stream_table(src.spark, src.folder, "events")
     kind = F.when(F.col("event_type").isin("purchase", "signup"), "finding_approved").otherwise("tool_call_output")
     payload = F.to_json(F.struct(F.concat(F.lit("f-"), F.col("event_id").cast("string")).alias("finding_id"), F.concat(F.lit("tc-"), F.col("user_id").cast("string")).alias("tool_call_id"), F.col("event_type").alias("description"), F.lit("INFERRED").alias("confidence")))
     log = e.select(F.concat(F.lit("case-"), (F.col("user_id") % 30).cast("string")).alias("case_id"), F.col("ts").cast("string").alias("ts"), kind.alias("kind"), payload.alias("payload"))
-    # Calls of even users already have authoritative rows.
-    have = src.given("events").where("user_id % 2 = 0").select(F.concat(F.lit("case-"), (F.col("user_id") % 30).cast("string")).alias("case_id"), F.concat(F.lit("tc-"), F.col("user_id").cast("string")).alias("tool_call_id"))
+    # Calls of users with a large value already have authoritative rows.
+    have = src.given("events").where("value > 200").select(F.concat(F.lit("case-"), (F.col("user_id") % 30).cast("string")).alias("case_id"), F.concat(F.lit("tc-"), F.col("user_id").cast("string")).alias("tool_call_id"))
     return drain(live.reconcile(live.provisional_timeline(log), have)).select("case_id", "finding_id", "tool_call_id", "summary", "confidence")
 
 
