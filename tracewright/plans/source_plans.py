@@ -25,7 +25,8 @@ def as_lines(df: DataFrame, line: Column) -> str:
 def with_head(df: DataFrame, head: str, line: Column) -> str:
     """Text files that each start with a head line, written by all tasks."""
     path = _folder(df)
-    df.select(line.alias(head)).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(path)
+    plain = {"sep": "\u0001", "quote": "\u0000", "escape": "\u0002", "comment": "\u0003"}
+    df.select(line.alias(head)).write.options(header=True, **plain).csv(path)
     return path
 
 
