@@ -448,8 +448,8 @@ def _asserted(src):
 
 @query(
     "entailment",
-    """SELECT concat('f-', CAST(event_id AS STRING)) AS finding_id, 6 AS asserted, CAST(value > 50 AS INT) + CAST(event_type = 'error' AS INT) + CAST(event_type = 'view' AS INT) AS misses, CAST(value > 50 AS INT) + CAST(event_type = 'error' AS INT) + CAST(event_type = 'view' AS INT) AS hard_misses,
-       CAST(event_type = 'error' AS INT) AS identity_misses, 0 AS over_counts FROM events""",
+    """SELECT concat('f-', CAST(event_id AS STRING)) AS finding_id, 6::BIGINT AS asserted, CAST(value > 50 AS BIGINT) + CAST(event_type = 'error' AS BIGINT) + CAST(event_type = 'view' AS BIGINT) AS misses, CAST(value > 50 AS BIGINT) + CAST(event_type = 'error' AS BIGINT) + CAST(event_type = 'view' AS BIGINT) AS hard_misses,
+       CAST(event_type = 'error' AS BIGINT) AS identity_misses, 0::BIGINT AS over_counts FROM events""",
 )
 def _(src):
     findings, outputs = _asserted(src)
