@@ -123,7 +123,7 @@ def test_audit_lines_inventory_and_csv(spark, tmp_path):
     numbered = readers.with_line_numbers(log.select("file", "line", "seq"))
     assert all(r["line_no"] == r["seq"] for r in numbered.collect())
     assert readers.inventory(spark, str(tmp_path)).first()["sha256"] == hashlib.sha256((tmp_path / "audit.jsonl").read_bytes()).hexdigest()
-    assert readers.inventory(spark, str(tmp_path), mounted=True).first()["sha256"] == hashlib.sha256((tmp_path / "audit.jsonl").read_bytes()).hexdigest()
+    assert readers.inventory(spark, str(tmp_path), whole=0).first()["sha256"] == hashlib.sha256((tmp_path / "audit.jsonl").read_bytes()).hexdigest()
     path = put(tmp_path, "lnk.csv", ["Source File,Target Path", "a.lnk,"])
     assert readers.read_decoded_csv(spark, path, "lecmd").first()["row"] == {"Source File": "a.lnk"}
     path = put(tmp_path, "st.jsonl", ['{"timestamp":5,"filename":"/tmp/x1/SecEvent.Evt","parser":"winevt","data_type":"d"}'])

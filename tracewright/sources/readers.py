@@ -10,6 +10,7 @@ import hashlib
 import json
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -286,26 +287,26 @@ def _digest(batches):
     for pdf in batches:
         out = []
         for path in pdf["path"]:
+            # Any scheme Arrow can open: local, HDFS or object storage.
+            system, inner = fs.FileSystem.from_uri(path)
             h = hashlib.sha256()
-            with open(path.removeprefix("file:"), "rb") as handle:
+            with system.open_input_stream(inner) as handle:
                 while chunk := handle.read(1 << 22):
                     h.update(chunk)
             out.append(h.hexdigest())
         yield pdf.assign(sha256=out)
 
 
-# Files up to this size are hashed from their loaded content.
+# Files up to this size are hashed from their loaded content, larger ones in chunks.
 WHOLE_FILE_BYTES = 256 << 20
 
 
-def inventory(spark: SparkSession, folder: str, mounted: bool = False) -> DataFrame:
-    """Path, size and SHA-256 of every file. Large files are hashed in chunks from a mounted shared path when there is one."""
+def inventory(spark: SparkSession, folder: str, whole: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """Path, size and SHA-256 of every file; no file is left without a digest."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    if mounted:
-        return files.select("path", F.col("length").alias("size")).repartition("path").mapInPandas(_digest, "path string, size long, sha256 string")
-    small = files.where(F.col("length") <= WHOLE_FILE_BYTES).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > WHOLE_FILE_BYTES).select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large)
+    small = files.where(F.col("length") <= whole).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path", F.col("length").alias("size")).repartition("path")
+    return small.unionByName(large.mapInPandas(_digest, "path string, size long, sha256 string"))
 
 
 def read_decoded_csv(spark: SparkSession, path: str, tool: str) -> DataFrame:
