@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check import compare
+from tracewright.plans import catalog
 from tracewright.plans.evidence import TABLES
 from tracewright.session import broadcast_if_small, cut_lineage
 
@@ -21,7 +22,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     note, fine = compare(spark, con, name, FOLDER)
     assert fine or (name in MAY_BE_EMPTY and " n=0" in note), note
