@@ -32,3 +32,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tracewright.llm.tokens import tokenizer_path
 
     return pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op6_minhash_near_dedup")
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), size=4)
