@@ -45,9 +45,9 @@ def before_parts(parts: DataFrame, **totals: Column) -> DataFrame:
     return sums.select("_part", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).cast("long").alias(f"{k}_before") for k in totals])
 
 
-def pieces(texts: Iterable[str], size: int = 1 << 20) -> Iterator[tuple[list[int], list[str]]]:
-    """Groups of (text numbers, text pieces) of about `size` characters; longer texts are cut, after white space if they can be."""
-    numbers, group, held = [], [], 0
+def pieces(texts: Iterable[str], size: int = 1 << 19) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Groups of (text numbers, offsets, text pieces) of about `size` characters; longer texts are cut, after white space if they can be."""
+    numbers, offsets, group, held = [], [], [], 0
     for i, text in enumerate(texts):
         start = 0
         while start < len(text):
@@ -59,11 +59,30 @@ def pieces(texts: Iterable[str], size: int = 1 << 20) -> Iterator[tuple[list[int
                         end = back
                         break
             numbers.append(i)
+            offsets.append(start)
             group.append(text[start:end])
             held += end - start
             start = end
             if held >= size:
-                yield numbers, group
-                numbers, group, held = [], [], 0
+                yield numbers, offsets, group
+                numbers, offsets, group, held = [], [], [], 0
     if group:
-        yield numbers, group
+        yield numbers, offsets, group
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, fold: tuple[int, int], per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """(key, text, y) of at most `per_class` rows of each label value, and per value (rows there are, rows taken).
+
+    Rows of the held-out fold (folds, remainder) are never read. The choice follows a hash of the id, so it is the same
+    in every run. The chosen ids are broadcast: two times `per_class` rows at most.
+    """
+    folds, held_out = fold
+    known = labels.filter(F.col(value).isin(0, 1) & F.col(id_col).isNotNull() & (fold_of(F.col(id_col), folds) != held_out))
+    known = known.groupBy(F.col(id_col).alias("key")).agg(F.max(value).cast("int").alias("y"))
+    there = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen = None
+    for y in (0, 1):
+        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(per_class)
+        chosen = part if chosen is None else chosen.union(part)
+    sample = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key")
+    return sample, {y: (n, min(n, per_class)) for y, n in there.items()}

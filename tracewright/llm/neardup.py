@@ -17,7 +17,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,32 +126,57 @@ def sketch(size: int, places: int, rows: int):
 
 
 def alike(mode: str, floor: float):
-    """Group function over one block pair of a bucket: candidate pairs across components.
+    """Task function over rows (hash, lo, hi, id, comp, low) sorted by block pair: candidate pairs across components.
 
     `best`: each node with its most alike node of another component. `all`: every such pair whose estimated
-    similarity reaches `floor`. Pairs inside one component are settled and skipped.
+    similarity reaches `floor`. Pairs inside one component are settled and skipped. A block pair has bounded size.
     """
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        low = np.frombuffer(b"".join(group["low"]), np.uint8).reshape(len(group), -1)
-        ids, comp = group["id"].to_numpy(), group["comp"].to_numpy()
+    def pairs(ids: np.ndarray, comp: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
-        for i in range(len(group)):
-            near = (low == low[i]).mean(axis=1)
-            near[comp == comp[i]] = -1.0
+        step = max(1, (1 << 22) // low.size)
+        for i in range(0, len(ids), step):
+            near = (low[i : i + step, None, :] == low[None, :, :]).mean(axis=2)
+            near[comp[i : i + step, None] == comp[None, :]] = -1.0
             if mode == "best":
-                j = int(near.argmax())
-                hits = np.array([j]) if near[j] >= floor else np.zeros(0, int)
+                top = near.argmax(axis=1)
+                x = np.flatnonzero(near[np.arange(len(near)), top] >= floor)
+                y = top[x]
             else:
-                hits = np.flatnonzero(near >= floor)
-                hits = hits[hits > i]
-            left.append(np.full(len(hits), ids[i]))
-            right.append(ids[hits])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+                x, y = np.nonzero(near >= floor)
+            left.append(ids[x + i])
+            right.append(ids[y])
+        return np.concatenate(left), np.concatenate(right)
 
-    return pairs
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            ids, comp, low = (np.concatenate(c) for c in zip(*held))
+            if (comp == comp[0]).all():
+                return
+            a, b = pairs(ids, comp, low)
+            if len(a):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            ids, comp = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            low = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(ids), -1)
+            edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(ids)]))
+            for x, y in zip(edges[:-1], edges[1:]):
+                if key is not None and tuple(keys[x]) != key:
+                    yield from settle()
+                    held = []
+                key = tuple(keys[x])
+                held.append((ids[x:y], comp[x:y], low[x:y]))
+        if held:
+            yield from settle()
+
+    return work
 
 
 def confirm(size: int, percent: int):
@@ -236,19 +260,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: i
         return by_tasks(sided, confirm(size, percent), "a long, b long")
 
     links = cut_lineage(verified(buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()))
-    floor = percent / 100 - 0.2
+    # Four standard errors of a signature of 128 places below the threshold.
+    floor = percent / 100 - 0.15
     merging = True
     for mode in ("best", "best", "best", "all"):
         if mode == "best" and not merging:
             continue
         labelled = buckets.select("hash", "members", "id").join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = labelled.groupBy("hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("hash")
+        # In a bucket of two the only pair was compared with the head.
+        mixed = labelled.filter("members > 2").groupBy("hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("hash")
         open_rows = labelled.join(mixed, "hash").join(facts.select("id", "low"), "id")
         # A bucket of k blocks is compared block against block, so that no group exceeds two blocks.
         k = F.expr(f"cast((members + {block - 1}) div {block} as int)")
         spread = open_rows.withColumn("mine", F.pmod(F.xxhash64("id"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
         spread = spread.select("hash", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "id", "comp", "low")
-        found = spread.groupBy("hash", "lo", "hi").applyInPandas(alike(mode, floor), "a long, b long").distinct()
+        met = spread.repartition("hash", "lo", "hi").sortWithinPartitions("hash", "lo", "hi")
+        found = by_tasks(met, alike(mode, floor), "a long, b long").distinct()
         more = cut_lineage(verified(found))
         merging = more.limit(1).count() > 0
         links = links.union(more)

@@ -39,3 +39,10 @@ def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tracewright.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"), size=4)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.toxicity import scored_fold
+
+    return scored_fold(table(spark, folder, "documents"), table(spark, folder, "labels"))
