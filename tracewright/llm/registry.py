@@ -46,3 +46,10 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from tracewright.llm.toxicity import scored_fold
 
     return scored_fold(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.langid import predicted_fold
+
+    return predicted_fold(table(spark, folder, "documents"))
