@@ -53,3 +53,10 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from tracewright.llm.langid import predicted_fold
 
     return predicted_fold(table(spark, folder, "documents"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.quality import scored_fold
+
+    return scored_fold(table(spark, folder, "documents"), table(spark, folder, "labels"))
