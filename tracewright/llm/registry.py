@@ -60,3 +60,10 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     from tracewright.llm.quality import scored_fold
 
     return scored_fold(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_benchmark_decontamination")
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
