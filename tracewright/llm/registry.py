@@ -67,3 +67,10 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     from tracewright.llm.decontaminate import contaminated
 
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op2_license_scans")
+def op2_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.licenses import scan
+
+    return scan(table(spark, folder, "documents"))
