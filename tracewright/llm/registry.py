@@ -74,3 +74,24 @@ def op2_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     from tracewright.llm.licenses import scan
 
     return scan(table(spark, folder, "documents"))
+
+
+@query("op1_sharding")
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, folder, "documents"))
+
+
+@query("op4_document_fingerprints")
+def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.merkle import edited_fingerprints
+
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op10_warc")
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.warc import round_trip
+
+    return round_trip(table(spark, folder, "pages"))
