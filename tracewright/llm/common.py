@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,21 @@ def by_tasks(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(work, schema)
 
 
+def text_column(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], pick: Callable[[pa.RecordBatch], Iterable], kind: str, missing=None) -> Callable[[Column], Column]:
+    """A column function of texts out of a task function over (key, text): what `pick` finds in the row of that text."""
+
+    def values(texts: pd.Series) -> pd.Series:
+        out = [missing] * len(texts)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string(), from_pandas=True)], names=["key", "text"])
+        for found in work(iter([batch])):
+            for key, value in zip(found.column(0).to_pylist(), pick(found)):
+                out[key] = value
+        return pd.Series(out)
+
+    values.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(values, kind)
+
+
 def ordered_parts(df: DataFrame, *order: Column) -> DataFrame:
     """Rows range-partitioned by `order` and written once, with their part number as `_part`.
 

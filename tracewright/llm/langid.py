@@ -164,13 +164,8 @@ def word_scores(model: Model, prefix: np.ndarray, starts: np.ndarray, ends: np.n
     return out
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row: the likeliest learned language and its share of the likelihood.
-
-    `und` with score 0 for texts that are null, hold no letter, or when nothing was learned. Ties go to the language
-    that comes first by name. Repeated rows are predicted each for itself; other columns are not read.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+def predictor(model: Model):
+    """Task function over (key, text): (key, lang_pred, score)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,8 +185,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             tongue = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, named)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tongue, pa.string()), pa.array(np.where(named, share, 0.0))], names=["key", "lang_pred", "score"])
 
+    return work
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) of every row: the likeliest learned language and its share of the likelihood.
+
+    `und` with score 0 for texts that are null, hold no letter, or when nothing was learned. Ties go to the language
+    that comes first by name. Repeated rows are predicted each for itself; other columns are not read.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    return by_tasks(slim, work, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", id_col)
+    return by_tasks(slim, predictor(model), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", id_col)
 
 
 def predicted_fold(docs: DataFrame, fold: tuple[int, int] = FOLD) -> DataFrame:

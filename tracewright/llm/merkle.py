@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import ordered_parts
 
 BORDERS = ("0", "4", "8", "c")
-CLAUSE_END = "([.!?,;:|\n])"
-MARK = "\x01"
+CLAUSE = "(?:[^ .!?,;:|\n]* ){0,7}[^ .!?,;:|\n]*(?:[ .!?,;:|\n]|$)"
 
 
 def lines(text: Column) -> Column:
@@ -23,8 +22,8 @@ def lines(text: Column) -> Column:
 
 
 def clauses(text: Column) -> Column:
-    """64-bit hashes of the clauses, in order: pieces that end in a punctuation sign or a line end."""
-    return F.transform(F.split(F.regexp_replace(text, CLAUSE_END, "$1" + MARK), MARK), lambda c: F.xxhash64(c))
+    """64-bit hashes of the clauses, in order: up to eight words that end at a punctuation sign or a line end."""
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0)), lambda c: c != ""), lambda c: F.xxhash64(c))
 
 
 def paragraphs(text: Column) -> Column:
@@ -43,7 +42,8 @@ def root(section_hashes: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Shared distinct clauses over all distinct clauses of two texts; 1 for equal texts."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    every = F.size(F.array_union(a, b))
+    return F.when(every == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / every)
 
 
 def trees(docs: DataFrame, text_col: str = "text") -> DataFrame:

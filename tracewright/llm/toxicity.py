@@ -140,13 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, vocabulary: i
     return Model(words, weights, bias)
 
 
-def score(docs: DataFrame, model: Model, report: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, spans) of every row: the document's probability and the sentences of at least `report`.
-
-    Spans are (start, end, score) in code points. Texts that are null or hold no word score 0 and have no spans.
-    Repeated rows are scored each for itself; other columns are not read.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+def scorer(model: Model, report: float = 0.5):
+    """Task function over (key, text): (key, score, spans)."""
     words, weights, bias = model.words, model.weights, model.bias
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
@@ -169,8 +164,18 @@ def score(docs: DataFrame, model: Model, report: float = 0.5, id_col: str = "doc
                     spans[numbers[o]].append({"start": int(start[i] + offsets[o]), "end": int(end[i] + offsets[o]), "score": float(chance[i])})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(-np.expm1(-total)), pa.array(spans, pa.list_(span))], names=["key", "score", "spans"])
 
+    return work
+
+
+def score(docs: DataFrame, model: Model, report: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, spans) of every row: the document's probability and the sentences of at least `report`.
+
+    Spans are (start, end, score) in code points. Texts that are null or hold no word score 0 and have no spans.
+    Repeated rows are scored each for itself; other columns are not read.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    out = by_tasks(slim, work, f"key {kind}, score double, spans array<struct<start:long,end:long,score:double>>")
+    out = by_tasks(slim, scorer(model, report), f"key {kind}, score double, spans array<struct<start:long,end:long,score:double>>")
     return out.withColumnRenamed("key", id_col)
 
 
