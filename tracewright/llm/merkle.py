@@ -22,8 +22,8 @@ def lines(text: Column) -> Column:
 
 
 def clauses(text: Column) -> Column:
-    """64-bit hashes of the clauses, in order: up to eight words that end at a punctuation sign or a line end."""
-    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0)), lambda c: c != ""), lambda c: F.xxhash64(c))
+    """32-bit hashes of the clauses, in order: up to eight words that end at a punctuation sign or a line end."""
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0)), lambda c: c != ""), lambda c: F.hash(c))
 
 
 def paragraphs(text: Column) -> Column:
@@ -65,40 +65,43 @@ def differing(a: DataFrame, b: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+KEY = ["none", "key", "th"]
+
+
 def followers(docs: DataFrame) -> DataFrame:
-    """Per distinct (key, th): its length, the next one in descending order (after the last: the first), and the one before."""
-    parts = ordered_parts(docs.select("key", "th", "n").distinct(), F.col("key").desc_nulls_last(), F.col("th"))
-    order = [F.col("key").desc_nulls_last(), F.col("th")]
+    """Per distinct (none, key, th): its length, the next one in descending order (after the last: the first), and the one before."""
+    order = [F.col("none"), F.col("key").desc(), F.col("th")]
+    parts = ordered_parts(docs.select(*KEY, "n").distinct(), *order)
     inside = Window.partitionBy("_part").orderBy(*order)
-    me = F.struct("key", "th", "n")
+    me = F.struct(*KEY, "n")
     near = parts.withColumns({"_before": F.lag(me).over(inside), "_after": F.lead(me).over(inside)})
     # Part borders: the first and last row of each part, one row per part.
-    edge = parts.groupBy("_part").agg(F.min(F.struct(F.col("key").isNull().alias("z"), (-F.col("key")).alias("k"), "th", "n", "key")).alias("a"), F.max(F.struct(F.col("key").isNull().alias("z"), (-F.col("key")).alias("k"), "th", "n", "key")).alias("b"))
-    flat = lambda c: F.struct(F.col(f"{c}.key"), F.col(f"{c}.th"), F.col(f"{c}.n"))
+    ranked = F.struct("none", (-F.col("key")).alias("rank"), "th", "n", "key")
+    edge = parts.groupBy("_part").agg(F.min(ranked).alias("a"), F.max(ranked).alias("b"))
+    flat = lambda c: F.struct(*[F.col(f"{c}.{k}") for k in (*KEY, "n")])
     line = Window.orderBy("_part")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edge = edge.select("_part", F.coalesce(F.lag(flat("b")).over(line), F.last(flat("b")).over(whole)).alias("_in"), F.coalesce(F.lead(flat("a")).over(line), F.first(flat("a")).over(whole)).alias("_out"))
-    return near.join(F.broadcast(edge), "_part").select("key", "th", "n", F.coalesce("_before", "_in").alias("before"), F.coalesce("_after", "_out").alias("after"))
+    return near.join(F.broadcast(edge), "_part").select(*KEY, F.coalesce("_before", "_in").alias("before"), F.coalesce("_after", "_out").alias("after"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edit: the last third of its code points replaced by the next document's first ones.
 
-    Next is the one with the next smaller id; after the last comes the first. Equal rows count as one document in that
-    order and share their result; other rows of one id follow in the order of a text hash. Rows without id come last. A
-    null text is empty. A lone document is its own next. An empty table gives no rows. The texts are moved once, by id; of
-    the next document only the part that the edit takes in, and its clause hashes, are moved again.
+    Next is the one with the next smaller id (ids are numbers); after the last comes the first. Equal rows count as one
+    document in that order and share their result; other rows of one id follow in the order of a text hash. Rows without
+    id come last. A null text is empty. A lone document is its own next. An empty table gives no rows. The texts are
+    moved once, by id (both sides of the second join read that one exchange, as they use the same columns); of the next
+    document only the part that the edit takes in, and its clause hashes, are moved again.
     """
-    base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(0)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumns({"th": F.xxhash64("text"), "n": F.char_length("text").cast("long")})
-    order = followers(base).select(F.col("key").alias("k"), F.col("th").alias("t"), "before", "after")
-    placed = base.join(order, F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))).drop("k", "t")
-    own = trees(placed)
-    given = own.dropDuplicates(["key", "th"]).select(
-        F.col("before.key").alias("k"), F.col("before.th").alias("t"), F.col("fingerprint").alias("next_fingerprint"), F.col("clauses").alias("next_clauses"),
+    own = trees(base.join(followers(base).select(*KEY, "before"), KEY))
+    given = own.select(
+        *[F.col(f"before.{k}").alias(k) for k in KEY], F.col("fingerprint").alias("next_fingerprint"), F.col("clauses").alias("next_clauses"), F.col("n").alias("next_n_chars"),
         F.substring("text", F.lit(1), F.floor(F.col("before.n") / 3).cast("int")).alias("taken"),
-    )
-    both = own.join(given, F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t")))
+    ).dropDuplicates(KEY)
+    both = own.join(given, KEY)
     kept = (F.col("n") - F.floor(F.col("n") / 3)).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), "taken"))
     out = both.withColumns({
@@ -107,4 +110,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "near_edited": likeness(F.col("clauses"), clauses(F.col("edited"))),
         "near_next": likeness(F.col("clauses"), F.col("next_clauses")),
     })
-    return out.select(F.col("key").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select(F.when(~F.col("none"), F.col("key")).alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_n_chars")

@@ -6,7 +6,7 @@
 2. Documents with equal sets are one node from here on.
 3. Nodes that share a band hash are candidates. No bucket lists all its pairs: first each member is compared with the
    bucket's smallest node, then, where members of one bucket are still in different components, each with its most
-   alike member elsewhere (repeated while components merge), and last with all members of other components whose
+   alike member elsewhere, and last with all members of other components whose
    signatures leave a link possible. Buckets are cut into blocks of bounded size for this.
 4. Candidates are confirmed on the full sets. Components come from alternating star contraction over tables.
 """
@@ -208,23 +208,28 @@ def confirm(size: int, percent: int):
     return work
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, per_task: int = 200_000) -> DataFrame:
     """(id, comp) for every end of the links (a, b): comp is the smallest id of its connected component.
 
-    Alternating large and small stars over tables: edges move towards the smallest neighbour until they form stars.
+    Alternating large and small stars over tables: edges move towards the smallest neighbour until each id has one
+    centre and no centre has one itself. Tables of few edges are handled by few tasks.
     """
-    stars = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    stars = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    stars = cut_lineage(stars)
+    edges = stars.count()
     while True:
-        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = edges // per_task + 1
+        stars = stars.coalesce(tasks)
+        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
-        after = cut_lineage(small.filter("u <> v").distinct())
-        digest = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (stars, after)]
-        stars = after
-        if digest[0] == digest[1]:
+        small = large.join(lower, "u").coalesce(tasks)
+        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")).coalesce(tasks))
+        stars = cut_lineage(small.filter("u <> v").coalesce(tasks).distinct().coalesce(tasks))
+        edges = stars.count()
+        inner = stars.join(stars.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        if stars.select("u").distinct().count() == edges and inner.isEmpty():
             break
     members = stars.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return members.union(stars.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
@@ -262,10 +267,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: i
     links = cut_lineage(verified(buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()))
     # Four standard errors of a signature of 128 places below the threshold.
     floor = percent / 100 - 0.15
-    merging = True
-    for mode in ("best", "best", "best", "all"):
-        if mode == "best" and not merging:
-            continue
+    for mode in ("best", "all"):
         labelled = buckets.select("hash", "members", "id").join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         # In a bucket of two the only pair was compared with the head.
         mixed = labelled.filter("members > 2").groupBy("hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("hash")
@@ -277,7 +279,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: i
         met = spread.repartition("hash", "lo", "hi").sortWithinPartitions("hash", "lo", "hi")
         found = by_tasks(met, alike(mode, floor), "a long, b long").distinct()
         more = cut_lineage(verified(found))
-        merging = more.limit(1).count() > 0
         links = links.union(more)
     grouped = sets.join(components(links), "id", "left").select("digest", "first_key", F.coalesce("comp", "id").alias("comp"))
     heads = grouped.groupBy("comp").agg(F.min("first_key").alias("component"))
