@@ -120,65 +120,118 @@ def sketch(size: int, places: int, rows: int):
                     lows.append(next(low).tobytes() if len(s) else None)
                     hashes.append(next(bands) if len(s) else None)
                 keys = batch.column(0).slice(first, at - first)
-                yield pa.RecordBatch.from_arrays([keys, marks.slice(first, at - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(lows, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "th", "n", "digest", "low", "bands"])
+                yield pa.RecordBatch.from_arrays([keys, marks.slice(first, at - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(lows, pa.binary()), pa.array([None if h is None else h.tobytes() for h in hashes], pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "th", "n", "digest", "low", "bands", "each"])
 
     return work
 
 
-def alike(mode: str, floor: float):
-    """Task function over rows (hash, lo, hi, id, comp, low) sorted by block pair: candidate pairs across components.
+MET = "hash long, lo int, hi int, id long, comp long, n long, low binary, bands binary"
 
-    `best`: each node with its most alike node of another component. `all`: every such pair whose estimated
-    similarity reaches `floor`. Pairs inside one component are settled and skipped. A block pair has bounded size.
+
+def alike(mode: str, floor: float, percent: int, size: int | None = None):
+    """Task function over rows `MET` sorted by block pair: what is still to be compared across components.
+
+    `best`: each node with its most alike node of another component. `all`: every such pair whose estimated similarity
+    reaches `floor`. Pairs inside one component are settled and skipped, as are sizes too far apart to link; a pair is
+    looked at only in the first band that it shares. Without `size` the rows that take part in a pair are returned;
+    with it the rows end in their text, and the links (a, b) confirmed on the full sets are. Blocks have bounded size.
     """
 
-    def pairs(ids: np.ndarray, comp: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
+    def pairs(block: list[np.ndarray], bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, comp, n, low, bands = block[:5]
+        left, right, value = [], [], []
         step = max(1, (1 << 22) // low.size)
         for i in range(0, len(ids), step):
             near = (low[i : i + step, None, :] == low[None, :, :]).mean(axis=2)
-            near[comp[i : i + step, None] == comp[None, :]] = -1.0
+            mine = n[i : i + step, None]
+            near[(comp[i : i + step, None] == comp[None, :]) | (100 * np.minimum(mine, n) < percent * np.maximum(mine, n))] = -1.0
             if mode == "best":
-                top = near.argmax(axis=1)
-                x = np.flatnonzero(near[np.arange(len(near)), top] >= floor)
-                y = top[x]
+                y = near.argmax(axis=1)
+                x = np.arange(len(near))
+                x, y = x[near[x, y] >= floor], y[near[x, y] >= floor]
             else:
                 x, y = np.nonzero(near >= floor)
-            left.append(ids[x + i])
-            right.append(ids[y])
-        return np.concatenate(left), np.concatenate(right)
+                x, y = x[x + i < y], y[x + i < y]
+            left.append(x + i)
+            right.append(y)
+            value.append(near[x, y])
+        x, y, value = np.concatenate(left), np.concatenate(right), np.concatenate(value)
+        first = [np.flatnonzero(bands[i] == bands[j])[0] for i, j in zip(x, y)]
+        here = np.array([bands[i][k] == bucket for i, k in zip(x, first)], bool)
+        order = np.argsort(-value[here], kind="stable")
+        return x[here][order], y[here][order]
+
+    def linked(block: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        ids, comp, texts = block[0], block[1].tolist(), block[5]
+        up = {c: c for c in comp}
+        sets: dict[int, np.ndarray] = {}
+        found = []
+
+        def top(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        for i, j in zip(x.tolist(), y.tolist()):
+            if top(comp[i]) == top(comp[j]):
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_hashes((texts[k] or "").encode("utf-8", "surrogatepass"), size)
+            if similar(sets[i], sets[j], percent):
+                up[top(comp[i])] = top(comp[j])
+                found.append((int(ids[i]), int(ids[j])))
+        return found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def settle() -> Iterator[pa.RecordBatch]:
-            ids, comp, low = (np.concatenate(c) for c in zip(*held))
-            if (comp == comp[0]).all():
+            block = [np.concatenate(c) for c in zip(*held)]
+            if (block[1] == block[1][0]).all():
                 return
-            a, b = pairs(ids, comp, low)
-            if len(a):
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            x, y = pairs(block, key[0])
+            if size is not None:
+                links = linked(block, x, y)
+                if links:
+                    a, b = zip(*links)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            elif len(x):
+                some = np.unique(np.concatenate((x, y)))
+                cols = [pa.array(np.full(len(some), k), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))]
+                cols += [pa.array(c[some]) for c in block[:3]] + [pa.array([r.tobytes() for r in c[some]], pa.binary()) for c in block[3:5]]
+                yield pa.RecordBatch.from_arrays(cols, names=["hash", "lo", "hi", "id", "comp", "n", "low", "bands"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            ids, comp = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            low = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(ids), -1)
-            edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(ids)]))
+            cols = [batch.column(i).to_numpy() for i in (3, 4, 5)]
+            cols += [np.frombuffer(b"".join(batch.column(i).to_pylist()), t).reshape(len(keys), -1) for i, t in ((6, np.uint8), (7, np.int64))]
+            if size is not None:
+                cols.append(np.array(batch.column(8).to_pylist(), object))
+            edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
             for x, y in zip(edges[:-1], edges[1:]):
-                if key is not None and tuple(keys[x]) != key:
+                if key is not None and tuple(keys[x].tolist()) != key:
                     yield from settle()
                     held = []
-                key = tuple(keys[x])
-                held.append((ids[x:y], comp[x:y], low[x:y]))
+                key = tuple(keys[x].tolist())
+                held.append([c[x:y] for c in cols])
         if held:
             yield from settle()
 
     return work
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if not small or 100 * small < percent * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (small + large - both)
+
+
 def confirm(size: int, percent: int):
     """Task function over rows (a, b, text_a, text_b): the pairs that are linked on their full sets."""
 
@@ -197,11 +250,7 @@ def confirm(size: int, percent: int):
             linked = []
             for i in range(batch.num_rows):
                 x, y = set_of(a[i], batch.column(2)[i]), set_of(b[i], batch.column(3)[i])
-                small, large = sorted((len(x), len(y)))
-                both = 0
-                if 100 * small >= percent * large:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (small + large - both))
+                linked.append(similar(x, y, percent))
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -235,7 +284,7 @@ def components(links: DataFrame, per_task: int = 200_000) -> DataFrame:
     return members.union(stars.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: int = PLACES, rows: int = ROWS, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: int = PLACES, rows: int = ROWS, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: linked where 100 * shared shingles >= percent * all shingles.
 
     Texts that are null or hold no word have no shingles and stay alone. Every row is a document of its own, also where
@@ -245,18 +294,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: i
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     hashed = slim.select("key", "text", F.xxhash64("text").alias("th"))
-    sketches = by_tasks(hashed, sketch(size, places, rows), f"key {kind}, th long, n long, digest binary, low binary, bands array<long>")
+    sketches = by_tasks(hashed, sketch(size, places, rows), f"key {kind}, th long, n long, digest binary, low binary, bands binary, each array<long>")
     sketches = cut_lineage(sketches.withColumn("row", F.monotonically_increasing_id()))
     # A node is a distinct set, named by its first row.
     sets = sketches.filter("n > 0").groupBy("digest").agg(F.min("row").alias("id"), F.min("key").alias("first_key"))
-    nodes = sketches.join(sets.select(F.col("id").alias("row")), "row").select(F.col("row").alias("id"), "key", "th", "low", "bands")
-    banded = nodes.select("id", F.explode("bands").alias("hash"))
+    nodes = sketches.join(sets.select(F.col("id").alias("row")), "row").select(F.col("row").alias("id"), "key", "th", "n", "low", "bands", "each")
+    banded = nodes.select("id", F.explode("each").alias("hash"))
     shared = banded.groupBy("hash").agg(F.count("*").alias("members"), F.min("id").alias("head")).filter("members > 1")
     buckets = cut_lineage(banded.join(shared, "hash"))
     # Signature and text of the nodes that meet another one, written once for all rounds.
-    wanted = nodes.select("id", "key", "th", "low").join(buckets.select("id").distinct(), "id").withColumnRenamed("key", "k").withColumnRenamed("th", "t")
+    wanted = nodes.select("id", "key", "th", F.col("n").alias("size"), "low", "bands").join(buckets.select("id").distinct(), "id").withColumnRenamed("key", "k").withColumnRenamed("th", "t")
     facts = hashed.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))).dropDuplicates(["key", "th", "id"])
-    facts = cut_lineage(facts.select("id", "low", "text"))
+    facts = cut_lineage(facts.select("id", F.col("size").alias("n"), "low", "bands", "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         first = facts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -265,20 +314,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: i
         return by_tasks(sided, confirm(size, percent), "a long, b long")
 
     links = cut_lineage(verified(buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()))
-    # Four standard errors of a signature of 128 places below the threshold.
-    floor = percent / 100 - 0.15
+    # Some four standard errors of a signature of 128 places below the threshold.
+    floor = percent / 100 - 0.12
     for mode in ("best", "all"):
         labelled = buckets.select("hash", "members", "id").join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         # In a bucket of two the only pair was compared with the head.
         mixed = labelled.filter("members > 2").groupBy("hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("hash")
-        open_rows = labelled.join(mixed, "hash").join(facts.select("id", "low"), "id")
+        open_rows = labelled.join(mixed, "hash").join(facts.select("id", "n", "low", "bands"), "id")
         # A bucket of k blocks is compared block against block, so that no group exceeds two blocks.
         k = F.expr(f"cast((members + {block - 1}) div {block} as int)")
         spread = open_rows.withColumn("mine", F.pmod(F.xxhash64("id"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-        spread = spread.select("hash", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "id", "comp", "low")
+        spread = spread.select("hash", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "id", "comp", "n", "low", "bands")
         met = spread.repartition("hash", "lo", "hi").sortWithinPartitions("hash", "lo", "hi")
-        found = by_tasks(met, alike(mode, floor), "a long, b long").distinct()
-        more = cut_lineage(verified(found))
+        involved = by_tasks(met, alike(mode, floor, percent), MET).join(facts.select("id", "text"), "id").select("hash", "lo", "hi", "id", "comp", "n", "low", "bands", "text")
+        again = involved.repartition("hash", "lo", "hi").sortWithinPartitions("hash", "lo", "hi")
+        more = cut_lineage(by_tasks(again, alike(mode, floor, percent, size), "a long, b long"))
         links = links.union(more)
     grouped = sets.join(components(links), "id", "left").select("digest", "first_key", F.coalesce("comp", "id").alias("comp"))
     heads = grouped.groupBy("comp").agg(F.min("first_key").alias("component"))
