@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, vocabulary: i
     """Model of labelled rows outside the held-out fold: at most `per_class` rows of each label, a documented bound.
 
     The vocabulary is the words whose share of documents differs most surely between the labels. Without rows of both
-    labels the model says the share of toxic rows, 0 without any.
+    labels the model gives every sentence the one label there is, and without rows none is toxic.
     """
     sample, taken = labelled_sample(docs, labels, "toxic", fold, per_class, id_col, text_col)
     if len(taken) < 2:
@@ -136,6 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, vocabulary: i
     best = counts.filter(F.col("n0") + F.col("n1") >= min_documents).orderBy(sure.desc(), "word").limit(vocabulary)
     words = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))
     rows = [tuple(r) for r in by_tasks(sample, bags(words), "y int, sentences long, sent array<long>, word array<long>").collect()]
+    if not rows:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
     weights, bias = noisy_or(rows, len(words), {y: n / k for y, (n, k) in taken.items()})
     return Model(words, weights, bias)
 

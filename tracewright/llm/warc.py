@@ -23,7 +23,7 @@ from tracewright.session import shared_folder
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
-NEXT_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
+NEXT_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 HEAD_LIMIT = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
