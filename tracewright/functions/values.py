@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import json
 import re
 
@@ -97,11 +99,21 @@ def json_leaves(docs: pd.Series, paths: pd.Series) -> pd.Series:
 
 
 def to_int(text: Column) -> Column:
-    """Decimal or 0x-hex text as a decimal number; null for anything else, leading zeros included."""
+    """Text as a whole number: decimal, or 0x, 0o and 0b digits, signed, single underscores between digits; else null.
+
+    Decimal numbers have no leading zeros. Beyond 38 decimal or 64 binary digits' worth the result is null.
+    """
     low = F.lower(F.trim(text))
-    digits = F.when(low.rlike(r"^[+-]?(0+|[1-9]\d*)$"), low.cast("decimal(38,0)"))
-    hexed = F.when(low.rlike(r"^0x[0-9a-f]{1,16}$"), F.conv(F.substr(low, F.lit(3)), 16, 10).cast("decimal(38,0)"))
-    return F.coalesce(digits, hexed)
+    shaped = low.rlike(r"^[+-]?(0x(_?[0-9a-f])+|0o(_?[0-7])+|0b(_?[01])+|0(_?0)*|[1-9](_?[0-9])*)$")
+    bare = F.regexp_replace(low, "[+_-]", "")
+    sign = F.when(low.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    digits = F.regexp_replace(F.substr(bare, F.lit(3)), "^0+(?=.)", "")
+    based = reduce(
+        lambda out, b: F.when(bare.startswith(b[0]) & (F.length(digits) <= b[2]), F.conv(digits, b[1], 10).try_cast("decimal(20,0)")).otherwise(out),
+        [("0x", 16, 16), ("0o", 8, 21), ("0b", 2, 64)],
+        F.when(bare.rlike("^[0-9]+$"), bare.try_cast("decimal(37,0)")),
+    )
+    return F.when(shaped, (sign * based).cast("decimal(38,0)"))
 
 
 def _instant(text: Column) -> Column:

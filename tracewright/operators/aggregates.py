@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.topk import first_per_key
 from tracewright.functions import labels
 from tracewright.functions.indicators import extract_iocs, request_indicators, script_indicators
 from tracewright.functions.paths import registrable_domain
@@ -24,8 +25,8 @@ URI_TAIL = 256
 def value_counts(df: DataFrame, value: Column, k: int | None = None, keys=()) -> DataFrame:
     """Counts per value, most frequent first, then by value; empty and '-' are never counted."""
     counted = df.select(*keys, value.alias("value")).where("value <> '' AND value <> '-'").groupBy(*keys, "value").count()
-    ranked = counted.orderBy(F.desc("count"), "value")
-    return ranked.limit(k) if k else ranked
+    ranked = [F.desc("count"), "value"]
+    return first_per_key(counted, keys, ranked, k) if k else counted.orderBy(*ranked)
 
 
 def event_summary(df: DataFrame, keys=("channel", "eid"), us: str = "us") -> DataFrame:
@@ -43,11 +44,11 @@ def zeek_counts(df: DataFrame, keys=()) -> DataFrame:
     )
 
 
-def zeek_top_hosts(df: DataFrame, k: int = 10) -> DataFrame:
-    """Connection ends and TLS server names, together."""
+def zeek_top_hosts(df: DataFrame, k: int = 10, keys=()) -> DataFrame:
+    """Connection ends and TLS server names, together; the k most frequent of each key."""
     kind = F.col("log_kind")
     named = F.when(kind == "conn", F.array("orig_h", "resp_h")).when(kind.isin("ssl", "tls"), F.array("server_name"))
-    return value_counts(df.where(named.isNotNull()).select(F.explode(named).alias("h")), F.col("h"), k)
+    return value_counts(df.where(named.isNotNull()).select(*keys, F.explode(named).alias("h")), F.col("h"), k, keys)
 
 
 def conversations(pkts: DataFrame, keys=()) -> DataFrame:

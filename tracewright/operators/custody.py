@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.hashing import canonical_json, node_hash, sha256_hex
 from tracewright.operators.joins import leaf_diff
-from tracewright.operators.ordered import dense_index
+from tracewright.operators.ordered import dense_index, null_safe_join
 
 # Lines of one log handled by one task.
 CHAIN_BLOCK = 100_000
@@ -18,15 +18,16 @@ EMPTY_ROOT = "0" * 64
 
 
 def chain_state(audit: DataFrame, keys=("case_id",), order: str = "line_no", line: str = "line") -> DataFrame:
-    """Adds to each line its position, and the digest of the line before it."""
+    """Adds to each line its position, and the digest of the line before it; lines without a number come last."""
     key = list(keys)
     rows = audit.where(F.col(line) != "").withColumn("__b", F.floor(F.col(order) / CHAIN_BLOCK)).withColumn("line_hash", sha256_hex(F.col(line)))
-    inside = Window.partitionBy(*key, "__b").orderBy(order)
-    edges = rows.groupBy(*key, "__b").agg(F.count(F.lit(1)).alias("__n"), F.max_by(line, order).alias("__line")).withColumn("__last", sha256_hex(F.col("__line")))
-    before = Window.partitionBy(*key).orderBy("__b")
+    inside = Window.partitionBy(*key, "__b").orderBy(order, line)
+    edges = rows.groupBy(*key, "__b").agg(F.count(F.lit(1)).alias("__n"), F.max_by(line, F.struct(order, line)).alias("__line")).withColumn("__last", sha256_hex(F.col("__line")))
+    before = Window.partitionBy(*key).orderBy(F.col("__b").asc_nulls_last())
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(*key, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"), F.lag("__last").over(before).alias("__carry"))
-    out = rows.withColumn("__rn", F.row_number().over(inside)).withColumn("__prev", F.lag("line_hash").over(inside)).join(carried, [*key, "__b"])
+    placed = rows.withColumn("__rn", F.row_number().over(inside)).withColumn("__prev", F.lag("line_hash").over(inside))
+    out = null_safe_join(placed, carried, [*key, "__b"])
     prev = F.coalesce("__prev", "__carry", F.lit(""))
     return out.select(*audit.columns, "line_hash", (F.col("__rn") + F.col("__off") - 1).cast("long").alias("position"), prev.alias("expected_prev"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import labels, text
 from tracewright.functions.indicators import extract_cves
 from tracewright.functions.paths import base_name, slashed
-from tracewright.operators.ordered import DAY_US, asof_before, first_within
+from tracewright.operators.ordered import DAY_US, asof_before, first_within, null_safe_join
 from tracewright.operators.setops import view_counts
 from tracewright.session import broadcast_if_small, cut_lineage
 
@@ -215,8 +215,9 @@ def contradictions(findings: DataFrame, keys=("case_id",)) -> DataFrame:
     b_cited = b.where(cited)
     # Pool-B totals per tier: on the call (c), on the call and artifact (n, and t with a technique), of one technique (s).
     a = a.join(b_cited.groupBy(*call_key).agg(*by_rank(F.lit(True), "c")), call_key, "left")
-    a = a.join(b_cited.groupBy(*here).agg(*by_rank(F.lit(True), "n"), *by_rank(named, "t")), here, "left")
-    a = a.join(b_cited.where(named).groupBy(*here, "__tech").agg(*by_rank(F.lit(True), "s")), [*here, "__tech"], "left")
+    # Two findings without an artifact are about one artifact, as two nulls compare equal in rule 2.
+    a = null_safe_join(a, b_cited.groupBy(*here).agg(*by_rank(F.lit(True), "n"), *by_rank(named, "t")), here, "left")
+    a = null_safe_join(a, b_cited.where(named).groupBy(*here, "__tech").agg(*by_rank(F.lit(True), "s")), [*here, "__tech"], "left")
     a = a.na.fill(0, [f"{x}{r}" for x in "cnts" for r in ranks])
     a = a.withColumns({
         "r1": F.when(cited, pick(opposite, "c")).otherwise(0),
@@ -258,7 +259,7 @@ def contradiction_partners(findings: DataFrame, chosen: DataFrame, keys=("case_i
     same_path = F.coalesce(F.col("a_artifact_path") == F.col("b_artifact_path"), F.lit(False))
     rule = (
         F.when(same_call & (F.abs(F.col("a___rank") - F.col("b___rank")) >= 2), "opposite_tier")
-        .when(same_call & same_path & (F.col("a___tech") != F.col("b___tech")), "other_technique")
+        .when(same_call & F.col("a_artifact_path").eqNullSafe(F.col("b_artifact_path")) & (F.col("a___tech") != F.col("b___tech")), "other_technique")
         .when(same_path & (F.col("a_artifact_path") != "") & (text.jaccard(F.col("a___tokens"), F.col("b___tokens")) < DISAGREE_BELOW), "low_overlap")
     )
     pairs = by_call.unionByName(by_path).dropDuplicates([*key, "a_finding_id", "b_finding_id"])
@@ -357,20 +358,16 @@ def corroborated(claims: DataFrame, claim: str = "claim", classes: str = "classe
 
 
 def regions_with_matches(regions: DataFrame, matches: DataFrame, keys=("host", "pid"), block: int = 1 << 28) -> DataFrame:
-    """Pattern matches inside a memory region of the same process: start <= offset < end, regions may overlap.
+    """Pattern matches inside memory regions of the same process: one row per region with start <= offset < end.
 
-    A running maximum of region ends over rows ordered by address decides containment in one pass.
+    A region is entered in every block of addresses that it touches, so a match meets only the regions of its block.
     """
-    r = regions.select(*keys, F.col("vad_start").alias("at"), F.struct(F.col("vad_end").alias("e"), F.col("vad_start").alias("s")).alias("__r"), F.lit(0).alias("__side"), F.lit(None).cast("string").alias("rule_name"))
-    m = matches.select(*keys, F.col("offset").alias("at"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.lit(1).alias("__side"), "rule_name")
-    rows = r.unionByName(m).withColumn("__b", F.floor(F.col("at") / F.lit(block)))
-    inside = Window.partitionBy(*keys, "__b").orderBy("at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    edges = rows.groupBy(*keys, "__b").agg(F.max("__r").alias("__top"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select(*keys, "__b", F.max("__top").over(before).alias("__carry"))
-    hit = rows.withColumn("__in", F.max("__r").over(inside)).where("__side = 1").join(carried, [*keys, "__b"], "left")
-    best = F.greatest("__in", "__carry")
-    return hit.where(best["e"] > F.col("at")).select(*keys, F.col("at").alias("offset"), "rule_name", best["s"].alias("vad_start"), best["e"].alias("vad_end"))
+    last = F.floor((F.col("vad_end") - 1) / F.lit(block))
+    entered = regions.where("vad_start < vad_end").select(*keys, "vad_start", "vad_end", F.explode(F.sequence(F.floor(F.col("vad_start") / F.lit(block)), last)).alias("__b"))
+    met = matches.select(*keys, "offset", "rule_name").withColumn("__b", F.floor(F.col("offset") / F.lit(block)))
+    hit = met.join(entered, [*keys, "__b"]).where("vad_start <= offset AND offset < vad_end")
+    return hit.select(*keys, "offset", "rule_name", "vad_start", "vad_end")
+
 
 
 def revisions(before: DataFrame, after: DataFrame, keys=("case_id", "finding_id")) -> DataFrame:

@@ -7,6 +7,8 @@ edge row per bucket across: as many rows as the key has buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,31 +28,33 @@ def _carried(edges: DataFrame, keys, bucket: str, value: str, name: str) -> Data
     return edges.select(*keys, bucket, F.last(value, ignorenulls=True).over(over).alias(name)).where(F.col(name).isNotNull())
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on `keys` where two nulls are equal; the result has the left side's key columns."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def previous_values(df: DataFrame, keys, order, values, bucket: Column, prefix: str = "prev_") -> DataFrame:
     """Values of the preceding row along `order` within `keys`; `bucket` must rise with order[0]."""
     rows = df.withColumn("__b", bucket)
     packed = F.struct(*values)
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
     edges = rows.groupBy(*keys, "__b").agg(F.max_by(packed, F.struct(*order)).alias("__last"))
-    joined = rows.withColumn("__in", F.lag(packed).over(inside)).join(
-        _carried(edges, keys, "__b", "__last", "__carry"), [*keys, "__b"], "left"
-    )
+    joined = null_safe_join(rows.withColumn("__in", F.lag(packed).over(inside)), _carried(edges, keys, "__b", "__last", "__carry"), [*keys, "__b"], "left")
     prev = F.coalesce("__in", "__carry")
     return joined.select(*df.columns, *[prev[v].alias(prefix + v) for v in values])
 
 
 def dense_index(df: DataFrame, keys, order, bucket: Column, name: str, start: int = 0) -> DataFrame:
-    """Gap-free position along `order` within `keys`."""
+    """Gap-free position along `order` within `keys`. Null keys form a key of their own; rows without a bucket come last."""
     rows = df.withColumn("__b", bucket)
     sizes = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(F.col("__b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
-    return (
-        rows.withColumn("__rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "__b"])
-        .select(*df.columns, (F.col("__rn") + F.col("__off") + F.lit(start - 1)).cast("long").alias(name))
-    )
+    numbered = null_safe_join(rows.withColumn("__rn", F.row_number().over(inside)), offsets, [*keys, "__b"])
+    return numbered.select(*df.columns, (F.col("__rn") + F.col("__off") + F.lit(start - 1)).cast("long").alias(name))
 
 
 def asof_before(left: DataFrame, right: DataFrame, keys, us: str, values, bucket_us: int = DAY_US, prefix: str = "r_") -> DataFrame:

@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.paths import base_name, is_webroot_script, slashed
+from tracewright.operators.ordered import null_safe_join
 
 
-def top_conversations(conv: DataFrame, k: int = 50) -> DataFrame:
-    return conv.orderBy(F.desc("packets"), "src", "dst", "dst_port", "proto").limit(k)
+def first_per_key(df: DataFrame, keys, order, k: int) -> DataFrame:
+    """The first k rows in order of each key; without keys, of the whole table."""
+    if not keys:
+        return df.orderBy(*order).limit(k)
+    place = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__rank", F.row_number().over(place)).where(F.col("__rank") <= k).drop("__rank")
+
+
+def top_conversations(conv: DataFrame, k: int = 50, keys=()) -> DataFrame:
+    """The k busiest conversations of each key (one capture or case)."""
+    return first_per_key(conv, keys, [F.desc("packets"), "src", "dst", "dst_port", "proto"], k)
 
 
-def top_requests(requests: DataFrame, k: int = 300) -> DataFrame:
-    """Authenticated first, then submissions, then by frequency and key."""
+def top_requests(requests: DataFrame, k: int = 300, keys=()) -> DataFrame:
+    """Per key: authenticated first, then submissions, then by frequency and key."""
     post = F.when(F.col("method") == "POST", 0).otherwise(1)
-    return requests.orderBy(F.desc("has_cookie"), post, F.desc("requests"), "host", "src", "dst", "method").limit(k)
+    return first_per_key(requests, keys, [F.desc("has_cookie"), post, F.desc("requests"), "host", "src", "dst", "method"], k)
 
 
 def top_cookies(cookies: DataFrame, keys, k: int = 8) -> DataFrame:
@@ -28,14 +38,20 @@ def rank_counts(counts: DataFrame, count: str, name: str) -> DataFrame:
     return counts.orderBy(F.desc(count), name)
 
 
-def capped(df: DataFrame, order, n: int) -> DataFrame:
-    """First n rows in order, with the exact total and a truncation flag on each."""
+def capped(df: DataFrame, order, n: int, keys=()) -> DataFrame:
+    """First n rows of each key in order, with the key's exact total and a truncation flag on each."""
+    if keys:
+        place = Window.partitionBy(*keys).orderBy(*order)
+        cut = df.withColumn("__rank", F.row_number().over(place)).where(F.col("__rank") <= n).drop("__rank")
+        totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+        return null_safe_join(cut, totals, list(keys)).withColumn("truncated", F.col("total") > n)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return df.orderBy(*order).limit(n).withColumn("total", total).withColumn("truncated", F.col("total") > n)
 
 
-def recent_history(history: DataFrame, n: int, us: str = "us", tie: str = "url") -> DataFrame:
-    return history.orderBy(F.desc_nulls_last(us), tie).limit(n)
+def recent_history(history: DataFrame, n: int, us: str = "us", tie: str = "url", keys=()) -> DataFrame:
+    """The n latest visits of each key; undated ones come last."""
+    return first_per_key(history, keys, [F.desc_nulls_last(us), tie], n)
 
 
 # Which logs, script folders and hives are read first.

@@ -286,7 +286,7 @@ _REGIONS = """WITH reg AS (SELECT concat('host-', CAST(l_suppkey % 10 AS STRING)
   mat AS (SELECT concat('host-', CAST(o_custkey % 10 AS STRING)) AS host, o_custkey % 50 AS pid, o_orderkey * 1048576 + o_custkey * 512 AS off, o_orderstatus AS rule_name FROM orders)"""
 
 
-@query("regions_with_matches", _REGIONS + " SELECT m.host, m.pid, m.off AS offset, m.rule_name, max(r.vad_end) AS vad_end FROM mat m JOIN reg r ON m.host = r.host AND m.pid = r.pid AND r.vad_start <= m.off AND m.off < r.vad_end GROUP BY 1, 2, 3, 4")
+@query("regions_with_matches", _REGIONS + " SELECT m.host, m.pid, m.off AS offset, m.rule_name, r.vad_end FROM mat m JOIN reg r ON m.host = r.host AND m.pid = r.pid AND r.vad_start <= m.off AND m.off < r.vad_end")
 def _(src):
     li, o = src.given("lineitem"), src.given("orders")
     start = F.col("l_partkey") * 4096 + F.col("l_orderkey") * 1048576

@@ -165,8 +165,13 @@ def _split_objects(batches):
                 try:
                     value, at = decoder.raw_decode(doc, at)
                 except ValueError:
+                    # The rest of the bad line is counted as one failed object; reading goes on with the next line.
                     out.append((file, None))
-                    break
+                    following = doc.find("\n", at)
+                    if following < 0:
+                        break
+                    at = following + 1
+                    continue
                 out.append((file, json.dumps(value)))
         yield pd.DataFrame(out, columns=["file", "raw"])
 
