@@ -69,7 +69,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date:
                 members = []
                 for row in batch.slice(at, 200).to_pylist():
                     made = record(row["kind"], row["key"], row["url"], row["payload"], row["digest"], row["size"], row["head"], date)
-                    members.append(gzip.compress(made, 6, mtime=0))
+                    members.append(gzip.compress(made, 3, mtime=0))
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
 
     members = by_tasks(with_record_types(pages, least_bytes), work, "member binary")
