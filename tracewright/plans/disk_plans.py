@@ -234,9 +234,9 @@ def _(src):
     return detect_disk.sync_channels(src.mft, _prefetch(src), _visits(src))
 
 
-@query("recent_history", _VISITS + " SELECT host, us, url FROM vis ORDER BY us DESC NULLS LAST, url LIMIT 40", uses=("mft",))
+@query("recent_history", _VISITS + " SELECT host, us, url FROM vis QUALIFY row_number() OVER (PARTITION BY host ORDER BY us DESC NULLS LAST, url) <= 40", uses=("mft",))
 def _(src):
-    return topk.recent_history(_visits(src), 40).select("host", "us", "url")
+    return topk.recent_history(_visits(src), 40, keys=("host",)).select("host", "us", "url")
 
 
 @query(

@@ -311,11 +311,11 @@ def _(src):
 
 @query(
     "capped_hits",
-    "SELECT event_id, host, image_name, (SELECT count(*) FROM ps) AS total, (SELECT count(*) FROM ps) > 100 AS truncated FROM ps ORDER BY us, event_id LIMIT 100",
+    "SELECT event_id, host, image_name, count(*) OVER (PARTITION BY host) AS total, count(*) OVER (PARTITION BY host) > 100 AS truncated FROM ps QUALIFY row_number() OVER (PARTITION BY host ORDER BY us, event_id) <= 100",
     uses=("ps",),
 )
 def _(src):
-    return topk.capped(src.ps.select("event_id", "host", "image_name", "us"), ["us", "event_id"], 100).drop("us")
+    return topk.capped(src.ps.select("event_id", "host", "image_name", "us"), ["us", "event_id"], 100, keys=("host",)).drop("us")
 
 
 @query("top_processes", "SELECT image_name AS value, count(*) AS count FROM ps WHERE image_name <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", uses=("ps",))

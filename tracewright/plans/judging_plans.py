@@ -308,14 +308,15 @@ def _(src):
     _TECH + """, o AS (SELECT case_id, CASE WHEN bool_or(confidence = 'CONFIRMED') THEN 'SUSPICIOUS' ELSE 'INDETERMINATE' END AS outcome FROM findings WHERE mitre_technique = 'T1014' GROUP BY 1),
        x AS (SELECT gr.*, coalesce(outcome, 'INDETERMINATE') AS outcome FROM gr LEFT JOIN o ON gr.case_id = o.case_id)
        SELECT case_id, technique_id, CASE WHEN status = 'supported' AND outcome = 'SUSPICIOUS' THEN 'act' ELSE 'review' END AS route, CASE WHEN possible_hallucination THEN concat('Re-check finding for ', technique_id) WHEN outcome <> 'SUSPICIOUS' THEN concat('Corroborate the lead for ', technique_id)
-         WHEN technique_id = 'T1014' THEN 'Hash-sweep \\drivers\\*.sys across the fleet; assume kernel trust is broken on this host' WHEN technique_id = 'T1055' THEN 'Extract + sandbox the injected region; correlate injection time with EVTX 4688 to find the injector'
-         WHEN technique_id = 'T1070.001' THEN 'Treat log/indicator removal as anti-forensics; pull backups / forwarded logs to recover the gap' ELSE 'Review the finding and escalate' END AS action FROM x""",
+         WHEN technique_id = 'T1014' THEN 'Compare loaded drivers with a clean build' WHEN technique_id = 'T1055' THEN 'Dump the region and find its writer'
+         WHEN technique_id = 'T1070.001' THEN 'Fetch the forwarded copy of the log' ELSE 'Look at the finding with a second analyst' END AS action FROM x""",
     uses=("findings",),
 )
 def _(src):
     o = src.findings.where("mitre_technique = 'T1014'").groupBy("case_id").agg(F.bool_or(F.col("confidence") == "CONFIRMED").alias("evil"))
     g = judging.ground(_grounded(src)).join(o, "case_id", "left").withColumn("outcome", F.when(F.col("evil"), "SUSPICIOUS").otherwise("INDETERMINATE"))
-    return joins.derive_actions(g)
+    actions = src.spark.sql("SELECT * FROM VALUES ('T1014', 'Compare loaded drivers with a clean build'), ('t1055', 'Dump the region and find its writer'), ('T1070', 'Fetch the forwarded copy of the log') AS t(technique_id, action)")
+    return joins.derive_actions(g, actions)
 
 
 @query("unrecovered_tools", "SELECT case_id, tool FROM calls GROUP BY 1, 2 HAVING bool_or(error IS NOT NULL AND NOT rejected AND NOT skipped) AND NOT bool_or(error IS NULL)", uses=("calls",))
