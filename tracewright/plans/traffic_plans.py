@@ -18,11 +18,15 @@ def _(src):
 
 @query(
     "top_conversations",
-    f"SELECT src, dst, {_PORT} AS dst_port, proto, count(*) AS packets FROM packets GROUP BY 1, 2, 3, 4 ORDER BY 5 DESC, 1, 2, 3, 4 LIMIT 50",
+    f"SELECT pkt_no % 4 AS case_id, src, dst, {_PORT} AS dst_port, proto, count(*) AS packets FROM packets GROUP BY 1, 2, 3, 4, 5 QUALIFY row_number() OVER (PARTITION BY pkt_no % 4 ORDER BY count(*) DESC, src, dst, {_PORT}, proto) <= 50",
     uses=("packets",),
 )
 def _(src):
-    return topk.top_conversations(aggregates.conversations(src.packets))
+    return topk.top_conversations(aggregates.conversations(_in_cases(src.packets), ("case_id",)), keys=("case_id",))
+
+
+def _in_cases(packets):
+    return packets.withColumn("case_id", F.col("pkt_no") % 4)
 
 
 _HTTP = """, h AS (SELECT src, dst, http_host AS host, http_method AS method, arg_min(http_uri, struct_pack(a := pkt_no, b := http_uri)) AS uri, bool_or(cookie <> '') AS has_cookie, count(*) AS requests,
@@ -34,9 +38,12 @@ def _(src):
     return aggregates.http_requests(src.packets)
 
 
-@query("top_requests", _HTTP + " SELECT * FROM h ORDER BY has_cookie DESC, CASE WHEN method = 'POST' THEN 0 ELSE 1 END, requests DESC, host, src, dst, method LIMIT 300", uses=("packets",))
+_CASE_HTTP = _HTTP.replace("SELECT src, dst", "SELECT pkt_no % 4 AS case_id, src, dst").replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5")
+
+
+@query("top_requests", _CASE_HTTP + " SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY has_cookie DESC, CASE WHEN method = 'POST' THEN 0 ELSE 1 END, requests DESC, host, src, dst, method) <= 300", uses=("packets",))
 def _(src):
-    return topk.top_requests(aggregates.http_requests(src.packets))
+    return topk.top_requests(aggregates.http_requests(_in_cases(src.packets), ("case_id",)), keys=("case_id",))
 
 
 @query(
