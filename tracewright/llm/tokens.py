@@ -22,7 +22,7 @@ def byte_letters() -> dict[int, int]:
 class ChunkIds(dict):
     """Chunk to little-endian 32-bit ids. Holds at most `limit` entries; beyond that it starts afresh."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
