@@ -27,7 +27,13 @@ def fold_of(key: Column, folds: int) -> Column:
 
 
 def by_tasks(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+    """Rows that the task function makes of the batches. Workers outlive their tasks, so unused batch memory is given back."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def text_column(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], pick: Callable[[pa.RecordBatch], Iterable], kind: str, missing=None) -> Callable[[Column], Column]:
