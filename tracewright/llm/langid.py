@@ -55,7 +55,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) summed over each batch."""
     for batch in batches:
         tongues, codes = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str), return_inverse=True)
-        for numbers, _, group in pieces((t.as_py() or "" for t in batch.column(0)), 1 << 20):
+        for numbers, _, group in pieces(t.as_py() or "" for t in batch.column(0)):
             low, prefix, starts, ends, owner = framed(group)
             if not len(starts):
                 continue
