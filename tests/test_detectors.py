@@ -327,3 +327,15 @@ def test_round_robin_and_capped(spark):
     assert "NetHood" in order.first()["path"]
     logs = topk.triage_order(spark.createDataFrame([(p,) for p in ("a/Microsoft-Windows-X.evtx", "a/Application.evtx", "a/Security.evtx", "a/Sysmon%4Operational.evtx")], "path string"))
     assert [r["rank"] for r in logs.collect()] == [0, 0, 1, 2]
+
+
+def test_actions_come_from_the_callers_table(spark):
+    judged = spark.createDataFrame(
+        [("c", t, "supported", o, False) for t, o in (("t1070.001", "SUSPICIOUS"), ("T1070.002", "suspicious"), ("T1099", "SUSPICIOUS"), ("T1070.001", "INDETERMINATE"))] + [("c", "T1070", "contradicted", None, False), ("c", None, "supported", "SUSPICIOUS", True)],
+        "case_id string, technique_id string, status string, outcome string, possible_hallucination boolean",
+    )
+    table = spark.createDataFrame([("T1070", "keep a copy"), ("t1070.001", "ask the log host"), ("T1070.001", "later by text"), (None, "never")], "technique_id string, action string")
+    out = joins.derive_actions(judged, table, default="none known").collect()
+    assert len(out) == 6
+    assert sorted((r["technique_id"], r["action"]) for r in out if r["route"] == "act") == [("T1070.001", "ask the log host"), ("T1070.002", "keep a copy"), ("T1099", "none known")]
+    assert sorted(r["action"] for r in joins.derive_actions(judged, table.limit(0), default="none known").collect() if r["route"] == "act") == ["none known"] * 3
