@@ -165,7 +165,7 @@ def test_registry_and_hashes(ev):
 @pytest.mark.parametrize(
     "said,kind,want",
     [
-        (r"Did not observe miner.exe. Did not observe D:\odd.folder\inner.exe.", "paths", []),
+        (r"No registry key HKCU\SOFTWARE\Odd existed. Did not observe miner.exe. Did not observe D:\odd.folder\inner.exe.", "paths", []),
         ("miner.exe was not observed, but observed pump.exe.", "paths", ["pump.exe"]),
         ("Did not observe 172.20.3.4, but observed 172.20.3.5", "ips", ["172.20.3.5"]),
         ("172.20.3.4 was not observed, but 172.20.3.5 was observed", "ips", ["172.20.3.5"]),
