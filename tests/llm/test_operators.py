@@ -156,6 +156,20 @@ def test_near_duplicates_of_odd_rows(odd, nothing):
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in rows} >= {(1, 1, True), (2, 1, False), (None, 1, False), (3, 3, True), (4, 4, True), (7, 1, False)}
 
 
+def test_a_pair_whose_signature_estimates_far_too_little_is_linked(spark):
+    rng = random.Random(308)
+    vocabulary = [str(rng.randrange(10**9)) for _ in range(1000)]
+    pair = [vocabulary[:900], vocabulary[:800] + vocabulary[900:]]
+    low = neardup.super_minhash([neardup.shingle_hashes(" ".join(w).encode(), 1) for w in pair]) & 0xFF
+    assert (low[0] == low[1]).mean() < 0.68
+    # Texts before them, like neither, so that the two meet only in buckets with another smallest node.
+    others = [vocabulary[:800] + [f"o{i}x{k}" for k in range(400)] for i in range(40)]
+    texts = [" ".join(w) for w in others + pair]
+    rows = {r["doc_id"]: r for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), size=1).collect()}
+    assert [rows[i]["component_id"] for i in range(42)] == [*range(41), 40] == grouped(texts, 1, 80)[1]
+    assert neardup.lowest_estimate(80, 128) == 73 / 128
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64))
