@@ -324,6 +324,35 @@ def test_salvage_of_damaged_archives():
     assert list(warc.salvage(b"")) == [] and [r["kind"] for r in warc.salvage(b"no archive")] == ["gap"]
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_a_member_of_many_records(level):
+    noise = random.Random(4)
+
+    def plain(key, url="u"):
+        body = noise.randbytes(3000).hex().encode()
+        return warc.record("response", key, url, body, hashlib.sha256(body).hexdigest(), len(body), None, "2024-01-01T00:00:00Z")
+
+    records = [plain(i) for i in range(6)]
+    member = gzip.compress(b"".join(records), level, mtime=0)
+    after = gzip.compress(plain(6), level, mtime=0)
+    hurt = bytearray(b"".join(records))
+    hurt[len(records[0]) + len(records[1]) + 2000] ^= 1
+    bad_record = gzip.compress(bytes(hurt), level, mtime=0)
+    bad_sum = member[:-8] + bytes([member[-8] ^ 1]) + member[-7:]
+    bad_byte = bytearray(member)
+    bad_byte[len(member) // 2] ^= 0xFF
+    for first, least in ((member, 6), (bad_record, 5), (bad_sum, 6), (member[: len(member) * 2 // 3], 3), (bytes(bad_byte), 2)):
+        data = first + after
+        rows = list(warc.salvage(data))
+        kept = [r["record_id"] for r in rows if r["kind"] != "gap"]
+        assert len(kept) == len(set(kept)) >= least + 1 and kept[-1] == warc.page_name(6)
+        assert set(kept) <= {warc.page_name(i) for i in range(7)}
+        assert [r["kind"] for r in rows].count("gap") >= (first != member) and all(r["offset"] == 0 and r["length"] == len(first) for r in rows[:-1])
+    assert warc.page_name(2) not in [r.get("record_id") for r in warc.salvage(bad_record)]
+    long = plain(7, "http://x/" + "y" * (3 << 20))
+    assert [r["kind"] for r in warc.salvage(gzip.compress(long, 1) + long)] == ["response", "response"]
+
+
 def test_span_hashes_do_not_depend_on_the_place():
     codes = words.BYTE_CODE[np.frombuffer(b"abc xyz abc", np.uint8)]
     a, b, c = words.span_hashes(words.prefix_sums(codes), np.array([0, 4, 8]), np.array([3, 7, 11]))

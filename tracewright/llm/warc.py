@@ -25,7 +25,6 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 NEXT_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-HEAD_LIMIT = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -84,10 +83,14 @@ class Damaged(Exception):
         self.end = end
 
 
+def can_check(wanted: str) -> bool:
+    return wanted.partition(":")[0].lower() in ("sha1", "sha256", "md5")
+
+
 def digest_fits(wanted: str, data: bytes) -> bool:
     """Is this the digest of the data? Unknown kinds of digests can't be checked and pass."""
     name, _, value = wanted.partition(":")
-    if name.lower() not in ("sha1", "sha256", "md5"):
+    if not can_check(wanted):
         return True
     found = hashlib.new(name.lower(), data)
     return value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
@@ -97,19 +100,20 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
     """The checked record at a place, and the place after it."""
     if not VERSION.match(data, at):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + HEAD_LIMIT)
-    if stop < 0:
-        raise Damaged("head does not end")
     fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    line_start = data.find(b"\n", at) + 1
+    while (stop := data.find(b"\r\n", line_start)) > line_start:
+        name, colon, value = data[line_start:stop].partition(b":")
         if not colon:
             raise Damaged("head line without colon")
         fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        line_start = stop + 2
+    if stop < 0:
+        raise Damaged("head does not end")
     size = fields.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         raise Damaged("no content length")
-    start, end = stop + 4, stop + 4 + int(size)
+    start, end = stop + 2, stop + 2 + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("block does not end where its length says")
     block = data[start:end]
@@ -125,64 +129,125 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
     kind = fields.get("warc-type", "")
     if kind == "response" and length == len(payload) and not digest_fits(fields.get("warc-payload-digest", ""), payload):
         raise Damaged("payload digest differs", end + 4)
-    return {"kind": kind, "record_id": fields.get("warc-record-id"), "uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "payload_digest": fields.get("warc-payload-digest"), "payload_length": length, "payload": payload}, end + 4
+    return {"kind": kind, "record_id": fields.get("warc-record-id"), "uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "payload_digest": fields.get("warc-payload-digest"), "payload_length": length, "payload": payload, "checked": can_check(fields.get("warc-block-digest", ""))}, end + 4
+
 
+def inflate(data: bytes, at: int) -> tuple[bytes, int | None, int, str | None]:
+    """The content of the compressed member at a place, the place after it, how far its bytes were read, and the failed check, if any.
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the compressed member at a place, and the place after it."""
+    Of a damaged member the content is what comes before the damage, and its end is not known.
+    """
     engine, out, here = zlib.decompressobj(31), [], at
-    try:
-        while not engine.eof and here < len(data):
+    while not engine.eof and here < len(data):
+        before = engine.copy()
+        try:
             out.append(engine.decompress(data[here : here + 65536]))
             here += 65536
-    except zlib.error as error:
-        raise Damaged(f"member: {error}") from None
+        except zlib.error as error:
+            # The failed call keeps its output to itself: take its bytes one by one.
+            try:
+                while True:
+                    out.append(before.decompress(data[here : here + 1]))
+                    here += 1
+            except zlib.error:
+                pass
+            return b"".join(out), None, here, f"member: {error}"
     if not engine.eof:
-        raise Damaged("member is cut off")
-    return b"".join(out), min(here, len(data)) - len(engine.unused_data)
+        return b"".join(out), None, len(data), "member is cut off"
+    end = min(here, len(data)) - len(engine.unused_data)
+    return b"".join(out), end, end, None
 
 
-def unit(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member or plain record at a place, all checked, and the place after it."""
+def unit(data: bytes, at: int) -> tuple[list[dict], int | None, int]:
+    """The checked records of the member or plain record at a place, the place after it (if known), and how far its bytes were read.
+
+    Damage inside a member leaves its other records: its content is searched for the next version line, and a gap among
+    the records names the bytes of the content that were passed over. Where the member's own check fails, a record holds
+    only by its block digest. A member of one record
+    stands and falls with it. If nothing holds, the check is raised.
+    """
     if data[at : at + 3] != MAGIC:
         found, end = parse(data, at)
-        return [found | {"offset": at, "length": end - at}], end
-    plain, end = inflate(data, at)
-    records, here = [], 0
+        return [found | {"offset": at, "length": end - at}], end, end
+    plain, end, reach, reason = inflate(data, at)
+    rows, here, gap, first = [], 0, None, None
+    # A failed sum puts every byte in doubt, a cut only those that are missing.
+    failed = reason is not None and reason.startswith("member: ")
+
+    def passed(to: int) -> dict:
+        why = reason if reason and to == len(plain) else first
+        return {"kind": "gap", "offset": at, "reason": f"{why} (bytes {gap} to {to} of the member's content)"}
+
     while here < len(plain):
         try:
-            found, here = parse(plain, here)
+            found, after = parse(plain, here)
+            if failed and not found["checked"]:
+                raise Damaged("record without digest in a damaged member", after)
         except Damaged as damage:
-            raise Damaged(str(damage), end) from None
-        records.append(found | {"offset": at, "length": end - at})
-    return records, end
+            if gap is None:
+                gap, first = here, str(damage)
+            onward = VERSION.search(plain, damage.end if damage.end is not None else here + 1)
+            here = onward.start() if onward else len(plain)
+            continue
+        if gap is not None:
+            rows.append(passed(here))
+            gap = None
+        rows.append(found | {"offset": at})
+        here = after
+    if gap is not None:
+        rows.append(passed(len(plain)))
+    elif reason:
+        rows.append({"kind": "gap", "offset": at, "reason": f"{reason} (after {len(plain)} bytes of the member's content)"})
+    held = sum(r["kind"] != "gap" for r in rows)
+    if rows and not held or reason and held == 1 and not VERSION.search(plain, 1):
+        raise Damaged(reason or first, end)
+    if end is not None:
+        rows = [r | {"length": end - at} for r in rows]
+    return rows, end, reach
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of one archive in order, and a row for each gap of quarantined bytes.
 
-    Where a check fails, the next place that starts a valid member or record is looked for; the bytes before it are the gap.
+    Where a check fails, the next place that starts a member or record with something valid is looked for; the bytes before
+    it are the gap. Records and gaps inside one member all have the member's place and length.
     """
-    at = 0
+    at, known = 0, None
     while at < len(data):
+        start, rows, reason = at, [], None
         try:
-            records, end = unit(data, at)
+            rows, end, reach = known or unit(data, at)
         except Damaged as damage:
-            gap, reason, records = at, str(damage), []
+            end, reach, reason = None, at, str(damage)
             at = damage.end if damage.end is not None else at + 1
-            while at < len(data):
-                found = NEXT_START.search(data, at)
-                at = found.start() if found else len(data)
-                if found:
-                    try:
-                        unit(data, at)
-                        break
-                    except Damaged:
-                        at += 1
-            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
+        known = None
+        if end is not None:
+            yield from rows
+            at = end
             continue
-        yield from records
-        at = end
+        # Records of a member without end may lie bare in its bytes too, where it is stored uncompressed.
+        told = [content(r) for r in rows if r["kind"] != "gap"]
+        at = max(at, start + 1)
+        while at < len(data):
+            found = NEXT_START.search(data, at)
+            at = found.start() if found else len(data)
+            if found:
+                try:
+                    known = unit(data, at)
+                except Damaged as damage:
+                    at += 1
+                    continue
+                if data[at : at + 3] != MAGIC and content(known[0][0]) in told:
+                    at, known = known[1], None
+                    continue
+                break
+        # A member cut inside a stored block runs on into the bytes of the next one, whose records are told there.
+        rows = [r for r in rows if not r.get("payload") or data.find(r["payload"], at, reach) < 0]
+        yield from [r | {"length": at - start} for r in rows] or [{"kind": "gap", "offset": start, "length": at - start, "reason": reason or "member is damaged"}]
+
+
+def content(row: dict) -> tuple:
+    return tuple(row.get(c) for c in ("kind", "record_id", "uri", "refers_to", "payload_digest", "payload_length", "payload"))
 
 
 COLUMNS = ("kind", "offset", "length", "record_id", "uri", "refers_to", "payload_digest", "payload_length", "payload", "reason")
