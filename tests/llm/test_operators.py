@@ -230,6 +230,18 @@ def test_licenses(spark, odd, nothing):
         licenses.scan(docs, [("short", "MIT")])
 
 
+def test_licenses_across_cuts_and_with_altered_words(spark):
+    mit, notice = dict(licenses.TEMPLATES)["mit-grant"], "Released under an MIT License"
+    long = [("salt river " * 100_000)[: (1 << 19) - k] + f". {mit} " + "stone " * 90_000 for k in (20, 150, 300)]
+    solid = "." * ((1 << 19) - 5) + mit.replace(" ", "_") + "." * (1 << 19)
+    docs = [(i, t) for i, t in enumerate([*long, solid, notice, "Licensed now under CC or BY - 4 and 0", "Licensed under CC", "Licensed. " * 3 + "Licensed under CC BY 4.0."])]
+    rows = {(r["doc_id"], r["template"]): r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(rows) == {(i, "mit-grant") for i in range(4)} | {(4, "mit-notice"), (5, "cc-by-4.0-notice"), (7, "cc-by-4.0-notice")}
+    assert all(rows[i, "mit-grant"]["coverage"] == 1 for i in range(4))
+    assert all(docs[i][1][rows[i, "mit-grant"]["start"] : rows[i, "mit-grant"]["end"]] == mit for i in range(3))
+    assert rows[4, "mit-notice"]["coverage"] == 0.8 and docs[7][1][rows[7, "cc-by-4.0-notice"]["start"] :] == "Licensed under CC BY 4.0."
+
+
 def auc(rows, label):
     good, bad = ([r["score"] for r in rows if r[label] == v] for v in (1, 0))
     return np.mean([g > b for g in good for b in bad])

@@ -1,24 +1,28 @@
-"""License scan: winnowed fingerprints of templates pick candidates, banded alignment measures them.
+"""License scan: rare words of templates pick candidates, banded alignment measures them.
 
-Texts are reduced to their lower-case letters and digits. Of every `window` consecutive hashes of `gram` characters the
-smallest is kept, so any shared stretch of gram + window - 1 characters shares a kept hash. An inverted index from
-hashes to template places gives candidate positions; around each, the template's words are aligned with the document's
-words in a band, with gaps, and reported with their coverage and span.
+Texts are reduced to words of lower-case letters and digits, joined over a whole text however long it is. A match holds
+at least `coverage` of a template's n words, so it misses at most n - ceil(coverage * n) of them and holds at least one of
+any n - ceil(coverage * n) + 1. That many places of each template, those of its rarest words, are its anchors. Around each
+anchor found in a text the template's words are aligned with the text's words in a band, with gaps, and reported with
+their coverage and span. So no match within the band of one of its words is passed over, whatever was altered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import by_tasks, pieces
-from tracewright.llm.words import U, characters, code_points, places, prefix_sums, runs, span_hashes
+from tracewright.llm.common import by_tasks
+from tracewright.llm.words import U, letter_words, places, span_hashes
 
-GRAM, WINDOW = 12, 4
+LEAST_CHARS = 12
+PIECE = 1 << 19
 TEMPLATE_CHARS = 16_000_000
 
 # Notices and opening paragraphs of well-known licences (fixed values).
@@ -38,35 +42,51 @@ TEMPLATES = (
 )
 
 
-def reduced(group: list[str]) -> tuple[np.ndarray, ...]:
-    """Kept code points of a group, their place in it, prefix sums, text number, and the words' bounds among them."""
-    letter, lower = characters()
-    low = lower[code_points("\n".join(group))]
-    mask = letter[low] | ((low >= 48) & (low <= 57))
-    at = np.flatnonzero(mask)
-    starts, ends = runs(mask)
-    bounds = np.cumsum([len(t) + 1 for t in group])
-    return low[at], at, prefix_sums(low[at].astype(U) + U(1)), np.searchsorted(bounds, at, "right"), np.searchsorted(at, starts), np.searchsorted(at, ends)
-
-
-def winnowed(prefix: np.ndarray, owner: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Kept hashes and their places: the rightmost smallest hash of each window, within one text."""
-    n = len(owner) - gram + 1
-    if n <= 0:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    at = np.arange(n)
-    hashes = span_hashes(prefix, at, at + gram)
-    hashes[owner[:n] != owner[gram - 1 :]] = ~U(0)
-    if n < window:
-        keep = np.array([n - 1 - int(np.argmin(hashes[::-1]))])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-        keep = np.unique(np.arange(n - window + 1) + window - 1 - views[:, ::-1].argmin(axis=1))
-    # The first and last hashes of a short text lie in no window of their own; keep every text's first and last.
-    edge = np.flatnonzero(np.concatenate(([True], owner[1:n] != owner[: n - 1])))
-    keep = np.unique(np.concatenate((keep, edge)))
-    keep = keep[hashes[keep] != ~U(0)]
-    return hashes[keep], keep
+def cut(texts: Iterable[str], size: int) -> Iterator[tuple[list[int], list[int], list[str], bool]]:
+    """Groups of (text numbers, offsets, texts, done) of about `size` characters. A longer text comes alone, cut between words; its last piece is done."""
+    numbers, group, held = [], [], 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield numbers, [0] * len(numbers), group, True
+            numbers, group, held = [], [], 0
+        if len(text) <= size:
+            numbers.append(i)
+            group.append(text)
+            held += len(text)
+            continue
+        start = 0
+        while start < len(text):
+            end = min(len(text), start + size)
+            while end < len(text) and (text[end].isalnum() or "\u0300" <= text[end] < "\u0370"):
+                end += 1
+            yield [i], [start], [text[start:end]], end == len(text)
+            start = end
+    if group:
+        yield numbers, [0] * len(numbers), group, True
+
+
+def text_words(texts: Iterable[str], size: int = PIECE) -> Iterator[tuple[np.ndarray, ...]]:
+    """Word hashes, their text number, and the words' bounds in their text, for groups of whole texts."""
+    held = []
+    for numbers, offsets, group, done in cut(texts, size):
+        _, prefix, starts, ends, owner = letter_words(group, digits=True)
+        origin = (np.cumsum([0] + [len(t) + 1 for t in group])[:-1] - np.array(offsets))[owner]
+        held.append((span_hashes(prefix, starts, ends), np.array(numbers)[owner], starts - origin, ends - origin))
+        if done:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held = []
+
+
+def anchors(words: list[np.ndarray], lengths: list[np.ndarray], needs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hash, template and place of the anchors, sorted by hash: words that are rare in the templates for their length."""
+    seen = Counter(w for body in words for w in body.tolist())
+    rows = []
+    for t, (body, size, need) in enumerate(zip(words, lengths, needs)):
+        rarity = np.array([seen[w] for w in body.tolist()]) / size
+        rows += [(int(body[i]), t, i) for i in np.argsort(rarity, kind="stable")[: len(body) - need + 1].tolist()]
+    rows.sort()
+    hashes, owner, at = zip(*rows) if rows else ((), (), ())
+    return np.array(hashes, U), np.array(owner, np.int64), np.array(at, np.int64)
 
 
 def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int, int]:
@@ -99,9 +119,9 @@ def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int,
 
 
 def settled(found: list[tuple]) -> list[tuple]:
-    """Of matches that overlap in one document, the one with most matched words, then the fullest, then the first by name."""
+    """Of matches that overlap in one document, the one with most matched words, then the fullest, then the first by name, then the shortest."""
     kept: dict[int, list[tuple]] = {}
-    for row in sorted(set(found), key=lambda r: (r[0], -r[3], -r[2], r[1], r[4])):
+    for row in sorted(set(found), key=lambda r: (r[0], -r[3], -r[2], r[1], r[5] - r[4], r[4])):
         mine = kept.setdefault(row[0], [])
         if all(row[5] <= k[4] or row[4] >= k[5] for k in mine):
             mine.append(row)
@@ -111,53 +131,34 @@ def settled(found: list[tuple]) -> list[tuple]:
 def scanner(templates: list[tuple[str, str]], coverage: float):
     """Task function: (key, template, coverage, matched words, start, end) of each match."""
     names = [n for n, _ in templates]
-    points, _, prefix, owner, ws, we = reduced([t for _, t in templates])
-    hashes, at = winnowed(prefix, owner)
-    order = np.argsort(hashes, kind="stable")
-    hashes, at = hashes[order], at[order]
+    hashes_, owner, starts, ends = next(text_words([t for _, t in templates], TEMPLATE_CHARS), [np.zeros(0, U)] * 4)
+    words = [hashes_[owner == t] for t in range(len(names))]
+    # Less a rounding error, as 0.8 * 5 words are four.
+    needs = [max(1, ceil(coverage * len(body) - 1e-9)) for body in words]
+    hashes, owners, at = anchors(words, [(ends - starts)[owner == t] for t in range(len(names))], needs)
     kinds, first, count = np.unique(hashes, return_index=True, return_counts=True)
-    word_hash, word_owner = span_hashes(prefix, ws, we), owner[ws] if len(ws) else ws
-    begin = np.searchsorted(word_owner, np.arange(len(names)))
-    finish = np.searchsorted(word_owner, np.arange(len(names)), "right")
     maybe = np.zeros(1 << 20, bool)
     maybe[(kinds >> U(44)).astype(np.int64)] = True
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for numbers, offsets, group in pieces(t.as_py() or "" for t in batch.column(1)):
-                _, spot, pre, own, dws, dwe = reduced(group)
-                runs_, where = winnowed(pre, own)
-                some = np.flatnonzero(maybe[(runs_ >> U(44)).astype(np.int64)])
-                kind = places(kinds, runs_[some])
+            for mine, number, start, end in text_words(t.as_py() or "" for t in batch.column(1)):
+                some = np.flatnonzero(maybe[(mine >> U(44)).astype(np.int64)])
+                kind = places(kinds, mine[some])
                 some, kind = some[kind >= 0], kind[kind >= 0]
-                if not len(some):
-                    continue
-                mine = span_hashes(pre, dws, dwe)
-                mine_owner = own[dws]
-                origin = np.cumsum([0] + [len(t) + 1 for t in group])
-                tried: dict[tuple[int, int], int] = {}
-                for place, k in zip(where[some].tolist(), kind.tolist()):
-                    word = int(np.searchsorted(dws, place, "right")) - 1
-                    for s in range(first[k], first[k] + count[k]):
-                        t = int(owner[at[s]])
-                        body = word_hash[begin[t] : finish[t]]
-                        band = 4 + len(body) // 8
-                        inside = int(np.searchsorted(ws, at[s], "right")) - 1 - begin[t]
-                        doc = int(mine_owner[word])
-                        diagonal = word - inside
-                        # One alignment covers all hits whose diagonals lie in half its band.
-                        if (t, doc) in tried and abs(tried[t, doc] - diagonal) <= band // 2:
-                            continue
-                        tried[t, doc] = diagonal
-                        lo = max(diagonal - band, int(np.searchsorted(mine_owner, doc)))
-                        hi = min(diagonal + len(body) + band, int(np.searchsorted(mine_owner, doc, "right")))
-                        matched, a, b = align(body, np.concatenate((np.zeros(max(0, lo - (diagonal - band)), U), mine[lo:hi])), band)
-                        if matched and matched >= coverage * len(body):
-                            shift = diagonal - band
-                            x, y = shift + a, shift + b
-                            start, end = int(spot[dws[x]] - origin[doc]), int(spot[dwe[y] - 1] + 1 - origin[doc])
-                            out.append((numbers[doc], names[t], matched / len(body), matched, start + offsets[doc], end + offsets[doc]))
+                tried = {(int(owners[s]), w - int(at[s]), int(number[w])) for w, k in zip(some.tolist(), kind.tolist()) for s in range(first[k], first[k] + count[k])}
+                for t, diagonal, doc in sorted(tried):
+                    body = words[t]
+                    band = 4 + len(body) // 8
+                    lo = max(diagonal - band, int(np.searchsorted(number, doc)))
+                    hi = min(diagonal + len(body) + band, int(np.searchsorted(number, doc, "right")))
+                    if np.isin(body, mine[lo:hi]).sum() < needs[t]:
+                        continue
+                    matched, a, b = align(body, np.concatenate((np.zeros(max(0, lo - (diagonal - band)), U), mine[lo:hi])), band)
+                    if matched >= needs[t]:
+                        shift = diagonal - band
+                        out.append((doc, names[t], matched / len(body), matched, int(start[shift + a]), int(end[shift + b])))
             out = settled(out)
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), *[pa.array(c, pa.int64()) for c in cols[3:]]], names=["key", "template", "coverage", "matched_words", "start", "end"])
@@ -169,14 +170,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | tuple = TEMPLATES,
     """(id, template, coverage, matched_words, start, end): stretches that hold `coverage` of a template's words in order.
 
     Spans are code points of the whole text; of overlapping matches the largest counts. Null and empty texts match nothing; repeated rows match each for
-    themselves. Templates go to every task and may hold 16 million characters together; templates shorter than the
-    hashed length are refused, as they would leave no fingerprint. Other columns are not read.
+    themselves. Templates go to every task and may hold 16 million characters together; templates of fewer than 12
+    letters and digits are refused, as they are met by chance. Other columns are not read.
     """
     if sum(len(t) for _, t in templates) > TEMPLATE_CHARS:
         raise ValueError("templates exceed the size that goes to every task: scan them in groups")
-    short = [n for n, t in templates if sum(c.isalnum() for c in t) < GRAM]
+    short = [n for n, t in templates if sum(c.isalnum() for c in t) < LEAST_CHARS]
     if short:
-        raise ValueError(f"templates without a fingerprint: {short}")
+        raise ValueError(f"templates too short to tell: {short}")
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     found = by_tasks(slim, scanner(list(templates), coverage), f"key {kind}, template string, coverage double, matched_words long, start long, end long")
