@@ -12,7 +12,7 @@ from tracewright.llm.common import table, text_column
 from tracewright.llm.tokens import tokenizer_path
 from tracewright.session import prepare, shared_folder
 
-# SQL can't express the trained stages; tests hold the rows against brute force.
+# SQL can't express the trained stages; tests hold the near-duplicate and benchmark stages and what they leave against brute force.
 ORACLE_SQL = None
 
 
@@ -30,12 +30,15 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group (five-word shingles, similarity 0.8 or more).
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8 or more): of the smallest id, rows without id last.
 
-    Rows that repeat id and text leave one. Documents without shingles are in no group and stay.
+    Rows are judged by id and text: an id with several texts loses only those that have a kept copy, and of a group's texts
+    under one id the one with the smallest hash stays. Rows that repeat id and text leave one. Documents without shingles
+    are in no group and stay.
     """
-    gone = neardup.near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    kept = neardup.one_of_each(docs).withColumnsRenamed({"key": "_key", "th": "_th"})
+    same = F.col("doc_id").eqNullSafe(F.col("_key")) & (F.xxhash64("text") == F.col("_th"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

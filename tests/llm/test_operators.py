@@ -390,3 +390,45 @@ def test_pipeline(spark, odd, nothing):
     clean = {r["doc_id"] for r in corpus_pipeline.without_benchmarks(spark, docs, SMALL).collect()}
     assert leaks and clean == {r["doc_id"] for r in docs.collect()} - leaks
     assert sorted(registry.QUERIES) == sorted(f"op{n}" + k for n, k in ((1, "_sharding"), (2, "_license_scans"), (3, "_quality_classifier"), (4, "_document_fingerprints"), (5, "_packing"), (6, "_minhash_near_dedup"), (7, "_benchmark_decontamination"), (8, "_toxicity"), (9, "_language_id"), (10, "_warc")))
+
+
+def left_of_groups(rows):
+    """(id, text) of the rows that one_of_each_group keeps, by brute force, with the kept text of an id's equals left open: a set of choices a group."""
+    distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    counts, component = grouped([t for _, t in distinct], 5, 80)
+    groups = {}
+    for row, n, c in zip(distinct, counts, component):
+        groups.setdefault(("alone", row) if n == 0 else c, []).append(row)
+    return [{r for r in g if r[0] == min(g, key=lambda r: (r[0] is None, r[0] or 0))[0]} for g in groups.values()]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, tmp_path):
+    rng = random.Random(11)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    some = [r.asDict() for r in docs.filter("length(text) > 300").orderBy("doc_id").limit(12).collect()]
+    a, b, c, d = (r["text"] for r in some[:4])
+    odd_rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c + " end"), (3, c), (None, d), (None, d + " end"), (None, d), (None, b + " more"), (4, None), (None, None), (None, ""), (5, "")]
+    odd_rows += [(rng.choice([None, None, 20, 21, 22]), r["text"] + rng.choice(["", " x", " y z"])) for r in some[4:] for _ in range(4)]
+    rng.shuffle(odd_rows)
+    made = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in odd_rows], docs.select("doc_id", "text", "lang", "source", "n_chars").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+
+    def fits(left, before):
+        wanted = left_of_groups(before)
+        return len(left) == len(wanted) and all(sum(r in g for r in left) == 1 for g in wanted)
+
+    def pairs(df):
+        return [(r["doc_id"], r["text"]) for r in df.collect()]
+
+    assert fits(pairs(corpus_pipeline.one_of_each_group(spark, made, SMALL)), odd_rows)
+    both = docs.select(made.columns).union(made).repartition(3)
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    both = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    early = corpus_pipeline.in_a_language(spark, corpus_pipeline.without_toxic(spark, both, str(tmp_path)), str(tmp_path))
+    unique = corpus_pipeline.one_of_each_group(spark, early, str(tmp_path)).cache()
+    assert fits(pairs(unique), pairs(early))
+    ids = tokens.chunk_ids(tokens.tokenizer_path("word_bpe_49k.json"))
+    clean = pairs(corpus_pipeline.without_benchmarks(spark, unique, str(tmp_path)))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((repr(r["doc_id"]), r["doc_tokens"]) for r in packed if r["start"] == 0) == sorted((repr(i), len(ids.of(t or "")) // 4 + 1) for i, t in clean)

@@ -297,14 +297,10 @@ def components(links: DataFrame, per_task: int = 200_000) -> DataFrame:
     return members.union(stars.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: int = PLACES, rows: int = ROWS, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row: linked where 100 * shared shingles >= percent * all shingles.
+def grouped_sets(docs: DataFrame, size: int, percent: int, places: int, rows: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows (key, th, n, digest, ...), and every distinct set: (digest, first_key, first_row, comp).
 
-    Texts that are null or hold no word have no shingles and stay alone. Every row is a document of its own, also where
-    rows repeat an id. Rows without id take part; a component without any id has a null component_id and is kept whole.
-    A pair at the threshold is missed by the bands with probability (1 - 0.8^4)^32 < 4.8e-8. Pairs away from their bucket's
-    smallest node are confirmed from a floor of the signature on (0.57), which misses 1e-9 at most: below 5e-8 together. An empty
-    table gives no rows.
+    `first_row` is the (nameless, key, th) of the set's row with the smallest id, rows without id last, then the smallest text hash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
@@ -312,7 +308,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: i
     sketches = by_tasks(hashed, sketch(size, places, rows), f"key {kind}, th long, n long, digest binary, low binary, bands binary, each array<long>")
     sketches = cut_lineage(sketches.withColumn("row", F.monotonically_increasing_id()))
     # A node is a distinct set, named by its first row.
-    sets = sketches.filter("n > 0").groupBy("digest").agg(F.min("row").alias("id"), F.min("key").alias("first_key"))
+    sets = sketches.filter("n > 0").groupBy("digest").agg(F.min("row").alias("id"), F.min("key").alias("first_key"), F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "th")).alias("first_row"))
     nodes = sketches.join(sets.select(F.col("id").alias("row")), "row").select(F.col("row").alias("id"), "key", "th", "n", "low", "bands", "each")
     banded = nodes.select("id", F.explode("each").alias("hash"))
     shared = banded.groupBy("hash").agg(F.count("*").alias("members"), F.min("id").alias("head")).filter("members > 1")
@@ -344,9 +340,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: i
         again = involved.repartition("hash", "lo", "hi").sortWithinPartitions("hash", "lo", "hi")
         more = cut_lineage(by_tasks(again, alike(mode, floor, percent, size), "a long, b long"))
         links = links.union(more)
-    grouped = sets.join(components(links), "id", "left").select("digest", "first_key", F.coalesce("comp", "id").alias("comp"))
+    return sketches, sets.join(components(links), "id", "left").select("digest", "first_key", "first_row", F.coalesce("comp", "id").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, places: int = PLACES, rows: int = ROWS, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row: linked where 100 * shared shingles >= percent * all shingles.
+
+    Texts that are null or hold no word have no shingles and stay alone. Every row is a document of its own, also where
+    rows repeat an id. Rows without id take part; a component without any id has a null component_id and is kept whole.
+    A pair at the threshold is missed by the bands with probability (1 - 0.8^4)^32 < 4.8e-8. Pairs away from their bucket's
+    smallest node are confirmed from a floor of the signature on (0.57), which misses 1e-9 at most: below 5e-8 together. An empty
+    table gives no rows.
+    """
+    sketches, grouped = grouped_sets(docs, size, percent, places, rows, block, id_col, text_col)
     heads = grouped.groupBy("comp").agg(F.min("first_key").alias("component"))
     named = grouped.join(heads, "comp").select("digest", "component")
     out = sketches.select("key", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("key") == component, F.lit(False))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, places: int = PLACES, rows: int = ROWS, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, th): id and xxhash64 of the text of the rows to keep, one of each component and every text without shingles.
+
+    A component keeps its text of the smallest id, also where that id has other texts; texts without id come last, and of
+    one id's texts in the component the smallest hash counts. Rows of equal id and text are one here.
+    """
+    sketches, grouped = grouped_sets(docs, size, percent, places, rows, block, id_col, text_col)
+    heads = grouped.groupBy("comp").agg(F.min("first_row").alias("row")).select("row.key", "row.th")
+    return heads.union(sketches.filter("n = 0").select("key", "th")).distinct()
