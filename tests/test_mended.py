@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import values
 from tracewright.operators import aggregates, custody, joins, ordered, topk
+from tracewright.plans import catalog, traffic_plans
 from tracewright.sources import readers
 
 
@@ -57,3 +58,19 @@ def test_findings_without_artifact_contradict(spark):
     df = spark.createDataFrame(rows, "case_id string, finding_id string, pool_origin string, tool_call_id string, artifact_path string, confidence string, mitre_technique string, description string")
     got = joins.contradictions(df).collect()
     assert [(r["finding_id"], r["other_technique"]) for r in got] == [("f1", 1)]
+
+
+def test_long_addresses_and_cookies_stay_whole(spark):
+    start = "z" * 300
+    packets = spark.createDataFrame([(1, f"/login?{start}", f"id={start}1"), (2, "/later", f"id={start}22; {start}=x"), (3, "", f"id={start}1")], "pkt_no long, http_uri string, cookie string")
+    packets = packets.selectExpr("*", "'s' AS src", "'d' AS dst", "'h' AS http_host", "'GET' AS http_method", "0.0 AS ts")
+    assert aggregates.http_requests(packets).first()["uri"] == f"/login?{start}"
+    source = catalog.Source(spark, "")
+    source.packets = packets
+    rows = traffic_plans.cookies_of_requests(source).orderBy("rank").collect()
+    assert [(r["name"], r["value"]) for r in rows] == [("id", f"{start}22"), ("id", f"{start}1"), (start, "x")]
+
+
+def test_top_queries_of_each_key(spark):
+    rows = spark.createDataFrame([("a", "dns", "x"), ("a", "dns", "x"), ("a", "dns", "y"), ("b", "dns", "y"), ("b", "conn", "z"), ("b", "dns", "")], "case_id string, log_kind string, query string")
+    assert {(r["case_id"], r["value"], r["count"]) for r in aggregates.zeek_top_queries(rows, 1, ["case_id"]).collect()} == {("a", "x", 2), ("b", "y", 1)}

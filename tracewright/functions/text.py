@@ -91,8 +91,8 @@ def clip_bytes(text: Column, limit: int, suffix: str = "") -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(head, F.lit(suffix)))
 
 
-def cookie_pairs(header: Column, max_name: int = 64, max_value: int = 256) -> Column:
-    """Cookie header to an array of (name, value, truncated)."""
+def cookie_pairs(header: Column, max_name: int | None = 64, max_value: int | None = 256) -> Column:
+    """Cookie header to an array of (name, value, truncated); without limits whole, as comparing and ranking need them."""
 
     def one(pair: Column) -> Column:
         pair = F.trim(pair)
@@ -100,9 +100,9 @@ def cookie_pairs(header: Column, max_name: int = 64, max_value: int = 256) -> Co
         name = F.when(at > 0, F.trim(F.substr(pair, F.lit(1), at - 1))).otherwise(pair)
         value = F.when(at > 0, F.trim(F.substr(pair, at + 1, F.length(pair)))).otherwise(F.lit(""))
         return F.struct(
-            clip_bytes(name, max_name).alias("name"),
-            clip_bytes(value, max_value).alias("value"),
-            (F.octet_length(value) > max_value).alias("truncated"),
+            (name if max_name is None else clip_bytes(name, max_name)).alias("name"),
+            (value if max_value is None else clip_bytes(value, max_value)).alias("value"),
+            (F.lit(False) if max_value is None else F.octet_length(value) > max_value).alias("truncated"),
         )
 
     return F.filter(F.transform(F.split(header, ";"), one), lambda c: c["name"] != "")

@@ -18,9 +18,6 @@ from tracewright.functions.paths import registrable_domain
 BRUTE_FORCE_MIN = 5
 MULTIPLEX_MIN_DOMAINS = 5
 
-# Fixed value: longer request addresses keep this much of their end.
-URI_TAIL = 256
-
 
 def value_counts(df: DataFrame, value: Column, k: int | None = None, keys=()) -> DataFrame:
     """Counts per value, most frequent first, then by value; empty and '-' are never counted."""
@@ -51,6 +48,11 @@ def zeek_top_hosts(df: DataFrame, k: int = 10, keys=()) -> DataFrame:
     return value_counts(df.where(named.isNotNull()).select(*keys, F.explode(named).alias("h")), F.col("h"), k, keys)
 
 
+def zeek_top_queries(df: DataFrame, k: int = 10, keys=()) -> DataFrame:
+    """Names asked for; the k most frequent of each key."""
+    return value_counts(df.where("log_kind = 'dns'"), F.col("query"), k, keys)
+
+
 def conversations(pkts: DataFrame, keys=()) -> DataFrame:
     port = F.when(F.col("tcp_port") != "", F.col("tcp_port")).otherwise(F.col("udp_port"))
     rows = pkts.where("src <> '' OR dst <> ''").withColumn("dst_port", port)
@@ -64,7 +66,7 @@ def http_requests(pkts: DataFrame, keys=()) -> DataFrame:
         pkts.where("http_method <> ''")
         .groupBy(*keys, "src", "dst", F.col("http_host").alias("host"), F.col("http_method").alias("method"))
         .agg(
-            F.min_by(F.when(F.length("http_uri") > URI_TAIL, F.concat(F.lit("…"), F.right("http_uri", F.lit(URI_TAIL)))).otherwise(F.col("http_uri")), F.when(F.col("http_uri") != "", F.struct("pkt_no", "http_uri"))).alias("uri"),
+            F.min_by("http_uri", F.when(F.col("http_uri") != "", F.struct("pkt_no", "http_uri"))).alias("uri"),
             F.bool_or(F.col("cookie") != "").alias("has_cookie"),
             F.count(F.lit(1)).alias("requests"),
             F.min(stamped).alias("first_ts"),

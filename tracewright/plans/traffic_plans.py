@@ -54,8 +54,8 @@ def _(src):
        SELECT * FROM r WHERE rank <= 8""",
     uses=("packets",),
 )
-def _(src):
-    each = src.packets.where("cookie <> ''").select("src", "dst", F.explode(text.cookie_pairs(F.col("cookie"))).alias("c")).select("src", "dst", "c.name", "c.value")
+def cookies_of_requests(src):
+    each = src.packets.where("cookie <> ''").select("src", "dst", F.explode(text.cookie_pairs(F.col("cookie"), None, None)).alias("c")).select("src", "dst", "c.name", "c.value")
     return topk.top_cookies(each, ["src", "dst"]).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -129,7 +129,23 @@ def _(src):
 
 @query("zeek_top_queries", "SELECT query AS value, count(*) AS count FROM zeek WHERE log_kind = 'dns' AND query <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", uses=("zeek",))
 def _(src):
-    return aggregates.value_counts(src.zeek.where("log_kind = 'dns'"), F.col("query"), 10)
+    return aggregates.zeek_top_queries(src.zeek)
+
+
+# The same for each host that connects or asks.
+@query(
+    "zeek_top_hosts_by_host",
+    """, h AS (SELECT orig_h AS host, orig_h AS value FROM zeek WHERE log_kind = 'conn' UNION ALL SELECT orig_h, resp_h FROM zeek WHERE log_kind = 'conn' UNION ALL SELECT orig_h, server_name FROM zeek WHERE log_kind IN ('ssl', 'tls'))
+       SELECT host, value, count(*) AS count FROM h WHERE value <> '' AND value <> '-' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY host ORDER BY count(*) DESC, value) <= 10""",
+    uses=("zeek",),
+)
+def _(src):
+    return aggregates.zeek_top_hosts(src.zeek.withColumn("host", F.col("orig_h")), keys=("host",))
+
+
+@query("zeek_top_queries_by_host", "SELECT orig_h AS host, query AS value, count(*) AS count FROM zeek WHERE log_kind = 'dns' AND query <> '' AND query <> '-' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY orig_h ORDER BY count(*) DESC, query) <= 10", uses=("zeek",))
+def _(src):
+    return aggregates.zeek_top_queries(src.zeek.withColumn("host", F.col("orig_h")), keys=("host",))
 
 
 _INDICATORS = """, x AS (SELECT *, CASE page_id % 10 WHEN 0 THEN ['encoded_quote', 'sql_comment_terminator', 'sqli_information_schema', 'sqli_union_select'] WHEN 2 THEN ['path_traversal']
