@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.llm import filteraudit
 from tracewright.llm.common import table
 from tracewright.session import prepare
 
@@ -95,3 +96,8 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     from tracewright.llm.warc import round_trip
 
     return round_trip(table(spark, folder, "pages"))
+
+
+@query("op13_filter_interaction_audit", filteraudit.CHECK_SQL)
+def op13_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filteraudit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
