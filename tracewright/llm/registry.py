@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import filteraudit
+from tracewright.llm import filteraudit, manifest
 from tracewright.llm.common import table
 from tracewright.session import prepare
 
@@ -101,3 +101,8 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_filter_interaction_audit", filteraudit.CHECK_SQL)
 def op13_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filteraudit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_merkle_dataset_manifest", manifest.CHECK_SQL)
+def op11_merkle_dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.tamper_audit(table(spark, folder, "documents"))
