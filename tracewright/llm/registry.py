@@ -106,3 +106,10 @@ def op13_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame
 @query("op11_merkle_dataset_manifest", manifest.CHECK_SQL)
 def op11_merkle_dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.tamper_audit(table(spark, folder, "documents"))
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from tracewright.llm.pii import span_report
+
+    return span_report(table(spark, folder, "documents"))
