@@ -20,14 +20,22 @@ def byte_letters() -> dict[int, int]:
 
 
 class ChunkIds(dict):
-    """Chunk to little-endian 32-bit ids. Holds at most `limit` entries; beyond that it starts afresh."""
+    """Chunk to little-endian 32-bit ids, in two generations of `limit` bytes each.
 
-    def __init__(self, path: str, limit: int = 150_000):
+    What was used since the last change of generation stays, however long ago it was made: a hit in the old generation moves
+    to the young one, which becomes the old one when it is full. An entry counts with its key, its ids and its place in the table.
+    Lower-case words, which need the model, have entries of their own; forms with capitals and signs are put together from them.
+    Chunks above `longest` characters are not kept.
+    """
+
+    def __init__(self, path: str, limit: int = 52 << 20, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit, self.letters = Tokenizer.from_file(path), limit, byte_letters()
+        self.tokenizer, self.limit, self.longest, self.letters = Tokenizer.from_file(path), limit, longest, byte_letters()
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         self.model = self.tokenizer.model
         # The short way holds for word-end models over single letters and punctuation runs, which the file's settings show.
         self.short = self._agrees()
@@ -45,19 +53,28 @@ class ChunkIds(dict):
     def _parts(self, word: str, tail: str) -> bytes:
         return self._model(word.lower()) + (self._model(tail) if tail else b"")
 
-    def __missing__(self, chunk: str) -> bytes:
+    def _made(self, chunk: str) -> tuple[bytes, bool]:
+        """Ids of a chunk, and whether it is worth an entry: a form is if its word has been seen before."""
         plain = PLAIN.fullmatch(chunk) if self.short else None
         if plain is None:
-            ids = self._whole(chunk)
-        else:
-            word, tail = plain[1].lower(), plain[2]
-            if word == chunk:
-                ids = self._model(word)
-            else:
-                ids = self[word] + (self[tail] if tail else b"") if tail != chunk else self._model(tail)
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = ids
+            return self._whole(chunk), True
+        word, tail = plain[1].lower(), plain[2]
+        if word == chunk or tail == chunk:
+            return self._model(chunk), True
+        seen = word in self or word in self.old
+        return self[word] + (self[tail] if tail else b""), seen
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids, kept = self.old.pop(chunk, None), True
+        if ids is None:
+            ids, kept = self._made(chunk)
+        if kept and len(chunk) <= self.longest:
+            self.held += 190 + len(chunk) + len(ids)
+            if self.held > self.limit:
+                self.old = dict(self)
+                self.clear()
+                self.held = 190 + len(chunk) + len(ids)
+            self[chunk] = ids
         return ids
 
     def of(self, text: str) -> bytes:
