@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -67,24 +68,37 @@ def before_parts(parts: DataFrame, **totals: Column) -> DataFrame:
     return sums.select("_part", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).cast("long").alias(f"{k}_before") for k in totals])
 
 
-def pieces(texts: Iterable[str], size: int = 1 << 19) -> Iterator[tuple[list[int], list[int], list[str]]]:
-    """Groups of (text numbers, offsets, text pieces) of about `size` characters; longer texts are cut, after white space if they can be."""
+BLANK = re.compile(r"\s")
+
+
+def spans(text: str, size: int, stops: re.Pattern = BLANK) -> Iterator[tuple[int, int]]:
+    """Cuts of a text into spans of about `size` characters, each behind a character that `stops` matches.
+
+    What lies between two stops is never cut: where a span holds no stop it runs on to the next one.
+    """
+    start = 0
+    while len(text) - start > size:
+        end = start + size
+        while end > start and not stops.match(text, end - 1):
+            end -= 1
+        if end == start:
+            later = stops.search(text, start + size)
+            end = later.end() if later else len(text)
+        yield start, end
+        start = end
+    if start < len(text):
+        yield start, len(text)
+
+
+def pieces(texts: Iterable[str], size: int = 1 << 19, stops: re.Pattern = BLANK) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Groups of (text numbers, offsets, text pieces) of about `size` characters; longer texts are cut behind `stops` only."""
     numbers, offsets, group, held = [], [], [], 0
     for i, text in enumerate(texts):
-        start = 0
-        while start < len(text):
-            end = len(text)
-            if end - start > size:
-                end = start + size
-                for back in range(end, max(start, end - 10_000), -1):
-                    if text[back - 1].isspace():
-                        end = back
-                        break
+        for start, end in spans(text, size, stops):
             numbers.append(i)
             offsets.append(start)
             group.append(text[start:end])
             held += end - start
-            start = end
             if held >= size:
                 yield numbers, offsets, group
                 numbers, offsets, group, held = [], [], [], 0

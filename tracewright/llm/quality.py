@@ -7,6 +7,7 @@ class prior comes from the best bin: the smallest ratio of unlabelled to positiv
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import by_tasks, fold_of, labelled_sample, pieces
+from tracewright.llm.common import by_tasks, fold_of, labelled_sample, spans
 from tracewright.llm.toxicity import ENDS
 from tracewright.llm.words import U, characters, code_points, mix, prefix_sums, runs, span_hashes
 
@@ -54,41 +55,68 @@ def repeated(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.bincount(owner, minlength=n).astype(float), np.bincount(of, minlength=n).astype(float), top
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """One row of shares and repetition figures per text; sums over the pieces of long texts."""
+LINE_ENDS = re.compile(r"[\n\r]")
+
+
+def groups(texts: list[str], size: int = 1 << 19) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """(text numbers, one list of pieces per round) of whole texts of about `size` characters together.
+
+    A longer text is alone in its group and comes in rounds, cut behind line ends: what its pieces hold is put together
+    before anything distinct is counted.
+    """
+    numbers, group, held = [], [], 0
+    for i, text in enumerate(texts):
+        if len(text) > size:
+            yield [i], [[text[a:b]] for a, b in spans(text, size, LINE_ENDS)]
+            continue
+        numbers.append(i)
+        group.append(text)
+        held += len(text)
+        if held >= size:
+            yield numbers, [group]
+            numbers, group, held = [], [], 0
+    if group:
+        yield numbers, [group]
+
+
+def items(group: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Character kinds and sentence ends per text, and (hash, text) of its words (with lengths), sentences and lines in order."""
+    low = code_points("\n".join(group) + "\n")
+    kind, m = _KIND[0][low], len(group)
+    bounds = np.cumsum([len(t) + 1 for t in group])
+    owner = np.repeat(np.arange(m), np.diff(np.concatenate(([0], bounds))))
+    counts = np.bincount(owner * KINDS + kind, minlength=m * KINDS).reshape(m, KINDS).astype(float)
+    counts[:, 4] -= 1
+    prefix = prefix_sums(characters()[1][low].astype(U) + U(1))
+    found = []
+    for mask in ((kind <= 2) | (kind == 5), ~ENDS[low], kind != 4):
+        starts, ends = runs(mask)
+        found.append((span_hashes(prefix, starts, ends) if len(starts) else np.zeros(0, U), owner[starts], ends - starts))
+    return counts, np.bincount(owner, ENDS[low], minlength=m) - 1, found
+
+
+def features(texts: list[str], size: int = 1 << 19) -> np.ndarray:
+    """One row of shares and repetition figures per whole text; `size` bounds the memory of a step and changes no figure."""
     if not _KIND:
         _KIND.append(kind_of_characters())
     n = len(texts)
     kinds, tallies = np.zeros((n, KINDS)), np.zeros((n, 13))
-    for numbers, _, group in pieces(texts):
-        of = np.array(numbers)
-        m = len(group)
-        low = code_points("\n".join(group) + "\n")
-        kind = _KIND[0][low]
-        bounds = np.cumsum([len(t) + 1 for t in group])
-        owner = np.repeat(np.arange(m), np.diff(np.concatenate(([0], bounds))))
-        counts = np.bincount(owner * KINDS + kind, minlength=m * KINDS).reshape(m, KINDS).astype(float)
-        counts[:, 4] -= 1
-        lower = characters()[1][low]
-        prefix = prefix_sums(lower.astype(U) + U(1))
-        local = np.zeros((m, 13))
-        starts, ends = runs((kind <= 2) | (kind == 5))
-        if len(starts):
-            word, whose = span_hashes(prefix, starts, ends), owner[starts]
+    for numbers, rounds in groups(texts, size):
+        m = len(numbers)
+        parts = [items(group) for group in rounds]
+        kinds[numbers] = sum(p[0] for p in parts)
+        tallies[numbers, 12] = sum(p[1] for p in parts)
+        (word, whose, length), *others = ([np.concatenate(x) for x in zip(*of)] for of in zip(*(p[2] for p in parts)))
+        local = np.zeros((m, 12))
+        if len(word):
             local[:, 0:3] = np.stack(repeated(word, whose, m), axis=1)
-            same = (whose[1:] == whose[:-1])
+            same = whose[1:] == whose[:-1]
             local[:, 3] = np.bincount(whose[1:], same & (word[1:] == word[:-1]), minlength=m)
-            local[:, 4] = np.bincount(whose, ends - starts, minlength=m)
-            pair, at = mix(word[1:] * U(3) + word[:-1])[same], whose[1:][same]
-            local[:, 5:8] = np.stack(repeated(pair, at, m), axis=1)
-        for col, mask in ((8, ENDS[low]), (10, kind == 4)):
-            starts, ends = runs(~mask)
-            if len(starts):
-                items, distinct, _ = repeated(span_hashes(prefix, starts, ends), owner[starts], m)
-                local[:, col], local[:, col + 1] = items, distinct
-        local[:, 12] = np.bincount(owner, ENDS[low], minlength=m) - 1
-        np.add.at(kinds, of, counts)
-        np.add.at(tallies, of, local)
+            local[:, 4] = np.bincount(whose, length, minlength=m)
+            local[:, 5:8] = np.stack(repeated(mix(word[1:] * U(3) + word[:-1])[same], whose[1:][same], m), axis=1)
+        for col, (hashes, of, _) in zip((8, 10), others):
+            local[:, col], local[:, col + 1], _ = repeated(hashes, of, m)
+        tallies[numbers, :12] = local
     chars = np.maximum(kinds.sum(axis=1), 1)
     words = np.maximum(tallies[:, 0], 1)
     extra = np.stack([

@@ -6,6 +6,7 @@ Training sees only the document label; the sentence scores that result point out
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,11 @@ from tracewright.llm.words import letter_words, places, span_hashes
 from tracewright.session import cut_lineage
 
 FOLD = (5, 0)
+SENTENCE_ENDS = ".!?\n\r;…。！？"
 ENDS = np.zeros(0x110000, bool)
-ENDS[[ord(c) for c in ".!?\n\r;…。！？"]] = True
+ENDS[[ord(c) for c in SENTENCE_ENDS]] = True
+# Long texts are cut between sentences, so a sentence's words add up wherever it lies.
+BREAKS = re.compile(f"[{SENTENCE_ENDS}]")
 
 
 @dataclass
@@ -52,7 +56,7 @@ def word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = np.array(batch.column(2).to_pylist(), np.int64)
         seen = []
-        for numbers, _, group in pieces(t.as_py() or "" for t in batch.column(1)):
+        for numbers, _, group in pieces((t.as_py() or "" for t in batch.column(1)), stops=BREAKS):
             hashes, _, owner, _, _ = words_of(group)
             seen.append(np.stack([hashes, np.array(numbers, np.uint64)[owner]], axis=1))
         if not seen:
@@ -74,7 +78,7 @@ def bags(vocabulary: np.ndarray):
         for batch in batches:
             n = batch.num_rows
             total, sent, word = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
-            for numbers, _, group in pieces(t.as_py() or "" for t in batch.column(1)):
+            for numbers, _, group in pieces((t.as_py() or "" for t in batch.column(1)), stops=BREAKS):
                 hashes, number, owner, _, _ = sentences(group)
                 at = places(vocabulary, hashes)
                 hit = np.flatnonzero(at >= 0)
@@ -150,7 +154,7 @@ def scorer(model: Model, report: float = 0.5):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            for numbers, offsets, group in pieces(t.as_py() or "" for t in batch.column(1)):
+            for numbers, offsets, group in pieces((t.as_py() or "" for t in batch.column(1)), stops=BREAKS):
                 hashes, number, owner, start, end = sentences(group)
                 if not len(owner):
                     continue
