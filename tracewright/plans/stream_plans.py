@@ -12,6 +12,7 @@ from tracewright.plans.catalog import query
 from tracewright.plans.fleet_plans import CLUSTERS
 from tracewright.session import shared_folder
 from tracewright.streaming import live
+from tracewright.streaming.timed import END_OF_TIME, write_apart
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,18 +23,50 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return raw.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+def run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there; each batch is written with its number, and the written table is returned."""
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = run_folder(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         # Overwriting the batch's own folder makes a retried batch land once.
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
-    run.awaitTermination()
-    return spark.read.schema("batch int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)).parquet(f"{base}/out")
+    advance(stream, f"{base}/state", write, mode)
+    return written(stream.sparkSession, f"{base}/out", stream.schema)
+
+
+def advance(stream: DataFrame, state: str, write, mode: str = "append") -> None:
+    """Take in what has come since the last call with this state folder."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def written(spark: SparkSession, folder: str, schema) -> DataFrame:
+    return spark.read.schema("batch int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)).parquet(folder)
+
+
+def replay(rows: DataFrame, make, split=None, shape=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(rows, late rows) that `make` gives for recorded rows arriving as files: all at once, or first those that `split` holds for.
+
+    After the last of them a row at the end of time moves the clock, so no row is left waiting.
+    """
+    spark, base = rows.sparkSession, run_folder(rows.sparkSession)
+    waves = [rows] if split is None else [rows.where(split), rows.where(~split)]
+    over = F.lit(END_OF_TIME).cast("timestamp")
+    clock = {"us": F.unix_micros(over), "ts": over, "lat": F.lit(0.0), "lon": F.lit(0.0)}
+    end = spark.range(1).select(*[clock.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    write = write_apart(f"{base}/rows", f"{base}/late", shape)
+    out = None
+    for number, wave in enumerate([*waves, end]):
+        wave.write.parquet(f"{base}/in/wave={number}")
+        out = make(spark.readStream.schema(rows.schema).parquet(f"{base}/in/wave=*"))
+        advance(out, f"{base}/state", write)
+    kept = out.drop("late").schema
+    shaped = shape(spark.createDataFrame([], kept)).schema
+    return written(spark, f"{base}/rows", shaped).drop("batch"), written(spark, f"{base}/late", kept).drop("batch")
 
 
 @query("stream_clusters", CLUSTERS + " SELECT * FROM clusters", uses=("ps",))
@@ -67,12 +100,12 @@ def _(src):
     uses=("signins",),
 )
 def _(src):
-    e = stream_table(src.spark, src.folder, "events")
+    e = src.given("events")
     rows = e.select(
         F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string"), F.lit("@corp.example")).alias("actor"), F.unix_micros("ts").alias("us"),
         F.col("event_type").isin("error", "click").alias("denied"), (F.col("event_type") == "view").alias("approved"),
     )
-    return drain(live.bursts_stream(rows, prompts=7, minutes=1440)).drop("batch")
+    return replay(rows, lambda s: live.bursts_stream(s, prompts=7, minutes=1440))[0]
 
 
 @query(
@@ -96,10 +129,29 @@ def _(src):
     uses=("signins",),
 )
 def _(src):
-    e = stream_table(src.spark, src.folder, "events")
+    e = src.given("events")
     i, user = F.col("event_id"), F.col("user_id")
     rows = e.select(
-        F.concat(F.lit("u"), (user % 40).cast("string"), F.lit("@corp.example")).alias("actor"), F.unix_micros("ts").alias("us"), (F.lit(-60) + (i * 37) % 120).cast("double").alias("lat"), (F.lit(-180) + (i * 91) % 360).cast("double").alias("lon"),
+        F.concat(F.lit("u"), (user % 40).cast("string"), F.lit("@corp.example")).alias("actor"), F.unix_micros("ts").alias("us"), i.alias("event_id"), (F.lit(-60) + (i * 37) % 120).cast("double").alias("lat"), (F.lit(-180) + (i * 91) % 360).cast("double").alias("lon"),
         F.concat(F.lit("203.0."), (user % 11).cast("string"), F.lit("."), (i % 23).cast("string")).alias("source_ip"),
     )
-    return drain(live.travel_stream(rows)).drop("batch").withColumn("velocity_kmh", F.round("velocity_kmh", 3))
+    return replay(rows, live.travel_stream)[0].withColumn("velocity_kmh", F.round("velocity_kmh", 3))
+
+
+# A tenth of the rows comes after the rest: those older than the clock by then are late, the others chain as if they had been in time.
+LATE_SPLIT = "event_id % 10 = 0 AND epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events WHERE event_id % 10 <> 0) - 600000"
+
+
+def arriving(src) -> tuple[DataFrame, DataFrame]:
+    rows = src.given("events").select("event_id", F.concat(F.lit("host-"), (F.col("user_id") % 20).cast("string")).alias("host"), "ts", F.unix_micros("ts").alias("us"))
+    return replay(rows, live.arrivals, F.col("event_id") % 10 != 0, live.batch_cells)
+
+
+@query("late_events", f"SELECT concat('host-', CAST(user_id % 20 AS STRING)) AS host, count(*) AS late_rows, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM events WHERE {LATE_SPLIT} GROUP BY 1")
+def _(src):
+    return arriving(src)[1].groupBy("host").agg(F.count("*").alias("late_rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+@query("stream_cells_in_time", f"SELECT CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS cell, concat('host-', CAST(user_id % 20 AS STRING)) AS host, min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi, count(*) AS n FROM events WHERE NOT ({LATE_SPLIT}) GROUP BY 1, 2")
+def _(src):
+    return live.merged_cells(arriving(src)[0])

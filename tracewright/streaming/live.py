@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.hashing import sha256_hex
 from tracewright.operators.ordered import slot
-from tracewright.operators.windows import temporal_clusters  # noqa: F401  (batch twin of the cell stream)
+from tracewright.streaming.timed import in_order
 
 # Our policy: events may be this late; later ones go to a side table.
 WATERMARK = "10 minutes"
@@ -86,57 +86,68 @@ def route_late(batch: DataFrame, closed_until_us: int) -> tuple[DataFrame, DataF
 
 
 def _burst(prompts: int, width_us: int):
-    def step(key, chunks, state):
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(chunks)).sort_values("us")
+    def step(memory, rows):
+        us = rows[0][0]
+        recent = [t for t in (memory[0] if memory else []) if t >= us - width_us] + [us for row in rows if row[1]]
+        denied, approved = any(row[1] for row in rows), sum(bool(row[2]) and not row[1] for row in rows)
         out = []
-        for us, denied, approved in zip(rows["us"], rows["denied"], rows["approved"]):
-            recent = [t for t in recent if t >= us - width_us]
-            if denied:
-                recent.append(int(us))
-                if len(recent) >= prompts:
-                    out.append((key[0], int(us), len(recent), False))
-            elif approved and len(recent) >= prompts:
-                out.append((key[0], int(us), len(recent), True))
+        if len(recent) >= prompts:
+            out = [(us, len(recent), False)] * sum(bool(row[1]) for row in rows) if denied else []
+            out += [(us, len(recent), True)] * approved
         # Only one window of denials is ever kept.
-        state.update((recent,))
-        yield pd.DataFrame(out, columns=["actor", "us", "prompt_count", "accepted"])
+        return (recent,), out
 
     return step
 
 
-def bursts_stream(stream: DataFrame, prompts: int = 5, minutes: int = 10) -> DataFrame:
-    """Denial bursts per actor, and approvals that end one; columns actor, us, denied, approved."""
-    return stream.select("actor", "us", "denied", "approved").groupBy("actor").applyInPandasWithState(
-        _burst(prompts, minutes * 60_000_000), "actor string, us long, prompt_count long, accepted boolean", "recent array<long>", "append", "NoTimeout"
-    )
+def bursts_stream(stream: DataFrame, prompts: int = 5, minutes: int = 10, delay: str = WATERMARK) -> DataFrame:
+    """Denial bursts per actor, and approvals that end one, from columns actor, us, denied, approved in any order of arrival.
+
+    Columns actor, us, prompt_count, accepted, late. Denials of one moment count together. Rows older than the watermark are late.
+    """
+    width = minutes * 60_000_000
+    return in_order(stream, "actor", ["us", "denied", "approved"], "recent array<long>", "us long, prompt_count long, accepted boolean", _burst(prompts, width), width, delay)
 
 
 def _travel(kmh: float):
-    def step(key, chunks, state):
-        last = state.get if state.exists else None
-        rows = pd.concat(list(chunks)).sort_values("us")
-        out = []
-        for us, lat, lon, ip in zip(rows["us"], rows["lat"], rows["lon"], rows["source_ip"]):
+    def step(memory, rows):
+        out, last = [], memory
+        for us, _, lat, lon, ip in rows:
             if last is not None and us > last[0]:
                 a, b = math.radians(last[1]), math.radians(lat)
                 half = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon - last[2]) / 2) ** 2
                 speed = 2 * 6371.0 * math.asin(math.sqrt(min(half, 1.0))) / ((us - last[0]) / 3_600_000_000)
                 if speed > kmh:
-                    out.append((key[0], int(us), last[3], ip, speed))
-            last = (int(us), float(lat), float(lon), ip)
-        state.update(last)
-        yield pd.DataFrame(out, columns=["actor", "us", "from_ip", "to_ip", "velocity_kmh"])
+                    out.append((us, last[3], ip, speed))
+            last = (us, lat, lon, ip)
+        return last, out
 
     return step
 
 
-def travel_stream(stream: DataFrame, kmh: float = 1000.0) -> DataFrame:
-    """Impossible travel per actor, with the last sign-in as state; columns actor, us, lat, lon, source_ip."""
-    rows = stream.where("lat IS NOT NULL AND lon IS NOT NULL").select("actor", "us", "lat", "lon", "source_ip")
-    return rows.groupBy("actor").applyInPandasWithState(
-        _travel(kmh), "actor string, us long, from_ip string, to_ip string, velocity_kmh double", "us long, lat double, lon double, ip string", "append", "NoTimeout"
-    )
+def travel_stream(stream: DataFrame, kmh: float = 1000.0, delay: str = WATERMARK, keep_hours: int = 24 * 30, tie: str = "event_id") -> DataFrame:
+    """Impossible travel per actor from columns actor, us, lat, lon, source_ip in any order of arrival.
+
+    Columns actor, us, from_ip, to_ip, velocity_kmh, late. Sign-ins of one moment are ordered by `tie` if there is such a column, then
+    by place and address. An actor's last sign-in is forgotten after `keep_hours` without another one.
+    """
+    rows = stream.where("lat IS NOT NULL AND lon IS NOT NULL")
+    rows = rows.select("actor", "us", (F.col(tie) if tie in stream.columns else F.lit(0)).cast("long").alias("tie"), "lat", "lon", "source_ip")
+    return in_order(rows, "actor", ["us", "tie", "lat", "lon", "source_ip"], "us long, lat double, lon double, ip string", "us long, from_ip string, to_ip string, velocity_kmh double", _travel(kmh), keep_hours * 3_600_000_000, delay)
+
+
+def arrivals(stream: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """(host, us, late) of every row, in event-time order per host, for sinks that keep late rows apart."""
+    return in_order(stream.select("host", F.unix_micros("ts").alias("us")), "host", ["us"], "n long", "us long", lambda memory, rows: ((0,), [(row[0],) for row in rows]), 0, delay)
+
+
+def batch_cells(rows: DataFrame, gap_seconds: int = 60) -> DataFrame:
+    """Cells of one batch of arrivals: partial (cell, host, lo, hi, n), which `merged_cells` adds up over batches."""
+    return rows.groupBy(slot("us", gap_seconds * 1_000_000).alias("cell"), "host").agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+def merged_cells(partial: DataFrame) -> DataFrame:
+    return partial.groupBy("cell", "host").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
 
 
 def line_hashes(stream: DataFrame) -> DataFrame:
