@@ -60,23 +60,6 @@ def ioc_kind(token: Column) -> Column:
     )
 
 
-def _walk(doc, path: str) -> list:
-    """Values reached by a dotted path with [i] and [*] steps; nothing for a malformed path."""
-    level = [doc]
-    for part in path.split("."):
-        if not re.fullmatch(r"[^\[\].]+(?:\[(?:\*|\d+)\])*", part):
-            return []
-        name, *steps = re.findall(r"[^\[\]]+", part)
-        level = [node[name] for node in level if isinstance(node, dict) and name in node]
-        for step in steps:
-            lists = [node for node in level if isinstance(node, list)]
-            if step == "*":
-                level = [item for node in lists for item in node]
-            else:
-                level = [node[int(step)] for node in lists if int(step) < len(node)]
-    return level
-
-
 def _leaf(value) -> dict:
     if isinstance(value, dict):
         return {"kind": "object", "text": json.dumps(value)}
@@ -84,16 +67,56 @@ def _leaf(value) -> dict:
     return {"kind": kind, "text": "" if value is None else str(value)}
 
 
+def path_steps(path: str) -> tuple | None:
+    """Steps of a dotted path: names, list places and None for every item; null for a malformed path."""
+    steps: list = []
+    for part in path.split("."):
+        if not re.fullmatch(r"[^\[\].]+(?:\[(?:\*|\d+)\])*", part):
+            return None
+        name, *places = re.findall(r"[^\[\]]+", part)
+        steps += [name, *(None if p == "*" else int(p) for p in places)]
+    return tuple(steps)
+
+
+def trie_leaves(parsed, paths: list[str]) -> list[list[dict]]:
+    """Leaves of every path, from one walk over the document: paths with one beginning go down it together."""
+    # A node maps a step to a node; under END are the places of the paths that end there.
+    end = ()
+    trie: dict = {}
+    out: list[list[dict]] = [[] for _ in paths]
+    for i, path in enumerate(paths):
+        steps, node = path_steps(path), trie
+        if steps is not None:
+            for step in steps:
+                node = node.setdefault(step, {})
+            node.setdefault(end, []).append(i)
+    stack = [(trie, [parsed])]
+    while stack:
+        node, level = stack.pop()
+        for step, below in node.items():
+            if step == end:
+                found = [_leaf(v) for v in level]
+                for i in below:
+                    out[i] = found
+            elif isinstance(step, str):
+                stack.append((below, [x[step] for x in level if isinstance(x, dict) and step in x]))
+            elif step is None:
+                stack.append((below, [item for x in level if isinstance(x, list) for item in x]))
+            else:
+                stack.append((below, [x[step] for x in level if isinstance(x, list) and step < len(x)]))
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(LEAF)))
 def json_leaves(docs: pd.Series, paths: pd.Series) -> pd.Series:
-    """One leaf array per path; the document is parsed once for all of its paths."""
+    """One leaf array per path; the document is parsed and walked once for all of its paths."""
 
     def one(doc, wanted):
         try:
             parsed = json.loads(doc) if doc else {}
         except ValueError:
             parsed = {}
-        return [[_leaf(v) for v in _walk(parsed, path)] for path in (wanted if wanted is not None else [])]
+        return trie_leaves(parsed, list(wanted) if wanted is not None else [])
 
     return pd.Series([one(d, p) for d, p in zip(docs, paths)])
 

@@ -80,24 +80,27 @@ def web_indicator_rows(requests: DataFrame) -> DataFrame:
     return requests.withColumn("indicators", request_indicators(F.col("target"), F.col("user_agent"))).where(F.size("indicators") > 0)
 
 
-def web_summary(requests: DataFrame) -> DataFrame:
-    """Hits per indicator and hits per attacking client, as kind/value/count rows."""
-    hits = web_indicator_rows(requests).select(F.col("client_ip"), "indicators")
-    tagged = hits.select(F.explode(F.concat(
+def web_summary(requests: DataFrame, keys=()) -> DataFrame:
+    """Hits per indicator and hits per attacking client, as kind/value/count rows, per `keys` (such as case and host)."""
+    hits = web_indicator_rows(requests).select(*keys, F.col("client_ip"), "indicators")
+    tagged = hits.select(*keys, F.explode(F.concat(
         F.transform("indicators", lambda i: F.struct(F.lit("indicator").alias("kind"), i.alias("value"))),
         F.array(F.struct(F.lit("client").alias("kind"), F.col("client_ip").alias("value"))),
     )).alias("e")).where("e.value <> ''")
-    return tagged.groupBy(F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("hits"))
+    return tagged.groupBy(*keys, F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("hits"))
 
 
-def script_summary(lines: DataFrame, key: str = "path") -> DataFrame:
-    """Per script: lines per indicator summed up, and whether it reads as a web shell."""
+def script_summary(lines: DataFrame, key: str = "path", keys=("case_id", "host")) -> DataFrame:
+    """Per script: lines per indicator summed up, and whether it reads as a web shell.
+
+    A script is a path on a host of a case: those of `keys` that the lines have belong to it.
+    """
     rows = lines.withColumn("__i", script_indicators(F.col("line")))
 
     def has(name: str) -> Column:
         return F.bool_or(F.array_contains("__i", name))
 
-    out = rows.groupBy(key).agg(
+    out = rows.groupBy(*[k for k in keys if k in lines.columns], key).agg(
         F.sum(F.size("__i")).alias("indicator_hits"),
         *[has(n).alias(n) for n in (
             "php_command_exec", "php_eval", "obfuscated_decode", "reverse_shell_socket", "error_suppression",

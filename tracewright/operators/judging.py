@@ -92,13 +92,19 @@ def correlate(findings: DataFrame, exact_path_counts: bool = True) -> DataFrame:
 
 
 def _read(findings: DataFrame, outputs: DataFrame, values: Column, keys) -> DataFrame:
-    """Assertions of each finding beside the leaves their paths reach; each output is parsed once per finding."""
-    rows = findings.withColumn("__values", values).where(F.size("__values") > 0)
-    joined = rows.join(outputs.select(*keys, "tool_call_id", "output"), [*keys, "tool_call_id"], "left")
-    leaves = json_leaves(F.col("output"), F.transform("__values", lambda v: v["path"]))
-    return joined.withColumn("__leaves", leaves).withColumn("__pair", F.explode(F.arrays_zip("__values", "__leaves"))).select(
-        *keys, "finding_id", F.col("__pair.__values").alias("v"), F.col("__pair.__leaves").alias("leaves")
-    )
+    """Assertions of each finding beside the leaves their paths reach.
+
+    The distinct paths that all findings of a call ask for go to that call's output as one list, so an output is moved and parsed once,
+    whatever the number of its findings; the leaves of each path then meet the assertions again. A call without output has no leaves.
+    """
+    call = [*keys, "tool_call_id"]
+    asked = findings.select(*call, "finding_id", F.explode(values).alias("v")).withColumn("path", F.col("v.path"))
+    wanted = asked.groupBy(*call, "path").agg(F.lit(1).alias("_")).groupBy(*call).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    held = wanted.join(outputs.select(*call, "output"), call)
+    met = held.withColumn("__leaves", json_leaves(F.col("output"), F.col("paths"))).withColumn("__pair", F.explode(F.arrays_zip("paths", "__leaves")))
+    leaves = met.select(*call, F.col("__pair.paths").alias("path"), F.col("__pair.__leaves").alias("leaves"))
+    empty = F.array().cast(leaves.schema["leaves"].dataType)
+    return asked.join(leaves, [*call, "path"], "left").select(*keys, "finding_id", "v", F.coalesce("leaves", empty).alias("leaves"))
 
 
 def check_entailment(findings: DataFrame, outputs: DataFrame, keys=("case_id",)) -> DataFrame:
@@ -240,6 +246,58 @@ def report_qa(classed: DataFrame, timeline: DataFrame, keys=("case_id",)) -> Dat
     return each.select(*key, "c.*").withColumn("status", F.when(F.col("offending") == 0, "PASS").otherwise("FAIL"))
 
 
+# Report rules: name, what the text claims, the classes that alone don't bear it (empty: any), how many classes it needs.
+REPORT_RULES = (
+    ("execution_requires_two_classes", "execution", (), 2),
+    ("pattern_only_execution", "execution", ("yara",), 2),
+    ("memory_only_execution", "execution", ("memory",), 2),
+    ("log_only_execution", "execution", ("evtx", "hayabusa", "sysmon"), 2),
+    ("network_only_execution", "execution", ("network", "pcap", "zeek"), 2),
+    ("network_only_exfiltration", "exfiltration", ("network", "pcap", "zeek", "sysmon_network"), 0),
+    ("exfiltration_requires_two_prongs", "exfiltration", (), 0),
+    ("uncited_finding", "uncited", (), 0),
+    ("unmarked_hypothesis", "unmarked", (), 0),
+)
+
+
+def report_rules(spark) -> DataFrame:
+    """The report rules as a table (check, claim, only, least)."""
+    return spark.createDataFrame([(n, c, list(o), k) for n, c, o, k in REPORT_RULES], "check string, claim string, only array<string>, least int")
+
+
+def report_offences(classed: DataFrame, timeline: DataFrame, rules: DataFrame | None = None, keys=("case_id",), event_id: str = "event_id") -> DataFrame:
+    """(keys, check, offender, confidence, classes) of every finding or event that breaks a report rule, whatever its tier.
+
+    What a finding claims is told from its text. A rule with `only` is broken by a claim all of whose classes are among those; one with
+    `least` by a claim with fewer classes. Exfiltration without both prongs, missing citations and unmarked hypotheses are claims by themselves.
+    """
+    rules = report_rules(classed.sparkSession) if rules is None else rules
+    low, classes = F.lower(F.coalesce("description", F.lit(""))), F.coalesce("classes", F.array().cast("array<string>"))
+    exfil = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in EXFIL_WORDS])
+    claims = F.array_compact(F.array(
+        F.when(labels.text_claims_execution(F.col("description")), F.lit("execution")),
+        F.when(exfil & ~F.coalesce(exfil_prongs(classes)["both"], F.lit(False)), F.lit("exfiltration")),
+        F.when(F.coalesce("tool_call_id", F.lit("")) == "", F.lit("uncited")),
+        F.when((F.col("confidence") == "HYPOTHESIS") & ~low.startswith("hypothesis:"), F.lit("unmarked")),
+    ))
+    said = classed.select(*keys, F.col("finding_id").alias("offender"), "confidence", classes.alias("classes"), F.explode(claims).alias("claim"))
+    alone = (F.size("only") == 0) | ((F.size("classes") > 0) & (F.size(F.array_except("classes", "only")) == 0))
+    few = (F.col("least") == 0) | (F.size("classes") < F.col("least")) | (F.size("only") > 0)
+    broken = said.join(F.broadcast(rules), "claim").where(alone & few)
+    stray = timeline.where(F.coalesce("tool_call_id", F.lit("")) == "").select(*keys, F.lit("uncited_event").alias("check"), F.col(event_id).cast("string").alias("offender"), F.lit(None).cast("string").alias("confidence"), F.array().cast("array<string>").alias("classes"))
+    return broken.select(*keys, "check", "offender", "confidence", "classes").unionByName(stray)
+
+
+def report_status(offences: DataFrame, cases: DataFrame, rules: DataFrame, keys=("case_id",)) -> DataFrame:
+    """PASS or FAIL and the number of offences for every case and rule."""
+    counts = offences.groupBy(*keys, "check").agg(F.count("*").alias("offending"))
+    names = rules.select("check").unionByName(rules.sparkSession.createDataFrame([("uncited_event",)], "check string"))
+    # A fixed list of rules beside each case.
+    every = cases.select(*keys).distinct().withColumn("check", F.explode(F.array(*[F.lit(r[0]) for r in names.collect()])))
+    out = every.join(counts, [*keys, "check"], "left").na.fill(0, ["offending"])
+    return out.withColumn("status", F.when(F.col("offending") == 0, "PASS").otherwise("FAIL"))
+
+
 def ground(techniques: DataFrame) -> DataFrame:
     """Status of claimed techniques after the knowledge-base join."""
     found = F.col("found")

@@ -58,7 +58,7 @@ def dense_index(df: DataFrame, keys, order, bucket: Column, name: str, start: in
 
 
 def asof_before(left: DataFrame, right: DataFrame, keys, us: str, values, bucket_us: int = DAY_US, prefix: str = "r_") -> DataFrame:
-    """Latest right row strictly earlier than each left row, per key; equal times do not match."""
+    """Latest right row strictly earlier than each left row, per key; equal times do not match. A null key is a key like any other."""
     payload = F.struct(*[F.col(v) for v in values])
     left_side = left.select(*keys, us, F.lit(0).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(payload).schema[0].dataType).alias("__r"))
     right_side = right.select(*keys, us, F.lit(1).alias("__side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__l"), payload.alias("__r"))
@@ -66,12 +66,8 @@ def asof_before(left: DataFrame, right: DataFrame, keys, us: str, values, bucket
     # Left rows sort ahead of right rows at the same time, so equality never matches.
     inside = Window.partitionBy(*keys, "__b").orderBy(us, "__side").rowsBetween(Window.unboundedPreceding, -1)
     edges = both.groupBy(*keys, "__b").agg(F.max_by("__r", F.when(F.col("__side") == 1, F.struct(F.col(us), F.col("__r")))).alias("__last"))
-    found = (
-        both.withColumn("__in", F.last("__r", ignorenulls=True).over(inside))
-        .where("__side = 0")
-        .join(_carried(edges, keys, "__b", "__last", "__carry"), [*keys, "__b"], "left")
-        .withColumn("__hit", F.coalesce("__in", "__carry"))
-    )
+    rows = both.withColumn("__in", F.last("__r", ignorenulls=True).over(inside)).where("__side = 0")
+    found = null_safe_join(rows, _carried(edges, keys, "__b", "__last", "__carry"), [*keys, "__b"], "left").withColumn("__hit", F.coalesce("__in", "__carry"))
     return found.select("__l.*", *[F.col("__hit")[v].alias(prefix + v) for v in values])
 
 
@@ -106,8 +102,6 @@ def islands(cells: DataFrame, position: str, lo: str, hi: str, gap: int, block:
     rows = fresh.withColumn("__b", blocked)
     inside = Window.partitionBy("__b").orderBy(position)
     edges = rows.groupBy("__b").agg(F.max("__new").alias("__last"))
-    return (
-        rows.withColumn("__in", F.last("__new", ignorenulls=True).over(inside))
-        .join(_carried(edges, [], "__b", "__last", "__carry"), "__b", "left")
-        .select(*cells.columns, F.coalesce("__in", "__carry").alias("island_start"))
-    )
+    placed = rows.withColumn("__in", F.last("__new", ignorenulls=True).over(inside))
+    carried = null_safe_join(placed, _carried(edges, [], "__b", "__last", "__carry"), ["__b"], "left")
+    return carried.select(*cells.columns, F.coalesce("__in", "__carry").alias("island_start"))

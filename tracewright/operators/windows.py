@@ -28,10 +28,28 @@ def temporal_clusters(events: DataFrame, us: str = "us", host: str = "host", gap
     return clusters_from_cells(cut_lineage(per_host), gap_us, min_hosts)
 
 
+def cluster_events(events: DataFrame, us: str = "us", host: str = "host", gap_us: int = 60_000_000, min_hosts: int = 2) -> DataFrame:
+    """Every event of a cluster, all its columns, with the cluster's first and last moment.
+
+    An event meets its cluster by its cell: a cell lies in one chain whole, so the join is an equal one and copies no row.
+    """
+    dated = events.where(F.col(us).isNotNull()).withColumn("cell", slot(us, gap_us))
+    per_host = cut_lineage(dated.groupBy("cell", F.col(host).alias("host")).agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")))
+    cells = per_host.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    chained = cut_lineage(islands(cells, "cell", "lo", "hi", gap_us, max(1, 7 * DAY_US // gap_us)).select("cell", "island_start"))
+    spans = clusters_from_chains(per_host, chained, min_hosts).select("island_start", F.col("first_us").alias("cluster_first_us"), F.col("last_us").alias("cluster_last_us"))
+    return dated.join(chained.join(spans, "island_start"), "cell").drop("cell", "island_start")
+
+
 def clusters_from_cells(per_host: DataFrame, gap_us: int = 60_000_000, min_hosts: int = 2) -> DataFrame:
     """Clusters from (cell, host, lo, hi, n) rows, as the batch job or the stream leaves them."""
     cells = per_host.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     chained = islands(cells, "cell", "lo", "hi", gap_us, max(1, 7 * DAY_US // gap_us)).select("cell", "island_start")
+    return clusters_from_chains(per_host, chained, min_hosts).drop("island_start")
+
+
+def clusters_from_chains(per_host: DataFrame, chained: DataFrame, min_hosts: int) -> DataFrame:
+    """Chains that touch enough hosts, one row each."""
     per_chain_host = per_host.join(chained, "cell").groupBy("island_start", "host").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")
     )
@@ -39,7 +57,7 @@ def clusters_from_cells(per_host: DataFrame, gap_us: int = 60_000_000, min_hosts
         per_chain_host.groupBy("island_start")
         .agg(F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), F.count(F.lit(1)).alias("host_count"), F.sum("n").alias("events"))
         .where(F.col("host_count") >= min_hosts)
-        .select("first_us", "last_us", (F.col("last_us") - F.col("first_us")).alias("duration_us"), "host_count", "events")
+        .select("island_start", "first_us", "last_us", (F.col("last_us") - F.col("first_us")).alias("duration_us"), "host_count", "events")
     )
 
 

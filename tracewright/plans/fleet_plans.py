@@ -339,3 +339,14 @@ def _(src):
     name = F.when(e == 0, "Chrome.exe").when(e == 1, "KeePass.exe").when(e == 2, "mspaint.exe").otherwise(F.col("image_name"))
     rows = src.ps.withColumn("image_name", name)
     return notable_applications(rows.where("origin <> 'view'"), rows.where("origin <> 'signup'"))
+
+
+@query(
+    "cluster_events",
+    CLUSTERS + """, kept AS (SELECT chain, min(us) AS first_us, max(us) AS last_us FROM chained GROUP BY chain HAVING count(DISTINCT host) >= 2),
+       named AS (SELECT event_id, sum(fresh) OVER (ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS chain FROM ordered)
+       SELECT p.event_id, p.host, p.image_name, p.pid, p.us, k.first_us AS cluster_first_us, k.last_us AS cluster_last_us FROM ps p JOIN named n ON p.event_id = n.event_id JOIN kept k ON n.chain = k.chain""",
+    uses=("ps",),
+)
+def _(src):
+    return windows.cluster_events(src.ps).select("event_id", "host", "image_name", "pid", "us", "cluster_first_us", "cluster_last_us")

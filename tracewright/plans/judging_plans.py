@@ -236,6 +236,52 @@ def _(src):
     return judging.report_qa(rows, src.timeline)
 
 
+# Planted: a third of the findings has one class, memory, network or pattern matches alone, at every tier.
+_PLANTED = _CLASSED + """, pl AS (SELECT *, CASE seq % 9 WHEN 0 THEN ['memory'] WHEN 3 THEN ['network'] WHEN 6 THEN ['yara'] ELSE classes END AS kinds,
+         CASE WHEN seq % 6 = 3 THEN concat('data was exfiltrated, ', description) ELSE description END AS said FROM classed),
+       t AS (SELECT *, regexp_matches(said, '(?i)\\bexecut(?:ed|ion|ing)\\b|\\bran\\b|\\brun count\\b|\\bprocess creation\\b|\\binvok(?:ed|ation|ing)\\b|\\blaunch(?:ed|ing)\\b|\\bspawn(?:ed|ing)\\b|\\bstarted\\b') AS x,
+         seq % 6 = 3 AND NOT (list_has_any(kinds, ['mft', 'registry', 'usnjrnl', 'prefetch', 'memory']) AND list_has_any(kinds, ['network'])) AS ex FROM pl),
+       o AS (SELECT case_id, finding_id, confidence, unnest(list_filter([
+           CASE WHEN x AND len(kinds) < 2 THEN 'execution_requires_two_classes' END, CASE WHEN x AND kinds = ['yara'] THEN 'pattern_only_execution' END,
+           CASE WHEN x AND kinds = ['memory'] THEN 'memory_only_execution' END, CASE WHEN x AND kinds = ['evtx'] THEN 'log_only_execution' END,
+           CASE WHEN x AND kinds = ['network'] THEN 'network_only_execution' END, CASE WHEN ex AND kinds = ['network'] THEN 'network_only_exfiltration' END,
+           CASE WHEN ex THEN 'exfiltration_requires_two_prongs' END, CASE WHEN own_call IS NULL OR tool_call_id = '' THEN 'uncited_finding' END,
+           CASE WHEN confidence = 'HYPOTHESIS' AND NOT starts_with(lower(said), 'hypothesis:') THEN 'unmarked_hypothesis' END], lambda c: c IS NOT NULL)) AS "check" FROM t
+         UNION ALL SELECT case_id, CAST(event_id AS VARCHAR), NULL, 'uncited_event' FROM timeline WHERE event_id % 50 = 0)"""
+
+
+def _planted(src):
+    m, said = F.col("seq") % 9, F.col("description")
+    one = lambda c: F.array(F.lit(c))
+    kinds = F.when(m == 0, one("memory")).when(m == 3, one("network")).when(m == 6, one("yara")).otherwise(F.col("classes"))
+    return _classed(src).withColumns({"classes": kinds, "description": F.when(F.col("seq") % 6 == 3, F.concat(F.lit("data was exfiltrated, "), said)).otherwise(said)})
+
+
+def _loose_events(src):
+    """A timeline of which one row in fifty cites no call."""
+    return src.timeline.withColumn("tool_call_id", F.when(F.col("event_id") % 50 == 0, "").otherwise(F.col("tool_call_id")))
+
+
+@query("report_offences", _PLANTED + """ SELECT case_id, "check", finding_id AS offender, confidence FROM o""", uses=("findings", "calls", "timeline"))
+def _(src):
+    rows = judging.report_offences(_planted(src), _loose_events(src))
+    return rows.select("case_id", "check", "offender", "confidence")
+
+
+@query(
+    "report_checks_by_rule",
+    _PLANTED + """, n AS (SELECT unnest(['execution_requires_two_classes', 'pattern_only_execution', 'memory_only_execution', 'log_only_execution', 'network_only_execution', 'network_only_exfiltration', 'exfiltration_requires_two_prongs', 'uncited_finding', 'unmarked_hypothesis', 'uncited_event']) AS "check"),
+       c AS (SELECT case_id FROM classed UNION SELECT case_id FROM timeline), k AS (SELECT case_id, "check", count(*) AS offending FROM o GROUP BY 1, 2)
+       SELECT c.case_id, n."check", coalesce(k.offending, 0) AS offending, CASE WHEN coalesce(k.offending, 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c CROSS JOIN n LEFT JOIN k ON k.case_id = c.case_id AND (k."check") = n."check" """,
+    uses=("findings", "calls", "timeline"),
+)
+def _(src):
+    rows = _planted(src)
+    offences = judging.report_offences(rows, _loose_events(src))
+    cases = rows.select("case_id").unionByName(src.timeline.select("case_id"))
+    return judging.report_status(offences, cases, judging.report_rules(src.spark))
+
+
 @query(
     "coverage_manifest",
     """, inv AS (SELECT concat('case-', CAST(c_custkey % 40 AS STRING)) AS case_id, CASE c_nationkey % 8 WHEN 0 THEN 'evtx' WHEN 1 THEN 'mft' WHEN 2 THEN 'usnjrnl' WHEN 3 THEN 'unknown' WHEN 4 THEN 'browser_db' ELSE 'memory' END AS artifact_class FROM customer),

@@ -1,7 +1,7 @@
 """Readers: decoded evidence files to typed tables.
 
-Everything is read by Spark in splits; line-oriented formats are never loaded whole. Formats whose meaning
-depends on a header inside the file find it with a join on the file name, not by reading in order.
+Everything is read by Spark in splits; line-oriented formats are never loaded whole. Where a line's meaning depends on
+the latest header before it in the file, headers are carried over split borders and lines meet them by place.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import json
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import times
@@ -38,6 +38,31 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their place: file, first byte of the split they are read in, and a number that grows along the split."""
+    meta = F.col("_metadata")
+    return spark.read.text(path).select(F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"))
+
+
+def _under_headers(lines: DataFrame, header: Column) -> DataFrame:
+    """Lines that are no headers, with `head`, the latest header line before each in its file (null: none), in this or an earlier split.
+
+    One pass finds the headers, and which splits there are: a row per header and split. Per file these are put in order, a
+    header that repeats the one before is left out, and each split begins with the header that is in force at its start. Lines then
+    meet the headers of their split alone, each exactly one, by their place.
+    """
+    is_head = F.coalesce(header, F.lit(False))
+    marks = lines.groupBy("file", "split", F.when(is_head, F.col("at")).alias("from_at")).agg(F.max(F.when(is_head, F.col("line"))).alias("head"))
+    along = Window.partitionBy("file").orderBy("split", F.col("from_at").asc_nulls_first())
+    marks = marks.withColumn("head", F.last("head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("file", "split").orderBy(F.col("from_at").asc_nulls_first())
+    changes = marks.withColumn("_same", F.lag("head").over(inside).eqNullSafe(F.col("head")) & F.col("from_at").isNotNull()).where("NOT _same")
+    changes = changes.withColumns({"until_at": F.lead("from_at").over(inside), "from_at": F.coalesce("from_at", F.lit(-1))})
+    spans = changes.select(F.col("file").alias("_file"), F.col("split").alias("_split"), "from_at", "until_at", "head")
+    here = (F.col("file") == F.col("_file")) & (F.col("split") == F.col("_split")) & (F.col("at") >= F.col("from_at")) & (F.col("until_at").isNull() | (F.col("at") < F.col("until_at")))
+    return lines.where(~is_head).join(spans, here, "left").select("file", "line", "head")
+
+
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """Event records as JSON lines; the event id may be a number, text or an object with '#text'."""
     v = F.try_parse_json("line")
@@ -103,11 +128,10 @@ def read_vpc_flow(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zeek(spark: SparkSession, path: str) -> DataFrame:
-    """TSV logs named by their own '#fields' line, as a string map per row; short rows are parse errors."""
-    rows = _lines(spark, path)
-    heads = rows.where(F.col("line").startswith("#fields")).groupBy("file").agg(F.min("line").alias("head"))
-    named = heads.select("file", F.filter(F.split(F.substr("head", F.lit(8)), "\t"), lambda f: f != "").alias("fields"))
-    data = rows.where(~F.col("line").startswith("#") & (F.trim("line") != "")).join(named, "file", "left").withColumn("vals", F.split("line", "\t"))
+    """TSV logs as a string map per row, named by the latest '#fields' line before it; short rows are parse errors."""
+    rows = _under_headers(_placed_lines(spark, path), F.col("line").startswith("#fields"))
+    fields = F.filter(F.split(F.substr("head", F.lit(8)), "\t"), lambda f: f != "")
+    data = rows.where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumns({"fields": fields, "vals": F.split("line", "\t")})
     ok = F.col("fields").isNotNull() & (F.size("vals") >= F.size("fields"))
     name = F.lower(F.substring_index("file", "/", -1))
     return data.select(
@@ -127,16 +151,12 @@ def read_access_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_w3c_log(spark: SparkSession, path: str) -> DataFrame:
-    """W3C extended logs; the '#Fields:' line of a file names its values.
-
-    A file that changes its field list midway is matched by the number of values, which is what tells the lists apart.
-    """
-    rows = _lines(spark, path)
-    heads = rows.where(F.col("line").startswith("#Fields:")).select("file", F.split(F.lower(F.trim(F.substr("line", F.lit(9)))), r"\s+").alias("fields")).distinct()
-    heads = heads.withColumn("n", F.size("fields")).dropDuplicates(["file", "n"])
-    data = rows.where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumn("vals", F.split(F.trim("line"), r"\s+")).withColumn("n", F.size("vals"))
+    """W3C extended logs; the latest '#Fields:' line before a line names its values. A wrong number of values is a parse error."""
+    rows = _under_headers(_placed_lines(spark, path), F.col("line").startswith("#Fields:"))
+    fields = F.split(F.lower(F.trim(F.substr("head", F.lit(9)))), r"\s+")
+    data = rows.where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumns({"fields": fields, "vals": F.split(F.trim("line"), r"\s+")})
     row = F.map_from_arrays("fields", "vals")
-    joined = data.join(heads, ["file", "n"], "left").withColumn("row", F.when(F.col("fields").isNotNull(), row))
+    joined = data.withColumn("row", F.when(F.size("fields") == F.size("vals"), row))
     get = lambda k: F.nullif(F.col("row")[k], F.lit("-"))
     target = F.when(get("cs-uri-query").isNotNull(), F.concat(get("cs-uri-stem"), F.lit("?"), get("cs-uri-query"))).otherwise(get("cs-uri-stem"))
     return joined.select(
