@@ -28,50 +28,36 @@ def outcome_consistent(run: Column, key: Column) -> Column:
     )
 
 
-def layered_matching(options: dict[str, list[str]]) -> dict[str, str]:
-    """Finding of each placed item, as many as possible: shortest augmenting paths layer by layer, without recursion."""
-    placed: dict[str, str] = {}
+def largest_matching(options: dict[str, list[str]]) -> dict[str, str]:
+    """Item of each taken finding, as many as possible, earlier items and findings first.
+
+    Items are placed one after another along augmenting paths. A path is kept on a stack of its own, so its length has no limit. Which
+    findings are taken depends on this order, and scores count those left over: an algorithm by layers would place as many, but others.
+    """
     taken: dict[str, str] = {}
-    while True:
-        # Layers of items, from the free ones over findings to the items that hold them.
-        depth, layer, open_end = {e: 0 for e in options if e not in placed}, [e for e in options if e not in placed], False
-        while layer and not open_end:
-            following = []
-            for item in layer:
-                for finding in options[item]:
-                    holder = taken.get(finding)
-                    if holder is None:
-                        open_end = True
-                    elif holder not in depth:
-                        depth[holder] = depth[item] + 1
-                        following.append(holder)
-            layer = following
-        if not open_end:
-            return placed
-        left = {e: iter(options[e]) for e in depth}
-        for free in [e for e in options if e not in placed]:
-            path: list[tuple[str, str]] = []
-            item = free
-            while item is not None:
-                finding = next(left[item], None)
-                if finding is None:
-                    item = path.pop()[0] if path else None
-                    continue
-                holder = taken.get(finding)
-                if holder is None:
-                    for e, f in [*path, (item, finding)]:
-                        placed[e], taken[f] = f, e
-                    break
-                if depth.get(holder) == depth[item] + 1:
-                    path.append((item, finding))
-                    item = holder
+    for first in options:
+        tried: set[str] = set()
+        # Each level: an item, its options that are left, and the finding it stands to take.
+        path: list[list] = [[first, iter(options[first]), None]]
+        while path:
+            finding = next((f for f in path[-1][1] if f not in tried), None)
+            if finding is None:
+                path.pop()
+                continue
+            tried.add(finding)
+            path[-1][2] = finding
+            if finding not in taken:
+                taken.update({f: item for item, _, f in path})
+                break
+            path.append([taken[finding], iter(options[taken[finding]]), None])
+    return taken
 
 
 def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
     """Maximum one-to-one assignment of one case's reduced edge list, earlier items and findings first."""
     options = {e: list(g.sort_values("finding_order")["finding_id"]) for e, g in pdf.sort_values("expected_order").groupby("expected_id", sort=False)}
     case = pdf["case_id"].iloc[0]
-    return pd.DataFrame([(case, e, f) for e, f in layered_matching(options).items()], columns=["case_id", "expected_id", "finding_id"])
+    return pd.DataFrame([(case, e, f) for f, e in largest_matching(options).items()], columns=["case_id", "expected_id", "finding_id"])
 
 
 def match_expected(edges: DataFrame, expected: DataFrame) -> DataFrame:
