@@ -242,6 +242,48 @@ def test_licenses_across_cuts_and_with_altered_words(spark):
     assert rows[4, "mit-notice"]["coverage"] == 0.8 and docs[7][1][rows[7, "cc-by-4.0-notice"]["start"] :] == "Licensed under CC BY 4.0."
 
 
+def every_alignment(text, template, coverage=0.8):
+    """Brute force: does any place of the text hold `coverage` of the template within the band?"""
+    body, mine = (next(licenses.text_words([t]))[0] for t in (template, text))
+    need, band = int(np.ceil(coverage * len(body) - 1e-9)), 4 + len(body) // 8
+    padded = np.concatenate((np.zeros(len(body) + band, licenses.U), mine))
+    return any(licenses.align(body, padded[i : i + len(body) + 2 * band], band)[0] >= need for i in range(len(padded)))
+
+
+def test_winnowed_fingerprints_pick_every_altered_notice(spark):
+    rng, texts, truth = random.Random(11), [], set()
+    for name, template in licenses.TEMPLATES:
+        plain = template.replace("-", " ").replace(".", " ").split()
+        n = len(next(licenses.text_words([template]))[0])
+        for _ in range(25):
+            notice = list(plain)
+            need = int(np.ceil(0.8 * n - 1e-9))
+            for at in sorted(rng.sample(range(len(notice)), rng.randint(0, n - need)), reverse=True):
+                notice[at : at + 1] = rng.choice(([], ["altered"]))
+            for _ in range(rng.randint(0, -(-n // 10))):
+                notice.insert(rng.randint(1, len(notice)), "added")
+            texts.append(" ".join(["salt of the"] * 3 + notice + ["stone"] * 9))
+            truth |= {(len(texts) - 1, name)} if every_alignment(texts[-1], template) else set()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = {(r["doc_id"], licenses.TEMPLATES[r["doc_id"] // 25][0]) for r in licenses.scan(docs).collect()}
+    assert len(truth) > 200 and truth <= found
+    alone = {t: {r["doc_id"] for r in licenses.scan(docs, [(t, b)]).collect()} for t, b in licenses.TEMPLATES[3:5]}
+    assert all({d for d, name in truth if name == t} <= rows for t, rows in alone.items())
+
+
+def test_windows_share_a_fingerprint_with_any_stretch_of_their_length():
+    rng = np.random.default_rng(3)
+    assert [licenses.setting(n, need) for n, need in ((5, 4), (40, 32), (100, 80), (100, 95), (10, 5))] == [(2, 1), (2, 2), (2, 2), (4, 3), (1, 1)]
+    for gram, window in ((1, 1), (2, 1), (2, 2), (3, 2), (4, 3)):
+        body, other = (rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (30, 40))
+        run = gram + window - 1
+        for start in range(30 - run + 1):
+            text = np.concatenate((other[:7], body[start : start + run], other[7:]))
+            owner = np.repeat([0, 1, 2], [6, run + 9, 25])
+            marks = [set(licenses.fingerprints(w, (w % np.uint64(7)).astype(np.int64), o, gram, window)[0].tolist()) for w, o in ((body, np.zeros(30)), (text, owner))]
+            assert marks[0] & marks[1]
+
+
 def auc(rows, label):
     good, bad = ([r["score"] for r in rows if r[label] == v] for v in (1, 0))
     return np.mean([g > b for g in good for b in bad])

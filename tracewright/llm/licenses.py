@@ -1,15 +1,18 @@
-"""License scan: rare words of templates pick candidates, banded alignment measures them.
+"""License scan: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment measures them.
 
-Texts are reduced to words of lower-case letters and digits, joined over a whole text however long it is. A match holds
-at least `coverage` of a template's n words, so it misses at most n - ceil(coverage * n) of them and holds at least one of
-any n - ceil(coverage * n) + 1. That many places of each template, those of its rarest words, are its anchors. Around each
-anchor found in a text the template's words are aligned with the text's words in a band, with gaps, and reported with
-their coverage and span. So no match within the band of one of its words is passed over, whatever was altered.
+Texts are reduced to words of lower-case letters and digits, joined over a whole text however long it is. Fingerprints are
+the smallest hashes of `window` consecutive runs of `gram` words, so a stretch of gram + window - 1 words that a template
+and a text share has one in common. Around each shared fingerprint the template's words are aligned with the text's words
+in a band, with gaps, and reported with their coverage and span.
+
+A match holds `need` = ceil(coverage * n) of a template's n words. `breaks` places at which words are missing, replaced or
+added leave a stretch of at least ceil(need / (breaks + 1)) words whole. Gram and window are set for each template so that
+this is gram + window - 1 with n - need missing words, the most there can be, and one added word in ten besides. So no
+match with that many breaks is passed over; one with more is found if any stretch of that length is whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import ceil
 
@@ -19,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import by_tasks
-from tracewright.llm.words import U, letter_words, places, span_hashes
+from tracewright.llm.words import BASE, U, letter_words, mix, places, span_hashes
 
 LEAST_CHARS = 12
 PIECE = 1 << 19
+# Letters a word up to which a run of words counts as one of short words.
+SHORT_CHARS = 3
 TEMPLATE_CHARS = 16_000_000
 
 # Notices and opening paragraphs of well-known licences (fixed values).
@@ -77,16 +82,37 @@ def text_words(texts: Iterable[str], size: int = PIECE) -> Iterator[tuple[np.nda
             held = []
 
 
-def anchors(words: list[np.ndarray], lengths: list[np.ndarray], needs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash, template and place of the anchors, sorted by hash: words that are rare in the templates for their length."""
-    seen = Counter(w for body in words for w in body.tolist())
-    rows = []
-    for t, (body, size, need) in enumerate(zip(words, lengths, needs)):
-        rarity = np.array([seen[w] for w in body.tolist()]) / size
-        rows += [(int(body[i]), t, i) for i in np.argsort(rarity, kind="stable")[: len(body) - need + 1].tolist()]
-    rows.sort()
-    hashes, owner, at = zip(*rows) if rows else ((), (), ())
-    return np.array(hashes, U), np.array(owner, np.int64), np.array(at, np.int64)
+def setting(n: int, need: int) -> tuple[int, int]:
+    """Gram and window for a template of n words of which a match holds `need`."""
+    breaks = n - need + ceil(n / 10)
+    run = ceil(need / (breaks + 1))
+    gram = run // 2 + 1
+    return gram, run - gram + 1
+
+
+def fingerprints(words: np.ndarray, lengths: np.ndarray, owner: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowed hashes of runs of words and the place of their first word: the rightmost smallest of each window.
+
+    Runs of short words, which many texts share, count as the largest, so they are kept only where a window has no other.
+    No run goes over the end of a text; a text of fewer runs than a window keeps its smallest.
+    """
+    n = len(words) - gram + 1
+    if n <= 0:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    hashes, chars = np.zeros(n, U), np.zeros(n, np.int64)
+    for j in range(gram):
+        hashes = hashes * U(BASE) + words[j : j + n]
+        chars += lengths[j : j + n]
+    whole = owner[:n] == owner[gram - 1 :]
+    hashes = mix(hashes) >> U(2) | np.where(chars <= SHORT_CHARS * gram, U(1 << 62), U(0))
+    hashes[~whole] = ~U(0)
+    # Windows may begin before a text and end behind it: what lies outside counts as largest.
+    edge = np.full(window - 1, ~U(0))
+    views = np.lib.stride_tricks.sliding_window_view(np.concatenate((edge, hashes, edge)), window)
+    keep = np.unique(np.arange(len(views)) - views[:, ::-1].argmin(axis=1))
+    keep = keep[(keep >= 0) & (keep < n)]
+    keep = keep[whole[keep]]
+    return hashes[keep], keep
 
 
 def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int, int]:
@@ -128,6 +154,16 @@ def settled(found: list[tuple]) -> list[tuple]:
     return [r for mine in kept.values() for r in sorted(mine, key=lambda r: r[4])]
 
 
+def inverted(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+    """Index from fingerprints to (template, place): its keys, their first entry and count, the entries, and a bit map that rules most hashes out."""
+    rows = sorted(rows)
+    hashes, owners, at = (np.array(c, kind) for c, kind in zip(zip(*rows) if rows else ((), (), ()), (U, np.int64, np.int64)))
+    kinds, first, count = np.unique(hashes, return_index=True, return_counts=True)
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(kinds >> U(40)).astype(np.int64) & 0xFFFFF] = True
+    return kinds, first, count, owners, at, maybe
+
+
 def scanner(templates: list[tuple[str, str]], coverage: float):
     """Task function: (key, template, coverage, matched words, start, end) of each match."""
     names = [n for n, _ in templates]
@@ -135,19 +171,24 @@ def scanner(templates: list[tuple[str, str]], coverage: float):
     words = [hashes_[owner == t] for t in range(len(names))]
     # Less a rounding error, as 0.8 * 5 words are four.
     needs = [max(1, ceil(coverage * len(body) - 1e-9)) for body in words]
-    hashes, owners, at = anchors(words, [(ends - starts)[owner == t] for t in range(len(names))], needs)
-    kinds, first, count = np.unique(hashes, return_index=True, return_counts=True)
-    maybe = np.zeros(1 << 20, bool)
-    maybe[(kinds >> U(44)).astype(np.int64)] = True
+    settings: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for t, body in enumerate(words):
+        mine = setting(len(body), needs[t])
+        hashes, at = fingerprints(body, (ends - starts)[owner == t], np.zeros(len(body)), *mine)
+        settings.setdefault(mine, []).extend(zip(hashes.tolist(), [t] * len(at), at.tolist()))
+    indexes = {size: inverted(rows) for size, rows in settings.items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for mine, number, start, end in text_words(t.as_py() or "" for t in batch.column(1)):
-                some = np.flatnonzero(maybe[(mine >> U(44)).astype(np.int64)])
-                kind = places(kinds, mine[some])
-                some, kind = some[kind >= 0], kind[kind >= 0]
-                tried = {(int(owners[s]), w - int(at[s]), int(number[w])) for w, k in zip(some.tolist(), kind.tolist()) for s in range(first[k], first[k] + count[k])}
+                tried = set()
+                for size, (kinds, first, count, owners, at, maybe) in indexes.items():
+                    marks, spot = fingerprints(mine, end - start, number, *size)
+                    some = np.flatnonzero(maybe[(marks >> U(40)).astype(np.int64) & 0xFFFFF])
+                    kind = places(kinds, marks[some])
+                    some, kind = spot[some[kind >= 0]], kind[kind >= 0]
+                    tried.update((int(owners[s]), w - int(at[s]), int(number[w])) for w, k in zip(some.tolist(), kind.tolist()) for s in range(first[k], first[k] + count[k]))
                 for t, diagonal, doc in sorted(tried):
                     body = words[t]
                     band = 4 + len(body) // 8
