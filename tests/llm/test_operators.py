@@ -357,6 +357,19 @@ def test_archives(spark):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_archives_are_rolled(spark, tmp_path):
+    noise, size = random.Random(8), 1 << 16
+    bodies = {i: noise.randbytes(n).hex() for i, n in enumerate([60, 3000, 200_000, 500, 0] + [700] * 900)}
+    pages = spark.createDataFrame(list(bodies.items()), "page_id long, html string").withColumn("url", F.lit("u")).repartition(1)
+    warc.write_archives(pages, str(tmp_path / "rolled"), file_bytes=size)
+    sizes = [f.stat().st_size for f in (tmp_path / "rolled").glob("part-*")]
+    largest = max(len(b) for b in bodies.values())
+    assert len(sizes) > sum(sizes) / (3 * size) and sum(s > 2 * size for s in sizes) <= 1 and max(sizes) < largest + 2 * size
+    rows = warc.read_archives(spark, str(tmp_path / "rolled")).collect()
+    assert {r["kind"] for r in rows} == {"response"} and len(rows) == len(bodies)
+    assert {int(r["record_id"][len("<urn:x-page:") : -1]): r["payload"].decode() for r in rows} == bodies
+
+
 def test_salvage_of_damaged_archives():
     def plain(key, body):
         return warc.record("response", key, "u", body, hashlib.sha256(body).hexdigest(), len(body), None, "2024-01-01T00:00:00Z")

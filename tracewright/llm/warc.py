@@ -23,6 +23,7 @@ from tracewright.session import shared_folder
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+ROWS_PER_FILE = 64
 NEXT_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,20 +60,36 @@ def with_record_types(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     return out.withColumn("kind", F.when(again, "revisit").otherwise("response")).withColumn("head", F.when(again, F.col("head")))
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Archives of all pages in `folder`, one file per task."""
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 64 << 20) -> None:
+    """Archives of all pages in `folder`, each of about `file_bytes`, or of one larger member and what was before it.
+
+    The sink starts a new file after a number of rows. A row holds members of 1/64 of a file together; a larger member
+    is followed by as many empty rows as make up its size, of which the file has nothing but separators.
+    """
+    share = max(1, file_bytes // ROWS_PER_FILE)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, held = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                members = []
+                rows = []
                 for row in batch.slice(at, 200).to_pylist():
-                    made = record(row["kind"], row["key"], row["url"], row["payload"], row["digest"], row["size"], row["head"], date)
-                    members.append(gzip.compress(made, 3, mtime=0))
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
+                    made = gzip.compress(record(row["kind"], row["key"], row["url"], row["payload"], row["digest"], row["size"], row["head"], date), 3, mtime=0)
+                    if members and held + len(made) > share:
+                        rows.append(b"".join(members))
+                        members, held = [], 0
+                    members.append(made)
+                    held += len(made)
+                    if held > share:
+                        rows += [made] + [b""] * min((held - 1) // share, ROWS_PER_FILE - 1)
+                        members, held = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["member"])
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["member"])
 
     members = by_tasks(with_record_types(pages, least_bytes), work, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(folder)
+    rolled = members.select(F.col("member").cast("string").alias("value")).write.option("maxRecordsPerFile", ROWS_PER_FILE)
+    rolled.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(folder)
 
 
 class Damaged(Exception):
@@ -286,7 +303,7 @@ def page_of(name: Column) -> Column:
 def round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Writes all pages as archives in the shared folder and reads them back: one row per page.
 
-    An empty table gives no rows. The archives stay in the folder of the run, as the rows are read from them.
+    An empty table gives no rows. Archives are rolled at about 64 MB. They stay in the folder of the run, as the rows are read from them.
     """
     folder = f"{shared_folder(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
     write_archives(pages, folder, least_bytes)
