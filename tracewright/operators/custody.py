@@ -86,7 +86,7 @@ def _halve(nodes: Column) -> Column:
 def _blocks(nodes: DataFrame, key, bits: int) -> DataFrame:
     """Aligned runs of 2^bits nodes, each gathered in order; a run never holds more than that."""
     packed = F.transform(F.array_sort(F.collect_list(F.struct("idx", "h"))), lambda n: n["h"])
-    return nodes.groupBy(*key, F.shiftright("idx", bits).alias("block")).agg(packed.alias("nodes"), F.first("n").alias("n"))
+    return nodes.groupBy(*key, F.shiftright("idx", bits).alias("block")).agg(packed.alias("nodes"), F.first("n").alias("n"), F.first("leaf_count").alias("leaf_count"))
 
 
 def _fold(nodes: Column, alone: Column, bits: int) -> Column:
@@ -96,13 +96,13 @@ def _fold(nodes: Column, alone: Column, bits: int) -> Column:
 
 def _level_zero(leaf_rows: DataFrame, key) -> DataFrame:
     sizes = leaf_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    return leaf_rows.select(*key, F.col("leaf_idx").alias("idx"), F.lower("digest_hex").alias("h")).join(sizes, list(key))
+    return leaf_rows.select(*key, F.col("leaf_idx").alias("idx"), F.lower("digest_hex").alias("h")).join(sizes.withColumn("leaf_count", F.col("n")), list(key))
 
 
 def _climbed(blocks: DataFrame, key, bits: int) -> DataFrame:
     """The next round's nodes: one for each block of this one."""
     alone = F.col("n") <= (1 << bits)
-    return blocks.select(*key, F.col("block").alias("idx"), F.get(_fold(F.col("nodes"), alone, bits), F.lit(0)).alias("h"), F.ceil(F.col("n") / (1 << bits)).cast("long").alias("n"))
+    return blocks.select(*key, F.col("block").alias("idx"), F.get(_fold(F.col("nodes"), alone, bits), F.lit(0)).alias("h"), F.ceil(F.col("n") / (1 << bits)).cast("long").alias("n"), "leaf_count")
 
 
 def merkle_root(leaf_rows: DataFrame, keys=("case_id",), bits: int = 12, rounds: int = 3) -> DataFrame:
@@ -113,14 +113,13 @@ def merkle_root(leaf_rows: DataFrame, keys=("case_id",), bits: int = 12, rounds:
     """
     key = list(keys)
     nodes = _level_zero(leaf_rows, key)
-    sizes = leaf_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("leaf_count"))
     while True:
         for _ in range(rounds):
             nodes = _climbed(_blocks(nodes, key, bits), key, bits)
         nodes = cut_lineage(nodes)
         if nodes.where("n > 1").isEmpty():
             break
-    return nodes.select(*key, F.col("h").alias("merkle_root")).join(sizes, key)
+    return nodes.select(*key, F.col("h").alias("merkle_root"), "leaf_count")
 
 
 def inclusion_proofs(leaf_rows: DataFrame, chosen: DataFrame, keys=("case_id",), bits: int = 6) -> DataFrame:
@@ -148,7 +147,7 @@ def inclusion_proofs(leaf_rows: DataFrame, chosen: DataFrame, keys=("case_id",),
     while True:
         blocks = cut_lineage(_blocks(nodes, key, bits))
         start = F.struct(F.col("nodes").alias("level"), (F.col("at") % width).cast("int").alias("i"), F.col("siblings"), F.col("sides"))
-        moved = paths.withColumn("block", F.shiftright("at", bits)).join(blocks, [*key, "block"])
+        moved = paths.withColumn("block", F.shiftright("at", bits)).join(blocks.drop("leaf_count"), [*key, "block"])
         moved = moved.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(bits)), start, climb))
         paths = moved.select(*key, "leaf_idx", "leaf_hash", F.col("block").alias("at"), F.col("s.siblings").alias("siblings"), F.col("s.sides").alias("sides"))
         nodes = _climbed(blocks, key, bits)

@@ -145,3 +145,79 @@ def _(src):
 )
 def _(src):
     return custody.first_breaks(_checked(src).withColumnRenamed("case_id", "file"), keys=("file",)).select("file", "records", "chain_ok")
+
+
+@query(
+    "finding_leaves",
+    _LEAVES + """, t AS (SELECT *, CAST(regexp_extract(case_id, '[0-9]+') AS INTEGER) % 3 = 0 AND seq % 11 = 1 AS bad, seq % 7 = 3 AS nameless FROM lv),
+       tc AS (SELECT case_id, count(*) FILTER (WHERE bad) AS nbad FROM t GROUP BY 1),
+       fl AS (SELECT case_id, kind, record_id, min(leaf_idx) AS leaf_idx, arg_min(bad, leaf_idx) AS bad FROM t WHERE NOT nameless AND record_id <> '' GROUP BY 1, 2, 3),
+       pc AS (SELECT case_id, tool_call_id, count(*) FILTER (WHERE kind = 'tool_call_start') > 0 AS ss, count(*) FILTER (WHERE kind = 'tool_call_output') > 0 AS os FROM audit WHERE tool_call_id <> '' GROUP BY 1, 2),
+       f AS (SELECT case_id, finding_id, tool_call_id, kind = 'finding_approved' AS ap FROM audit WHERE kind IN ('finding_approved', 'verifier_action'))
+       SELECT f.case_id, f.finding_id, c.leaf_idx AS call_leaf_idx, coalesce(NOT c.bad, FALSE) AS call_leaf_ok, coalesce(nbad - CAST(c.bad AS INTEGER) = 0, FALSE) AS call_proof_ok,
+              g.leaf_idx AS finding_leaf_idx, coalesce(NOT g.bad, FALSE) AS finding_leaf_ok, coalesce(nbad - CAST(g.bad AS INTEGER) = 0, FALSE) AS finding_proof_ok,
+              f.tool_call_id <> '' AND coalesce(ss AND os, FALSE) AND ap AND c.leaf_idx IS NOT NULL AND g.leaf_idx IS NOT NULL AS traced_to_leaf
+       FROM f LEFT JOIN tc ON f.case_id = tc.case_id LEFT JOIN pc ON f.case_id = pc.case_id AND f.tool_call_id = pc.tool_call_id
+         LEFT JOIN fl c ON c.kind = 'tool_call_output' AND c.case_id = f.case_id AND c.record_id = f.tool_call_id LEFT JOIN fl g ON g.kind = 'finding' AND g.case_id = f.case_id AND g.record_id = f.finding_id""",
+    uses=("audit",),
+)
+def _(src):
+    audit, leaves = src.audit.withColumn("seq", F.col("record_no")), _leaves(src)
+    # Every third case seals wrong digests; some leaves of all cases name no record.
+    bad = (F.regexp_extract("case_id", "[0-9]+", 0).cast("int") % 3 == 0) & (F.col("seq") % 11 == 1)
+    sealed = leaves.withColumn("digest_hex", F.when(bad, F.sha2("digest_hex", 256)).otherwise(F.col("digest_hex"))).withColumn("record_id", F.when(F.col("seq") % 7 == 3, "").otherwise(F.col("record_id")))
+    roots = custody.merkle_root(leaves).withColumnRenamed("merkle_root", "merkle_root_hex")
+    findings = audit.where("kind IN ('finding_approved', 'verifier_action')").select("case_id", "finding_id", "tool_call_id")
+    flags = [f"{side}_{flag}" for side in ("call", "finding") for flag in ("leaf_idx", "leaf_ok", "proof_ok")]
+    return custody.trace_to_leaves(findings, audit, sealed, roots).select("case_id", "finding_id", *flags, "traced_to_leaf")
+
+
+@query(
+    "sealed_slices",
+    """SELECT case_id, record_no AS seq, finding_id AS subject, 2 AS matched, CASE WHEN value > 120 THEN 'value no longer holds at tier' WHEN record_no % 5 = 0 AND record_no % 7 < 4 THEN 'marked passed but lists failures' END AS slice_reason
+       FROM audit WHERE kind = 'verifier_action'""",
+    uses=("audit",),
+)
+def _(src):
+    tier = F.col("confidence")
+    entry = lambda path, expected, actual, mode: F.struct(F.lit(path).alias("path"), expected.alias("expected"), actual.alias("actual"), F.lit(mode).alias("match"))
+    # Slices of large values were changed after sealing; some say that they passed although they list failures.
+    slice_ = F.struct(
+        F.array(F.to_json(entry("number", F.concat(F.lit("0x"), F.lower(F.hex("record_no"))), F.col("record_no"), "int")), F.to_json(entry("tier", tier, F.when(F.col("value") > 120, "changed").otherwise(tier), "exact"))).alias("matched"),
+        (F.col("record_no") % 7 < 4).alias("passed"),
+    )
+    shown = F.concat(F.lit('{"matched":['), F.array_join(slice_["matched"], ","), F.lit('],"passed":'), slice_["passed"].cast("string"), F.when(F.col("record_no") % 5 == 0, ',"failures":[{"path":"tier"}]}').otherwise(',"failures":[]}'))
+    line = F.concat(F.lit('{"kind":"replay","seq":'), F.col("record_no").cast("string"), F.lit(',"payload":{"finding_id":"'), F.col("finding_id"), F.lit('","replay_artifact":{"entailment":'), shown, F.lit("}}}"))
+    return custody.recheck_slices(src.audit.where("kind = 'verifier_action'").withColumn("line", line))
+
+
+@query(
+    "committed_traces",
+    """WITH e AS (SELECT event_id // 2 AS pair, event_id % 2 AS half, user_id, value FROM events),
+       p AS (SELECT pair, count(*) AS n, max(CASE WHEN half = 1 THEN value END) AS value, min(half) AS start, min(user_id) AS owner FROM e GROUP BY 1)
+       , r AS (SELECT *, CASE WHEN pair % 13 = 0 THEN 'no_summary' WHEN pair % 2 = 0 AND value > 120 AND n = 2 THEN 'prev_hash' WHEN pair % 2 = 0 AND owner % 5 = 0 THEN 'file_digest' WHEN pair % 2 = 0 THEN NULL
+              WHEN start = 1 THEN 'sequence' WHEN n < 2 OR owner % 5 = 0 THEN 'record_count' WHEN value > 150 THEN 'spot_tool' WHEN value > 120 THEN 'spot_digest' END AS reason FROM p)
+       SELECT concat('pair-', pair) AS file, CASE WHEN pair % 2 = 0 THEN 'chained' ELSE 'flat' END AS format, n AS records, CASE reason WHEN 'prev_hash' THEN 1 WHEN 'sequence' THEN 0 END AS break_at, reason, reason IS NULL AS ok FROM r""",
+)
+def _(src):
+    """Two events make an excerpt: even pairs are chained, odd ones flat; large values stand for changes after publication."""
+    rows = src.given("events").select(F.floor(F.col("event_id") / 2).alias("pair"), (F.col("event_id") % 2).alias("half"), "event_id", "event_type", "user_id", "value")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    chained = lambda prev: text('{"kind":"', F.col("event_type"), '","prev_hash":"', prev, '","seq":', F.col("event_id"), "}")
+    digest = F.sha2(F.col("event_type").cast("binary"), 256)
+    flat = text('{"kind":"tool_call_output","output_hash":"', digest, '","seq":', F.col("half"), ',"tool":"', F.col("event_type"), '"}')
+    before = rows.where("half = 0").select("pair", F.sha2(chained(F.lit("")).cast("binary"), 256).alias("prev"))
+    linked = rows.join(before, "pair", "left")
+    prev = F.when(F.col("half") == 0, "").when(F.col("value") > 120, "0").otherwise(F.coalesce("prev", F.lit("")))
+    file = text("pair-", F.col("pair"))
+    lines = linked.select(file.alias("file"), F.col("half").alias("line_no"), F.when(F.col("pair") % 2 == 0, chained(prev)).otherwise(flat).alias("line"))
+    late = F.col("half") == 1
+    said = rows.where("pair % 13 <> 0").groupBy("pair").agg(
+        F.min("user_id").alias("owner"), F.max(F.when(late, F.col("value"))).alias("value"), F.max(F.when(late, F.col("event_type"))).alias("tool"), F.max(F.when(late, digest)).alias("digest")
+    )
+    odd = F.col("owner") % 5 == 0
+    summaries = said.select(
+        file.alias("file"), F.sha2(file, 256).alias("file_sha256"), F.when(odd, "0").otherwise(F.sha2(file, 256)).alias("excerpt_sha256"), F.when(odd, 3).otherwise(2).cast("long").alias("record_count"), F.lit(1).cast("long").alias("tool_output_seq"),
+        F.when(F.col("value") > 150, "other").otherwise(F.col("tool")).alias("tool_name"), F.when(F.col("value") > 120, "0").otherwise(F.col("digest")).alias("tool_output_sha256"), F.lit(None).cast("string").alias("evidence_sha256"),
+    )
+    return custody.committed_traces(lines, summaries)
