@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import broadcast_if_small, cut_lineage
+from tracewright.functions.stems import stemmed
+from tracewright.session import cut_lineage
 
 # Ranking constants and decay span in days.
 K1 = 1.2
@@ -34,24 +35,47 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def recall(memory: DataFrame, queries: DataFrame, now_us: Column, k: int = 10) -> DataFrame:
+def _pairs(words: Column) -> Column:
+    """Each word with the one after it; null at the last word, so places stay those of the words."""
+    return F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w, after: F.concat(w, F.lit(" "), after))
+
+
+def _phrase_starts(doc: DataFrame, ask: DataFrame) -> DataFrame:
+    """(query_id, memory_id, f): how often each phrase occurs, from an index of the places of neighbouring words.
+
+    A phrase of several words is its pairs of neighbours, one of a single word that word. Only places of pairs and words that some phrase
+    has are kept, written once. A phrase starts its search from its pair with the fewest places, counted over all memories; each
+    other pair has to lie at its own distance from there. No text is moved, and places are met at (memory, place), never as one group.
+    """
+    alone = F.size("__q") == 1
+    terms = F.when(alone, F.col("__q")).otherwise(F.filter(_pairs(F.col("__q")), lambda t: t.isNotNull()))
+    asked = ask.select("query_id", F.size(terms).alias("__n"), F.posexplode(terms).alias("off", "t"))
+    vocabulary = asked.select("t").distinct()
+    at = lambda terms: F.transform(terms, lambda t, i: F.struct(i.alias("pos"), t.alias("t")))
+    spread_out = doc.select("memory_id", F.explode(F.concat(at(F.col("__w")), at(_pairs(F.col("__w"))))).alias("x")).select("memory_id", "x.pos", "x.t")
+    places = cut_lineage(spread_out.join(vocabulary, "t", "left_semi"))
+    counted = asked.join(places.groupBy("t").agg(F.count(F.lit(1)).alias("places")), "t")
+    rarest = counted.groupBy("query_id", "__n").agg(F.min(F.struct("places", "off", "t")).alias("a"), F.count(F.lit(1)).alias("known")).where("known = __n")
+    starts = rarest.select("query_id", "__n", F.col("a.t").alias("t"), F.col("a.off").alias("__off")).join(places, "t")
+    starts = starts.select("query_id", "memory_id", "__n", "__off", (F.col("pos") - F.col("__off")).alias("start")).where("start >= 0")
+    others = starts.join(asked.select("query_id", "off", "t"), "query_id").where("off <> __off").select("query_id", "memory_id", "__n", "start", "t", (F.col("start") + F.col("off")).alias("pos"))
+    whole = others.join(places, ["memory_id", "pos", "t"]).groupBy("query_id", "memory_id", "__n", "start").agg(F.count(F.lit(1)).alias("met")).where("met = __n - 1")
+    found = whole.select("query_id", "memory_id", "start").union(starts.where("__n = 1").select("query_id", "memory_id", "start"))
+    return found.groupBy("query_id", "memory_id").agg(F.count(F.lit(1)).cast("double").alias("f"))
+
+
+def recall(memory: DataFrame, queries: DataFrame, now_us: Column, k: int = 10, stems: bool = False) -> DataFrame:
     """The k best memories per query phrase, by BM25 of the phrase, then re-ranked with recency decay.
 
-    Candidates come from an index on the query's longest word; the phrase is then counted in the candidate's text.
+    With `stems`, words are met by their stem. If the queries have a column `kind`, a query with a kind is answered from memories of that kind;
+    how rare its phrase is, is still counted over all. Overlapping occurrences of a phrase count each. Phrases without a word find nothing.
     Relevance is 1 / (1 + score), which falls as the score rises; kept as the rule this reproduces has it.
     """
-    doc = memory.withColumn("__w", _words(F.concat_ws(" ", "kind", "key", "value")))
-    doc = doc.withColumn("__text", F.concat(F.lit(" "), F.array_join("__w", "  "), F.lit(" "))).withColumn("__len", F.size("__w"))
-    ask = queries.withColumn("__q", _words(F.col("phrase"))).where(F.size("__q") > 0)
-    index = doc.select("memory_id", F.explode(F.array_distinct("__w")).alias("w"))
-    # The longest word of a phrase stands for its rarest: any word finds every candidate, a long one finds few others.
-    longest = F.array_sort(F.transform("__q", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))[0]["w"]
-    rarest = ask.select("query_id", longest.alias("w"))
-    phrase = ask.select("query_id", F.concat(F.lit(" "), F.array_join("__q", "  "), F.lit(" ")).alias("__p"))
-    cand = index.join(broadcast_if_small(rarest), "w").select("query_id", "memory_id").join(doc, "memory_id").join(phrase, "query_id")
-    # Words are two blanks apart, so neighbouring hits never share a blank.
-    times = (F.length("__text") - F.length(F.replace("__text", F.col("__p"), F.lit("")))) / F.length("__p")
-    slim = cand.withColumn("f", times).where("f > 0").select("query_id", "memory_id", "us", "f", "__len")
+    words = lambda text: stemmed(_words(text)) if stems else _words(text)
+    doc = memory.select("memory_id", "kind", "us", words(F.concat_ws(" ", "kind", "key", "value")).alias("__w"))
+    ask = queries.withColumn("__q", words(F.col("phrase"))).where(F.size("__q") > 0)
+    doc = doc.withColumn("__len", F.size("__w"))
+    slim = _phrase_starts(doc, ask).join(doc.select("memory_id", "kind", "us", "__len"), "memory_id")
     # Few rows, read twice below: once to count the hits of a phrase, once to score them.
     hits = cut_lineage(slim)
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
@@ -60,6 +84,8 @@ def recall(memory: DataFrame, queries: DataFrame, now_us: Column, k: int = 10) -
     idf = F.greatest(F.log((F.col("n") - F.col("nq") + 0.5) / (F.col("nq") + 0.5)), F.lit(1e-6))
     score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("__len") / F.col("avg")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")
+    if "kind" in queries.columns:
+        rows = rows.join(ask.select("query_id", F.col("kind").alias("__kind")), "query_id").where("__kind IS NULL OR kind = __kind")
     top = rows.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     days = F.greatest(F.lit(0.0), (now_us - F.col("us")) / F.lit(86_400_000_000.0))
     confidence = F.exp(-days / DECAY_DAYS) / (1 + F.col("score"))
