@@ -195,6 +195,30 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.contaminated(docs, items.limit(0)).collect() == []
 
 
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(17)
+    words = ["red", "blue", "green", "teal", "Grey"]
+    made = lambda least, most: " ".join(rng.choice(words) for _ in range(rng.randint(least, most)))
+    texts = {f"d{i}": made(0, 25) for i in range(40)} | {"none": None, "long": "red " * 300}
+    items = {f"i{i}": made(0, 9) for i in range(40)} | {"none": None, "one": "Grey", "two": "teal, blue", "stop": "...", "script": "\u6625\u7720"}
+    texts["script"] = "a \u6625\u7720 b"
+    split = lambda t: (t or "").lower().replace(",", " ").replace(".", " ").split()
+    want = {}
+    for d, i in ((d, i) for d in texts for i in items):
+        a, b = split(texts[d]), split(items[i])
+        if 0 < len(b) < 3:
+            at = [p for p in range(len(a) - len(b) + 1) if a[p : p + len(b)] == b]
+            tiles = [(at[0], 0, len(b))] if at else []
+        else:
+            tiles = decontaminate.tile([(p, q) for p in range(len(a) - 2) for q in range(len(b) - 2) if a[p : p + 3] == b[q : q + 3]], 3)
+        if tiles and sum(t[2] for t in tiles) >= 0.5 * len(b):
+            want[d, i] = sorted(tiles)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(5)
+    rows = decontaminate.contaminated(docs, spark.createDataFrame(list(items.items()), "item_id string, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): [tuple(t) for t in r["tiles"]] for r in rows} == want and len(rows) == len(want) > 100
+    assert {("script", "script"), ("long", "i0")} & set(want) and any(i == "two" for _, i in want)
+
+
 def test_tiles_are_greedy():
     rng = random.Random(3)
     for _ in range(60):

@@ -2,7 +2,7 @@
 
 Every document is rolled through Karp-Rabin hashes of `least` tokens and joined to the items' hashes on them. Along a
 diagonal, consecutive shared hashes are one match; the longest match of free tokens is marked as a tile again and again.
-Tiles may lie in any order, so reordered passages keep their coverage. Items come in blocks of bounded size; each block
+Tiles may lie in any order, so reordered passages keep their coverage. Items too short for a run count as one. Items come in blocks of bounded size; each block
 is one pass over all documents, and nothing of the documents is moved.
 """
 
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewright.llm.common import by_tasks, pieces
 from tracewright.llm.words import U, letter_words, mix, places, span_hashes
@@ -81,63 +82,97 @@ def tile(seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]
     return tiles
 
 
-def tiler(items: list[tuple[int, str]], least: int, threshold: float):
-    """Task function for one block of items: (key, item, coverage, tiles) of each document and item above the threshold."""
+class Runs:
+    """Hashes of the items' runs of `least` tokens: the distinct ones, and the item and place of every occurrence."""
+
+    def __init__(self, words: np.ndarray, owner: np.ndarray, least: int):
+        hashes, at = rolled(words, owner, least)
+        order = np.argsort(hashes, kind="stable")
+        at = at[order]
+        self.kinds, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
+        self.item, self.place = owner[at], at - np.searchsorted(owner, owner[at])
+        # A table of 2^20 bits lets most runs of a document through without a search.
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.kinds >> U(44)).astype(np.int64)] = True
+
+    def shared(self, runs: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Kind and place of those runs of documents that occur in an item."""
+        some = np.flatnonzero(self.maybe[(runs >> U(44)).astype(np.int64)])
+        kind = places(self.kinds, runs[some])
+        return kind[kind >= 0], where[some[kind >= 0]]
+
+    def occurrences(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index into `kinds` and into the items' occurrences, for all occurrences of these kinds."""
+        reps = self.count[kinds]
+        which = np.repeat(np.arange(len(kinds)), reps)
+        return which, np.arange(len(which)) + np.repeat(self.first[kinds] - np.cumsum(reps) + reps, reps)
+
+
+def tiler(items: list[tuple[object, str]], least: int, threshold: float, item_type: pa.DataType = pa.int64()):
+    """Task function for one block of items: (key, item, coverage, tiles) of each document and item above the threshold.
+
+    Per document each shared run is first met with its places in the items alone, which bounds what tiles can cover of an
+    item; only for items that may reach the threshold are places of both sides paired, one item after another. An item of
+    fewer than `least` tokens is one run of its own length.
+    """
     words, owner = tokens([t for _, t in items])
     sizes = np.bincount(owner, minlength=len(items))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    hashes, at = rolled(words, owner, least)
-    order = np.argsort(hashes, kind="stable")
-    hashes, at = hashes[order], at[order]
-    kinds, first, count = np.unique(hashes, return_index=True, return_counts=True)
-    item_of, place_of = owner[at], at - starts[owner[at]]
-    # A table of 2^20 bits lets most runs of a document through without a search.
-    maybe = np.zeros(1 << 20, bool)
-    maybe[(kinds >> U(44)).astype(np.int64)] = True
     names = [k for k, _ in items]
+    long = Runs(words, owner, least)
+    short = {n: Runs(words[sizes[owner] == n], owner[sizes[owner] == n], n) for n in range(1, least) if n in sizes}
     parts = pa.struct([("doc_token", pa.int64()), ("item_token", pa.int64()), ("length", pa.int64())])
 
+    def whole(kind: np.ndarray, where: np.ndarray, n: int) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
+        kinds, at = np.unique(kind, return_index=True)
+        which, seed = short[n].occurrences(kinds)
+        for w, i in zip(which.tolist(), short[n].item[seed].tolist()):
+            yield i, 1.0, [(int(where[at[w]]), 0, n)]
+
+    def tiled(kind: np.ndarray, where: np.ndarray) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
+        turn = np.argsort(kind, kind="stable")
+        kind, where = kind[turn], where[turn]
+        kinds, begin = np.unique(kind, return_index=True)
+        end = np.append(begin[1:], len(kind))
+        which, seed = long.occurrences(kinds)
+        item, q = long.item[seed], long.place[seed]
+        turn = np.lexsort((q, item))
+        which, item, q = which[turn], item[turn], q[turn]
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(item)) + 1, [len(item)]))
+        # Tiles cover at most the item tokens under any shared run.
+        step = np.append(np.minimum(np.diff(q), least), least)
+        step[edge[1:] - 1] = least
+        under = np.add.reduceat(step, edge[:-1])
+        mine = item[edge[:-1]]
+        for g in np.flatnonzero(under >= threshold * sizes[mine]).tolist():
+            i, size = int(mine[g]), int(sizes[mine[g]])
+            seeds = [(p, b) for w, b in zip(which[edge[g] : edge[g + 1]].tolist(), q[edge[g] : edge[g + 1]].tolist()) for p in where[begin[w] : end[w]].tolist()]
+            tiles = tile(seeds, least)
+            share = sum(t[2] for t in tiles) / size
+            if share >= threshold:
+                yield i, share, sorted(tiles)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for lo in range(0, batch.num_rows, 256):
                 texts = [t.as_py() or "" for t in batch.column(1).slice(lo, 256)]
                 mine, of = tokens(texts)
-                runs, where = rolled(mine, of, least)
-                some = np.flatnonzero(maybe[(runs >> U(44)).astype(np.int64)])
-                kind = places(kinds, runs[some])
-                some, kind = some[kind >= 0], kind[kind >= 0]
-                if not len(some):
-                    continue
                 begin = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(texts)))))
-                reps = count[kind]
-                seed = np.repeat(first[kind], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                place = np.repeat(where[some], reps)
-                doc = of[place]
-                item, q = item_of[seed], place_of[seed]
-                pair = doc * len(items) + item
-                turn = np.argsort(pair, kind="stable")
-                edge = np.concatenate(([0], np.flatnonzero(np.diff(pair[turn])) + 1, [len(turn)]))
-                for x, y in zip(edge[:-1], edge[1:]):
-                    mine_now = turn[x:y]
-                    i, d = int(item[mine_now[0]]), int(doc[mine_now[0]])
-                    # Tiles cover at most the item tokens under any shared run.
-                    under = np.zeros(sizes[i] + 1, np.int64)
-                    np.add.at(under, q[mine_now], 1)
-                    np.add.at(under, q[mine_now] + least, -1)
-                    if (np.cumsum(under)[:-1] > 0).sum() < threshold * sizes[i]:
-                        continue
-                    tiles = tile(list(zip((place[mine_now] - begin[d]).tolist(), q[mine_now].tolist())), least)
-                    share = sum(t[2] for t in tiles) / sizes[i]
-                    if share >= threshold:
-                        out.append((lo + d, names[i], share, [dict(zip(("doc_token", "item_token", "length"), t)) for t in sorted(tiles)]))
+                for n, table in [*short.items(), (least, long)]:
+                    kind, where = table.shared(*rolled(mine, of, n))
+                    doc = of[where]
+                    edge = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)])) if len(doc) else [0]
+                    for x, y in zip(edge[:-1], edge[1:]):
+                        d = int(doc[x])
+                        found = tiled(kind[x:y], where[x:y] - begin[d]) if table is long else whole(kind[x:y], where[x:y] - begin[d], n)
+                        out += [(lo + d, names[i], share, [dict(zip(("doc_token", "item_token", "length"), t)) for t in tiles]) for i, share, tiles in found]
             cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(parts))], names=["key", "item", "coverage", "tiles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(parts))], names=["key", "item", "coverage", "tiles"])
 
     return work
 
 
-def blocks(items: DataFrame, item_col: str, text_col: str, size: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def blocks(items: DataFrame, item_col: str, text_col: str, size: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
     """Items in blocks of about `size` characters, read one after another."""
     group, held = [], 0
     for row in items.select(item_col, text_col).filter(F.col(text_col).isNotNull()).toLocalIterator():
@@ -153,14 +188,16 @@ def blocks(items: DataFrame, item_col: str, text_col: str, size: int = BLOCK_CHA
 def contaminated(docs: DataFrame, items: DataFrame, least: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, coverage, tiles, n_tiles, longest) where tiles of a document cover `threshold` of an item's tokens.
 
-    Items of fewer than `least` tokens can't be tiled and match nothing; null texts match nothing. Repeated documents
-    and repeated items give a row each. Empty tables give no rows. Other columns are not read.
+    An item of fewer than `least` tokens is found where all its tokens follow one another, once a document, at the first such
+    place. Items without tokens and null texts match nothing. Repeated documents and repeated items give a row each. Ids of
+    both sides may have any type. Empty tables give no rows. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    schema = f"key {docs.schema[id_col].dataType.simpleString()}, item long, coverage double, tiles array<struct<doc_token:long,item_token:long,length:long>>"
+    kind = items.schema[item_col].dataType
+    schema = f"key {docs.schema[id_col].dataType.simpleString()}, item {kind.simpleString()}, coverage double, tiles array<struct<doc_token:long,item_token:long,length:long>>"
     found = None
     for block in blocks(items, item_col, item_text_col):
-        part = by_tasks(slim, tiler(block, least, threshold), schema)
+        part = by_tasks(slim, tiler(block, least, threshold, to_arrow_type(kind)), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
