@@ -1,7 +1,7 @@
 """Joins between evidence tables, findings and run logs.
 
 Every join has an equality key. Where a rule compares pairs, the pairs are counted from group totals, or found
-through a token index; no operator lists all pairs of a group.
+through a token index. Only `contradiction_partners` lists pairs as they are, for findings that the caller has chosen.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ MATCH_COVERAGE = 0.5
 MATCH_MIN_SHARED = 3
 # Fixed value: two descriptions of one artifact disagree below this overlap.
 DISAGREE_BELOW = 0.30
+# Token sets of one side that meet the other side in one part of a frequent token.
+HOT_SETS = 4096
 
 
 def view_diff(listed: DataFrame, scanned: DataFrame, keys=("host", "pid", "image_name")) -> DataFrame:
@@ -154,28 +156,46 @@ def _signed(findings: DataFrame) -> DataFrame:
     return findings.withColumn("__rank", rank).withColumn("__tech", F.coalesce(F.nullif("mitre_technique", F.lit("")), F.lit(None)))
 
 
-def similar_claims(rows: DataFrame, keys, in_a: Column, in_b: Column, least: float = DISAGREE_BELOW) -> DataFrame:
-    """Pairs of distinct token sets within a key whose overlap is at least `least`; exact, by rare-token prefixes.
+def candidate_claims(sets: DataFrame, keys, least: float, hot: int = HOT_SETS) -> DataFrame:
+    """Pairs (sig_a, sig_b) of token sets within a key that may overlap by `least`, from counts alone; no such pair is missing.
 
-    Rows carry `__sig` (digest of the token set) and `__tokens`. Copies collapse to one set first. Two sets that
-    overlap enough must share one of the rarest tokens of each, so only those are joined.
+    `sets` has a row per distinct token set: `__sig`, `__tokens`, and the sides it is on, `__a` and `__b`. Tokens are put in
+    one order, rarest in the key first, and sets meet on the tokens of their prefixes. A meeting counts only if the sizes
+    allow the overlap and enough tokens follow on both sides. Per pair the meetings are then counted: all common tokens up to
+    the last one are among them, so with the rest that may follow they bound the overlap. A token of more than `hot` sets
+    is cut into parts of about that many sets of one side, each of which meets the other side whole.
     """
-    sets = rows.groupBy(*keys, "__sig").agg(F.first("__tokens").alias("__tokens"), F.bool_or(in_a).alias("__a"), F.bool_or(in_b).alias("__b"))
-    each = sets.withColumn("t", F.explode("__tokens"))
+    slack = 1e-6
+    each = sets.select(*keys, "__sig", "__a", "__b", F.size("__tokens").alias("__n"), F.explode("__tokens").alias("t"))
     counts = each.groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("df"))
     rare = Window.partitionBy(*keys, "__sig").orderBy("df", "t")
-    size = F.size("__tokens")
     placed = each.join(counts, [*keys, "t"]).withColumn("__pos", F.row_number().over(rare))
-    prefix = placed.where(F.col("__pos") <= size - F.ceil(size * F.lit(least)).cast("int") + 1)
-    left = prefix.where("__a").select(*keys, "t", F.col("__sig").alias("sig_a"))
-    right = prefix.where("__b").select(*keys, "t", F.col("__sig").alias("sig_b"))
-    # Candidates combine on the map side before their token sets are fetched and compared.
-    cand = left.join(right, [*keys, "t"]).select(*keys, "sig_a", "sig_b").distinct()
+    prefix = placed.where(F.col("__pos") <= F.col("__n") - F.ceil(F.col("__n") * least - slack).cast("int") + 1)
+    part_count = F.ceil(F.col("df") / hot).cast("int")
+    left = prefix.where("__a").select(*keys, "t", F.pmod(F.xxhash64("__sig"), part_count).cast("int").alias("part"), F.col("__sig").alias("sig_a"), F.col("__n").alias("n_a"), F.col("__pos").alias("pos_a"))
+    right = prefix.where("__b").select(*keys, "t", F.explode(F.sequence(F.lit(0), part_count - 1)).alias("part"), F.col("__sig").alias("sig_b"), F.col("__n").alias("n_b"), F.col("__pos").alias("pos_b"))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - slack)
+    after = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    sized = (F.col("n_a") >= F.col("n_b") * least - slack) & (F.col("n_b") >= F.col("n_a") * least - slack)
+    met = left.join(right, [*keys, "t", "part"]).where(sized & (after + 1 >= need))
+    # Positions of both sides grow together, so the last meeting has the fewest tokens after it.
+    pairs = met.groupBy(*keys, "sig_a", "sig_b").agg(F.count(F.lit(1)).alias("shared"), F.min(after).alias("rest"), F.first(need).alias("need"))
+    return pairs.where("shared + rest >= need").select(*keys, "sig_a", "sig_b")
+
+
+def similar_claims(rows: DataFrame, keys, in_a: Column, in_b: Column, least: float = DISAGREE_BELOW) -> DataFrame:
+    """Pairs of distinct token sets within a key whose overlap is at least `least`; exact.
+
+    Rows carry `__sig` (digest of the token set) and `__tokens`. Copies collapse to one set first; sets are fetched and
+    compared for the candidate pairs only.
+    """
+    sets = rows.groupBy(*keys, "__sig").agg(F.first("__tokens").alias("__tokens"), F.bool_or(in_a).alias("__a"), F.bool_or(in_b).alias("__b"))
+    cand = candidate_claims(sets, keys, least)
     cand = cand.join(sets.select(*keys, F.col("__sig").alias("sig_a"), F.col("__tokens").alias("tokens_a")), [*keys, "sig_a"])
     cand = cand.join(sets.select(*keys, F.col("__sig").alias("sig_b"), F.col("__tokens").alias("tokens_b")), [*keys, "sig_b"])
     near = cand.where(text.jaccard(F.col("tokens_a"), F.col("tokens_b")) >= least).select(*keys, "sig_a", "sig_b")
     # Two empty descriptions agree, but share no token to meet on.
-    blank = sets.where((size == 0) & F.col("__a") & F.col("__b")).select(*keys, F.col("__sig").alias("sig_a"), F.col("__sig").alias("sig_b"))
+    blank = sets.where((F.size("__tokens") == 0) & F.col("__a") & F.col("__b")).select(*keys, F.col("__sig").alias("sig_a"), F.col("__sig").alias("sig_b"))
     return near.unionByName(blank)
 
 
