@@ -53,6 +53,30 @@ def _(src):
     return readers.read_json_container(src.spark, as_lines(src.given("events"), line), lines=True).groupBy("parsed").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query(
+    "read_json_documents",
+    """SELECT event_id, event_type AS kind, user_id AS item FROM events WHERE event_type <> 'error'
+       UNION ALL SELECT event_id, event_type, 1000 FROM events WHERE event_type NOT IN ('error', 'click', 'view')
+       UNION ALL SELECT NULL, NULL, count(*) FROM events WHERE event_type = 'error'""",
+)
+def _(src):
+    # One layout per kind: an array, a wrapper (whose other list is no container), pages of a second key, and broken values between.
+    e = src.given("events")
+    record = lambda item: text_of('{"event_id":', n("event_id"), ',"kind":"', F.col("event_type"), '","item":', item, ',"note":"}] {\\""}')
+    one, two = record(n("user_id")), record(F.lit("1000"))
+    line = (
+        F.when(F.col("event_type") == "error", '{"event_id": none}')
+        .when(F.col("event_type") == "click", text_of("[", one, "]"))
+        .when(F.col("event_type") == "view", one)
+        .otherwise(text_of('{"other":[0],"items":[7],"Records":[', one, ",", two, "]}"))
+    )
+    rows = readers.read_json_documents(src.spark, as_lines(e, line))
+    v = lambda name, kind: F.try_variant_get(F.try_parse_json("raw"), "$." + name, kind)
+    good = rows.where("parsed").select(v("event_id", "long").alias("event_id"), v("kind", "string").alias("kind"), v("item", "long").alias("item"))
+    bad = rows.where("NOT parsed").agg(F.count(F.lit(1)).alias("item")).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("kind"), "item")
+    return good.unionByName(bad)
+
+
 @query("read_m365_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS operation, o_orderpriority AS priority FROM orders")
 def _(src):
     o = src.given("orders")

@@ -7,7 +7,6 @@ the latest header before it in the file, headers are carried over split borders
 from __future__ import annotations
 
 import hashlib
-import json
 
 import pandas as pd
 from pyarrow import fs
@@ -16,9 +15,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import times
 from tracewright.operators.filters import cloud_envelope
+from tracewright.sources.json_values import read_values
 
-# Container keys that hold records, and the order they are tried in.
-CONTAINER_KEYS = ("Records", "value", "items", "events")
 # Names of the first flow-log tokens.
 FLOW_FIELDS = ("version", "account_id", "interface_id", "srcaddr", "dstaddr", "srcport", "dstport", "protocol", "packets", "bytes", "start", "end", "action", "log_status")
 # Alert column spellings.
@@ -88,16 +86,11 @@ def read_json_lines(spark: SparkSession, path: str, name: str = "raw") -> DataFr
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Records of array or wrapper documents, one document per file.
+    """Records of arrays, wrapper objects and values one behind another, told by content; bad ones are rows that are not parsed.
 
-    A document is one JSON value and has to be parsed whole by one task; exports of this kind are bounded by the
-    provider's page size. Line-delimited exports go through read_json_lines, which splits.
+    One record is held at a time. Line-delimited exports go through read_json_lines, which splits.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"))
-    v = F.try_parse_json("doc")
-    wrapped = [F.try_variant_get(v, f"$.{k}", "array<variant>") for k in CONTAINER_KEYS]
-    records = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *wrapped, F.when(v.isNotNull(), F.array(v)))
-    return docs.select("file", F.explode(records).alias("r")).select("file", F.to_json("r").alias("raw"), F.lit(True).alias("parsed"))
+    return read_values(spark, path)
 
 
 def read_json_container(spark: SparkSession, path: str, lines: bool) -> DataFrame:
@@ -171,31 +164,6 @@ def read_eve(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.get_json_object("raw", "$.event_type").alias("event_type"), times.iso_ts(F.get_json_object("raw", "$.timestamp")).alias("ts"), F.get_json_object("raw", "$.src_ip").alias("src_ip"), F.get_json_object("raw", "$.dest_ip").alias("dest_ip"))
 
 
-def _split_objects(batches):
-    decoder = json.JSONDecoder()
-    for pdf in batches:
-        out = []
-        for file, doc in zip(pdf["file"], pdf["doc"]):
-            at = 0
-            while at < len(doc):
-                while at < len(doc) and doc[at] in " \t\r\n,[]":
-                    at += 1
-                if at >= len(doc):
-                    break
-                try:
-                    value, at = decoder.raw_decode(doc, at)
-                except ValueError:
-                    # The rest of the bad line is counted as one failed object; reading goes on with the next line.
-                    out.append((file, None))
-                    following = doc.find("\n", at)
-                    if following < 0:
-                        break
-                    at = following + 1
-                    continue
-                out.append((file, json.dumps(value)))
-        yield pd.DataFrame(out, columns=["file", "raw"])
-
-
 def read_alerts(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Rule alerts from JSON lines, an array, or concatenated objects; spellings are projected, the rest goes to details."""
     from tracewright.operators.filters import project_first
@@ -203,8 +171,7 @@ def read_alerts(spark: SparkSession, path: str, lines: bool = True) -> DataFrame
     if lines:
         rows = read_json_lines(spark, path).where("parsed").select("file", "raw")
     else:
-        docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
-        rows = docs.mapInPandas(_split_objects, "file string, raw string").where("raw IS NOT NULL")
+        rows = read_values(spark, path, keys=()).where("parsed").select("file", "raw")
     out = project_first(rows, "raw", ALERT_KEYS)
     return out.withColumn("event_id", F.col("event_id").try_cast("long")).withColumn("timestamp", times.iso_micros(F.col("timestamp")))
 
