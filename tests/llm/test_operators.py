@@ -468,7 +468,7 @@ def test_pipeline(spark, odd, nothing):
     leaks = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
     clean = {r["doc_id"] for r in corpus_pipeline.without_benchmarks(spark, docs, SMALL).collect()}
     assert leaks and clean == {r["doc_id"] for r in docs.collect()} - leaks
-    assert sorted(registry.QUERIES) == sorted(f"op{n}" + k for n, k in ((1, "_sharding"), (2, "_license_scans"), (3, "_quality_classifier"), (4, "_document_fingerprints"), (5, "_packing"), (6, "_minhash_near_dedup"), (7, "_benchmark_decontamination"), (8, "_toxicity"), (9, "_language_id"), (10, "_warc")))
+    assert sorted(registry.QUERIES) == sorted(f"op{n}" + k for n, k in ((1, "_sharding"), (2, "_license_scans"), (3, "_quality_classifier"), (4, "_document_fingerprints"), (5, "_packing"), (6, "_minhash_near_dedup"), (7, "_benchmark_decontamination"), (8, "_toxicity"), (9, "_language_id"), (10, "_warc"), (11, "_merkle_dataset_manifest"), (12, "_pii"), (13, "_filter_interaction_audit")))
 
 
 def left_of_groups(rows):
