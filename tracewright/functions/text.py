@@ -54,6 +54,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def jaccard_below(a: Column, b: Column, limit: float) -> Column:
+    """jaccard(a, b) < limit for arrays of distinct tokens: sizes that allow no more are told without looking at the tokens."""
+    few, many = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    near = let(F.size(F.array_intersect(a, b)), lambda shared: shared / (few + many - shared) < limit)
+    return F.when(many == 0, F.lit(1.0 < limit)).when(few / many < limit, F.lit(True)).otherwise(near)
+
+
 def coverage(expected: Column, candidate: Column) -> Column:
     """Share of the expected tokens present in the candidate; 0 when either is empty."""
     shared = F.size(F.array_intersect(expected, candidate))
