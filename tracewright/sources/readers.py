@@ -1,7 +1,7 @@
 """Readers: decoded evidence files to typed tables.
 
 Everything is read by Spark in splits; line-oriented formats are never loaded whole. Where a line's meaning depends on
-the latest header before it in the file, headers are carried over split borders and lines meet them by place.
+the latest header before it in the file, headers are carried down each split and over split borders.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import times
 from tracewright.operators.filters import cloud_envelope
+from tracewright.session import broadcast_if_small
 from tracewright.sources.json_values import read_values
 
 # Names of the first flow-log tokens.
@@ -42,23 +43,33 @@ def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"))
 
 
+def _carried_down(batches):
+    """Each line's `head`: its own, or that of the nearest line before it in its split. Lines come split by split and in order."""
+    place, head = None, None
+    for rows in batches:
+        if rows.empty:
+            continue
+        first = (rows["file"].iat[0], rows["split"].iat[0])
+        if first == place and pd.isna(rows["head"].iat[0]):
+            rows["head"] = [head, *rows["head"].iloc[1:]]
+        rows["head"] = rows.groupby(["file", "split"], sort=False)["head"].ffill()
+        place, head = (rows["file"].iat[-1], rows["split"].iat[-1]), rows["head"].iat[-1]
+        yield rows[["file", "split", "line", "head", "is_head"]]
+
+
 def _under_headers(lines: DataFrame, header: Column) -> DataFrame:
     """Lines that are no headers, with `head`, the latest header line before each in its file (null: none), in this or an earlier split.
 
-    One pass finds the headers, and which splits there are: a row per header and split. Per file these are put in order, a
-    header that repeats the one before is left out, and each split begins with the header that is in force at its start. Lines then
-    meet the headers of their split alone, each exactly one, by their place.
+    One pass finds the last header of each split and puts them in order along the file: a row per split. Inside a split every line gets
+    its header on the way, however often headers change; lines before the first one meet the header that an earlier split has left.
     """
-    is_head = F.coalesce(header, F.lit(False))
-    marks = lines.groupBy("file", "split", F.when(is_head, F.col("at")).alias("from_at")).agg(F.max(F.when(is_head, F.col("line"))).alias("head"))
-    along = Window.partitionBy("file").orderBy("split", F.col("from_at").asc_nulls_first())
-    marks = marks.withColumn("head", F.last("head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("file", "split").orderBy(F.col("from_at").asc_nulls_first())
-    changes = marks.withColumn("_same", F.lag("head").over(inside).eqNullSafe(F.col("head")) & F.col("from_at").isNotNull()).where("NOT _same")
-    changes = changes.withColumns({"until_at": F.lead("from_at").over(inside), "from_at": F.coalesce("from_at", F.lit(-1))})
-    spans = changes.select(F.col("file").alias("_file"), F.col("split").alias("_split"), "from_at", "until_at", "head")
-    here = (F.col("file") == F.col("_file")) & (F.col("split") == F.col("_split")) & (F.col("at") >= F.col("from_at")) & (F.col("until_at").isNull() | (F.col("at") < F.col("until_at")))
-    return lines.where(~is_head).join(spans, here, "left").select("file", "line", "head")
+    marked = lines.withColumn("is_head", F.coalesce(header, F.lit(False)))
+    last = marked.groupBy("file", "split").agg(F.max_by("line", F.when(F.col("is_head"), F.col("at"))).alias("head"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    left = last.select("file", "split", F.last("head", ignorenulls=True).over(before).alias("left_head")).where("left_head IS NOT NULL")
+    own = marked.select("file", "split", "line", F.when(F.col("is_head"), F.col("line")).alias("head"), "is_head")
+    placed = own.mapInPandas(_carried_down, "file string, split long, line string, head string, is_head boolean").where("NOT is_head")
+    return placed.join(broadcast_if_small(left), ["file", "split"], "left").select("file", "line", F.coalesce("head", "left_head").alias("head"))
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
