@@ -16,9 +16,10 @@ from tracewright.streaming.timed import END_OF_TIME, write_apart
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table as a file stream, zone-less times read as UTC."""
+    """A given table, one file or a folder of files, as a file stream, zone-less times read as UTC."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # The last letter as a pattern: a pattern may name a single file, and what is in a folder it names belongs to the stream.
+    raw = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
     zoneless = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return raw.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
