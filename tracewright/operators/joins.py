@@ -1,7 +1,7 @@
 """Joins between evidence tables, findings and run logs.
 
 Every join has an equality key. Where a rule compares pairs, the pairs are counted from group totals, or found
-through a token index. Where the pairs are the result (`contradiction_partners` of chosen findings), large
+through a token index. Where the pairs are the result (`contradiction_partners` of chosen findings, `run_entries_in_files`), large
 groups meet in blocks.
 """
 
@@ -69,11 +69,14 @@ def process_parents(created: DataFrame, keys=("host",), us: str = "us") -> DataF
 def run_entries_in_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Run-count entries whose exact path is in the file table of the same host and volume.
 
-    A deleted file counts only if it was last changed after the program's last run.
+    A deleted file counts only if it was last changed after the program's last run. A path of many entries and files, as where few
+    programs run on a host, is met in blocks.
     """
     left = entries.withColumn("volume", F.upper(F.substring("program_path", 1, 1))).withColumn("path_key", slashed(F.substring_index("program_path", ":", -1)))
     right = files.select("host", "volume", F.concat(F.lit("/"), slashed(F.regexp_replace("full_path", "^/+", ""))).alias("path_key"), "is_allocated", "si_modified", "record_number")
-    hit = left.join(right, ["host", "volume", "path_key"])
+    # Of deleted files, those without a time of change count for no run.
+    right = right.where(F.coalesce("is_allocated", F.lit(False)) | F.col("si_modified").isNotNull())
+    hit = blocked_join(left, right, ["host", "volume", "path_key"])
     alive = F.col("is_allocated") | F.coalesce(F.col("si_modified") >= F.col("last_run_us"), F.lit(False))
     return hit.where(alive).drop("path_key")
 
