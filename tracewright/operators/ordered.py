@@ -86,12 +86,20 @@ def first_within(left: DataFrame, right: DataFrame, keys, us: str, values, gap_u
 
 
 def trailing_count(df: DataFrame, keys, us: str, flag: Column, width_us: int, name: str) -> DataFrame:
-    """Flagged rows in [t - width, t] for each row; flagged rows are copied once into the next bucket."""
-    own = slot(us, width_us)
-    rows = df.withColumn("__own", own).withColumn("__flag", F.when(flag, 1).otherwise(0))
-    spread = rows.withColumn("__b", F.explode(F.when(F.col("__flag") == 1, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
-    window = Window.partitionBy(*keys, "__b").orderBy(us).rangeBetween(-width_us, 0)
-    return spread.withColumn(name, F.sum("__flag").over(window)).where("__b = __own").select(*df.columns, name)
+    """Flagged rows in [t - width, t] for each row; a flagged row enters its own bucket, and leaves the next one when it is too old.
+
+    Both are running totals along the bucket, so the work doesn't grow with the number of rows in a window.
+    """
+    rows = df.withColumns({"__own": slot(us, width_us), "__flag": F.when(flag, 1).otherwise(0)})
+    enters = F.struct(F.col("__own").alias("b"), F.col(us).alias("at"), F.col("__flag").alias("in"), F.lit(0).alias("out"))
+    leaves = F.struct((F.col("__own") + 1).alias("b"), (F.col(us) + F.lit(width_us)).alias("at"), F.lit(0).alias("in"), F.lit(1).alias("out"))
+    moved = rows.withColumn("__m", F.explode(F.when(F.col("__flag") == 1, F.array(enters, leaves)).otherwise(F.array(enters))))
+    moved = moved.withColumns({"__b": F.col("__m.b"), "__at": F.col("__m.at")})
+    bucket = Window.partitionBy(*keys, "__b")
+    along = bucket.orderBy("__at")
+    held = F.sum("__m.out").over(bucket) - F.coalesce(F.sum("__m.out").over(along.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = moved.withColumn(name, F.sum("__m.in").over(along.rangeBetween(Window.unboundedPreceding, 0)) + held)
+    return counted.where("__b = __own").select(*df.columns, name)
 
 
 def islands(cells: DataFrame, position: str, lo: str, hi: str, gap: int, block: int) -> DataFrame:
