@@ -13,6 +13,7 @@ from tracewright.operators.topk import first_per_key
 from tracewright.functions import labels
 from tracewright.functions.indicators import extract_iocs, request_indicators, script_indicators
 from tracewright.functions.paths import registrable_domain
+from tracewright.session import spread
 
 # Our choice of thresholds where none is fixed.
 BRUTE_FORCE_MIN = 5
@@ -384,9 +385,9 @@ def grounding_summary(claims: DataFrame) -> DataFrame:
 
 
 def region_iocs(regions: DataFrame, keys=("host", "pid", "vad_start")) -> DataFrame:
-    """Observables in the readable strings of memory samples, always as hypotheses."""
+    """Observables in the readable strings of memory samples, always as hypotheses; a sample is costly to read, so few splits are dealt out."""
     plain = F.decode(F.try_to_binary("sample_hex", F.lit("hex")), "ISO-8859-1")
     strings = F.array_join(F.regexp_extract_all(plain, F.lit("([\\x20-\\x7e]{6,})"), F.lit(1)), "\n")
     found = extract_iocs(strings)
-    each = regions.select(*keys, F.explode(found).alias("kind", "vals")).select(*keys, "kind", F.explode("vals").alias("value"))
+    each = spread(regions).select(*keys, F.explode(found).alias("kind", "vals")).select(*keys, "kind", F.explode("vals").alias("value"))
     return each.withColumn("confidence", F.lit("HYPOTHESIS"))
