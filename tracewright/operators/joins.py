@@ -297,7 +297,7 @@ def contradiction_partners(findings: DataFrame, chosen: DataFrame, keys=("case_i
     """The contradicting pairs of a chosen set of pool-A findings, with the reason; for looking into single findings.
 
     Pairs meet on a call, or else on an artifact, in blocks, and are judged where they meet, so no text is moved per pair. A pair of ids
-    gives one row, by its first rule: only pairs of an id that several findings of a pool share are collected for that.
+    gives one row, by the last rule of them: only pairs of an id that several findings of a pool share are collected for that.
     """
     key = list(keys)
     ids = [*key, "finding_id"]
@@ -332,7 +332,7 @@ def contradiction_partners(findings: DataFrame, chosen: DataFrame, keys=("case_i
     lone_a = a.where("NOT a___several")
     several = met(a.where("a___several"), b).unionByName(met(lone_a, b.where("b___several")))
     order = F.array_position(F.array(F.lit("opposite_tier"), F.lit("other_technique"), F.lit("low_overlap")), F.col("reason"))
-    return met(lone_a, b.where("NOT b___several")).unionByName(several.groupBy(*ids, "partner_id").agg(F.min_by("reason", order).alias("reason")))
+    return met(lone_a, b.where("NOT b___several")).unionByName(several.groupBy(*ids, "partner_id").agg(F.max_by("reason", order).alias("reason")))
 
 
 def eligible(expected: DataFrame, run: DataFrame, keys=("case_id",)) -> DataFrame:
