@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.functions.text import let
+
 # Shapes of high-specificity tokens.
 HASH_SHAPE = r"^[0-9a-fA-F]{32}$|^[0-9a-fA-F]{40}$|^[0-9a-fA-F]{64}$"
 IPV4_SHAPE = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
@@ -78,23 +80,30 @@ def path_steps(path: str) -> tuple | None:
     return tuple(steps)
 
 
-def trie_leaves(parsed, paths: list[str]) -> list[list[dict]]:
-    """Leaves of every path, from one walk over the document: paths with one beginning go down it together."""
-    # A node maps a step to a node; under END are the places of the paths that end there.
-    end = ()
+END = ()
+
+
+@lru_cache(maxsize=256)
+def path_trie(paths: tuple) -> dict:
+    """Paths by their steps, built once for documents that are asked for the same: a node maps a step to a node, END to the places of the paths that end there."""
     trie: dict = {}
-    out: list[list[dict]] = [[] for _ in paths]
     for i, path in enumerate(paths):
         steps, node = path_steps(path), trie
         if steps is not None:
             for step in steps:
                 node = node.setdefault(step, {})
-            node.setdefault(end, []).append(i)
-    stack = [(trie, [parsed])]
+            node.setdefault(END, []).append(i)
+    return trie
+
+
+def trie_leaves(parsed, paths: list[str]) -> list[list[dict]]:
+    """Leaves of every path, from one walk over the document: paths with one beginning go down it together."""
+    out: list[list[dict]] = [[] for _ in paths]
+    stack = [(path_trie(tuple(paths)), [parsed])]
     while stack:
         node, level = stack.pop()
         for step, below in node.items():
-            if step == end:
+            if step == END:
                 found = [_leaf(v) for v in level]
                 for i in below:
                     out[i] = found
@@ -107,18 +116,22 @@ def trie_leaves(parsed, paths: list[str]) -> list[list[dict]]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(LEAF)))
-def json_leaves(docs: pd.Series, paths: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.ArrayType(LEAF)))
+def json_leaves(docs: pa.Array, paths: pa.Array) -> pa.Array:
     """One leaf array per path; the document is parsed and walked once for all of its paths."""
-
-    def one(doc, wanted):
+    kinds, texts, path_ends, doc_ends = [], [], [0], [0]
+    for doc, wanted in zip(docs.to_pylist(), paths.to_pylist()):
         try:
             parsed = json.loads(doc) if doc else {}
         except ValueError:
             parsed = {}
-        return trie_leaves(parsed, list(wanted) if wanted is not None else [])
-
-    return pd.Series([one(d, p) for d, p in zip(docs, paths)])
+        for found in trie_leaves(parsed, wanted or []):
+            kinds.extend(leaf["kind"] for leaf in found)
+            texts.extend(leaf["text"] for leaf in found)
+            path_ends.append(len(kinds))
+        doc_ends.append(len(path_ends) - 1)
+    leaves = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["kind", "text"])
+    return pa.ListArray.from_arrays(pa.array(doc_ends, pa.int32()), pa.ListArray.from_arrays(pa.array(path_ends, pa.int32()), leaves))
 
 
 def to_int(text: Column) -> Column:
@@ -126,17 +139,26 @@ def to_int(text: Column) -> Column:
 
     Decimal numbers have no leading zeros. Beyond 38 decimal or 64 binary digits' worth the result is null.
     """
-    low = F.lower(F.trim(text))
-    shaped = low.rlike(r"^[+-]?(0x(_?[0-9a-f])+|0o(_?[0-7])+|0b(_?[01])+|0(_?0)*|[1-9](_?[0-9])*)$")
-    bare = F.regexp_replace(low, "[+_-]", "")
-    sign = F.when(low.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
-    digits = F.regexp_replace(F.substr(bare, F.lit(3)), "^0+(?=.)", "")
-    based = reduce(
-        lambda out, b: F.when(bare.startswith(b[0]) & (F.length(digits) <= b[2]), F.conv(digits, b[1], 10).try_cast("decimal(20,0)")).otherwise(out),
-        [("0x", 16, 16), ("0o", 8, 21), ("0b", 2, 64)],
-        F.when(bare.rlike("^[0-9]+$"), bare.try_cast("decimal(37,0)")),
-    )
-    return F.when(shaped, (sign * based).cast("decimal(38,0)"))
+    shape = r"^[+-]?(0x(_?[0-9a-f])+|0o(_?[0-7])+|0b(_?[01])+|0(_?0)*|[1-9](_?[0-9])*)$"
+
+    def based(bare: Column) -> Column:
+        def cut(digits: Column) -> Column:
+            return reduce(
+                lambda out, b: F.when(bare.startswith(b[0]) & (F.length(digits) <= b[2]), F.conv(digits, b[1], 10).try_cast("decimal(20,0)")).otherwise(out),
+                [("0x", 16, 16), ("0o", 8, 21), ("0b", 2, 64)],
+                F.lit(None).cast("decimal(20,0)"),
+            )
+
+        marked = let(F.regexp_replace(F.substr(bare, F.lit(3)), "^0+(?=.)", ""), cut)
+        return F.when(bare.rlike("^[0-9]+$"), bare.try_cast("decimal(37,0)")).otherwise(marked)
+
+    def read(low: Column) -> Column:
+        sign = F.when(low.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+        signed = F.when(low.rlike(shape), (sign * let(F.regexp_replace(low, "[+_-]", ""), based)).cast("decimal(38,0)"))
+        # Plain decimals, the most of them, need no more.
+        return F.when(low.rlike("^-?[1-9][0-9]{0,17}$"), low.try_cast("decimal(38,0)")).otherwise(signed)
+
+    return let(F.lower(F.trim(text)), read)
 
 
 def _instant(text: Column) -> Column:
@@ -145,12 +167,11 @@ def _instant(text: Column) -> Column:
 
 
 def _record_holds(expected: Column, record: Column) -> Column:
-    wanted = F.from_json(expected, "map<string,string>")
-    have = F.from_json(record, "map<string,string>")
-    return (F.size(wanted) > 0) & F.forall(
-        F.map_entries(wanted),
-        lambda e: F.coalesce(F.contains(F.lower(have[e["key"]]), F.lower(F.trim(e["value"]))), F.lit(False)),
-    )
+    def held(wanted: Column) -> Column:
+        some = lambda have: F.forall(F.map_entries(wanted), lambda e: F.coalesce(F.contains(F.lower(have[e["key"]]), F.lower(F.trim(e["value"]))), F.lit(False)))
+        return (F.size(wanted) > 0) & let(F.from_json(record, "map<string,string>"), some)
+
+    return let(F.from_json(expected, "map<string,string>"), held)
 
 
 def value_match(expected: Column, leaf: Column, mode: Column) -> Column:

@@ -99,7 +99,9 @@ def _read(findings: DataFrame, outputs: DataFrame, values: Column, keys) -> Data
     """
     call = [*keys, "tool_call_id"]
     asked = findings.select(*call, "finding_id", F.explode(values).alias("v")).withColumn("path", F.col("v.path"))
-    wanted = asked.groupBy(*call, "path").agg(F.lit(1).alias("_")).groupBy(*call).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    # Findings of one call mostly ask for the same paths, so the lists are made distinct before they are joined up.
+    lists = findings.select(*call, F.array_sort(F.array_compact(F.array_distinct(F.transform(values, lambda v: v["path"])))).alias("paths"))
+    wanted = lists.groupBy(*call).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("paths")))).alias("paths"))
     held = wanted.join(outputs.select(*call, "output"), call)
     met = held.withColumn("__leaves", json_leaves(F.col("output"), F.col("paths"))).withColumn("__pair", F.explode(F.arrays_zip("paths", "__leaves")))
     leaves = met.select(*call, F.col("__pair.paths").alias("path"), F.col("__pair.__leaves").alias("leaves"))
@@ -112,8 +114,9 @@ def check_entailment(findings: DataFrame, outputs: DataFrame, keys=("case_id",))
     rows = _read(findings, outputs, F.col("asserted_values"), list(keys))
     v = F.col("v")
     hits = F.size(F.filter("leaves", lambda leaf: value_match(v["expected"], leaf, v["match"])))
-    rows = rows.withColumn("hits", hits).withColumn("hard", anchor_class(v["expected"], v["match"]) == "hard").withColumn("identity", is_identity(v["expected"], v["match"]))
     miss = F.col("hits") == 0
+    # The class of a value counts only where it is missed.
+    rows = rows.withColumn("hits", hits).withColumn("hard", F.when(miss, anchor_class(v["expected"], v["match"]) == "hard")).withColumn("identity", F.when(miss, is_identity(v["expected"], v["match"])))
     return rows.groupBy(*keys, "finding_id").agg(
         F.count(F.lit(1)).alias("asserted"),
         F.count_if(miss).alias("misses"),
