@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tracewright.functions import values
-from tracewright.operators import aggregates, joins, ordered
+from tracewright.operators import aggregates, custody, joins, ordered
 from tracewright.plans import stream_plans
 from tracewright.sources import readers
 
@@ -38,7 +38,7 @@ def test_partners_are_judged_where_they_meet(spark):
     assert not re.search(r"^[ :+-]*Aggregate .*partner_id", plan_of(out), re.M)
     got = sorted(map(tuple, out.collect()))
     assert len(got) == 25 and ("c", "f0", "f1", "opposite_tier") in got
-    # Rows that come twice give a pair once; of several findings of one id the first rule counts.
+    # Rows that come twice give a pair once; of several findings of one id the last rule counts.
     again = spark.createDataFrame([*rows, *rows, ("c", "f0", "A", "", "/p", "CONFIRMED", "T1", "word1 other1")], FINDING)
     assert sorted(map(tuple, joins.contradiction_partners(again, again).collect())) == got
 
@@ -90,3 +90,18 @@ def test_paths_are_read_once_for_many_documents(spark):
     df = spark.createDataFrame([('{"a": [1, null, {"x": "y"}]}', ["a[*]", "a[0]", "z"]), ("{", ["a"]), (None, None)], "doc string, paths array<string>")
     got = [[[tuple(leaf) for leaf in found] for found in r["v"]] for r in df.select(values.json_leaves("doc", "paths").alias("v")).collect()]
     assert got == [[[("int", "1"), ("null", ""), ("object", '{"x": "y"}')], [("int", "1")], []], [[]], []]
+
+
+def test_a_block_is_hashed_once_for_all_its_leaves(spark):
+    leaves = spark.range(300).select(F.lit("c").alias("case_id"), F.col("id").alias("leaf_idx"), F.sha2(F.col("id").cast("string"), 256).alias("digest_hex"))
+    one = leaves.where("leaf_idx = 0").withColumn("case_id", F.lit("d"))
+    all_leaves = leaves.unionByName(one)
+    proofs = custody.inclusion_proofs(all_leaves, all_leaves.select("case_id", "leaf_idx"), bits=3)
+    # The paths only carry what they pick: no hash is made after the leaves have met the levels.
+    plan = plan_of(proofs)
+    assert "sha2" not in plan[: plan.index("Join")] and "steps" in plan
+    rows = custody.check_proofs(proofs).collect()
+    assert len(rows) == 301 and all(r["proof_ok"] for r in rows)
+    roots = {r["case_id"]: r["merkle_root"] for r in custody.merkle_root(all_leaves).collect()}
+    assert {(r["case_id"], r["root"]) for r in rows} == set(roots.items())
+    assert {len(r["siblings"]) for r in rows} == {0, 9}

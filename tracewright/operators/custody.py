@@ -94,6 +94,29 @@ def _fold(nodes: Column, alone: Column, bits: int) -> Column:
     return F.aggregate(steps, nodes, lambda acc, _: F.when(alone & (F.size(acc) == 1), acc).otherwise(_halve(acc)))
 
 
+def _levels(nodes: Column, alone: Column, bits: int) -> Column:
+    """All levels of a block's tree: the nodes, their parents, and so on for `bits` steps, or up to the one node of a tree that is `alone`."""
+    steps = F.sequence(F.lit(1), F.lit(bits))
+
+    def add(acc: Column, _step: Column) -> Column:
+        top = F.element_at(acc, -1)
+        return F.when(alone & (F.size(top) == 1), acc).otherwise(F.array_append(acc, _halve(top)))
+
+    return F.aggregate(steps, F.array(nodes), add)
+
+
+def _steps_up(levels: Column, at: Column) -> Column:
+    """(siblings, sides) from place `at` of the lowest level to the highest; a lone last node is its own sibling."""
+
+    def step(level: Column, number: Column) -> Column:
+        i = F.call_function("shiftright", at, number)
+        right = i % 2 == 1
+        mate = F.coalesce(F.get(level, F.when(right, i - 1).otherwise(i + 1)), F.get(level, i))
+        return F.struct(mate.alias("siblings"), right.alias("sides"))
+
+    return F.transform(F.slice(levels, F.lit(1), F.size(levels) - 1), step)
+
+
 def _level_zero(leaf_rows: DataFrame, key) -> DataFrame:
     sizes = leaf_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     return leaf_rows.select(*key, F.col("leaf_idx").alias("idx"), F.lower("digest_hex").alias("h")).join(sizes.withColumn("leaf_count", F.col("n")), list(key))
@@ -135,21 +158,14 @@ def inclusion_proofs(leaf_rows: DataFrame, chosen: DataFrame, keys=("case_id",),
     paths = paths.withColumns({"at": F.col("leaf_idx"), "siblings": F.array().cast("array<string>"), "sides": F.array().cast("array<boolean>")})
     alone = F.col("n") <= width
 
-    def climb(state: Column, _step: Column) -> Column:
-        level, i = state["level"], state["i"]
-        right = i % 2 == 1
-        mate = F.coalesce(F.get(level, F.when(right, i - 1).otherwise(i + 1)), F.get(level, i))
-        done = alone & (F.size(level) == 1)
-        return F.when(done, state).otherwise(
-            F.struct(_halve(level).alias("level"), F.floor(i / 2).cast("int").alias("i"), F.array_append(state["siblings"], mate).alias("siblings"), F.array_append(state["sides"], right).alias("sides"))
-        )
-
     while True:
         blocks = cut_lineage(_blocks(nodes, key, bits))
-        start = F.struct(F.col("nodes").alias("level"), (F.col("at") % width).cast("int").alias("i"), F.col("siblings"), F.col("sides"))
-        moved = paths.withColumn("block", F.shiftright("at", bits)).join(blocks.drop("leaf_count"), [*key, "block"])
-        moved = moved.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(bits)), start, climb))
-        paths = moved.select(*key, "leaf_idx", "leaf_hash", F.col("block").alias("at"), F.col("s.siblings").alias("siblings"), F.col("s.sides").alias("sides"))
+        # Every node of a block is hashed once; the leaves below only pick their siblings.
+        levels = blocks.select(*key, "block", _levels(F.col("nodes"), alone, bits).alias("levels"))
+        moved = paths.withColumn("block", F.shiftright("at", bits)).join(levels, [*key, "block"])
+        moved = moved.withColumn("steps", _steps_up(F.col("levels"), (F.col("at") % width).cast("int")))
+        joined = [F.concat(c, F.col(f"steps.{c}")).alias(c) for c in ("siblings", "sides")]
+        paths = moved.select(*key, "leaf_idx", "leaf_hash", F.col("block").alias("at"), *joined)
         nodes = _climbed(blocks, key, bits)
         if blocks.where(~alone).isEmpty():
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.hashing import canonical_json
 from tracewright.operators import custody, joins, windows
 from tracewright.plans.catalog import query
+from tracewright.session import cut_lineage
 
 _STATE = """, st AS (SELECT case_id, record_no, line, value, sha256(line) AS line_hash, row_number() OVER (PARTITION BY case_id ORDER BY record_no) - 1 AS position, coalesce(lag(sha256(line)) OVER (PARTITION BY case_id ORDER BY record_no), '') AS expected_prev FROM audit),
   ck AS (SELECT *, CASE WHEN value > 260 THEN 'sequence' WHEN value > 230 THEN 'prev_hash' WHEN value > 200 THEN 'not_canonical' END AS reason FROM st)"""
@@ -162,7 +163,8 @@ def _(src):
     uses=("audit",),
 )
 def _(src):
-    audit, leaves = src.audit.withColumn("seq", F.col("record_no")), _leaves(src)
+    # Sealed leaves, roots and proofs all read the numbered leaves, so these are stored once.
+    audit, leaves = src.audit.withColumn("seq", F.col("record_no")), cut_lineage(_leaves(src))
     # Every third case seals wrong digests; some leaves of all cases name no record.
     bad = (F.regexp_extract("case_id", "[0-9]+", 0).cast("int") % 3 == 0) & (F.col("seq") % 11 == 1)
     sealed = leaves.withColumn("digest_hex", F.when(bad, F.sha2("digest_hex", 256)).otherwise(F.col("digest_hex"))).withColumn("record_id", F.when(F.col("seq") % 7 == 3, "").otherwise(F.col("record_id")))
