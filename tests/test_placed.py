@@ -42,6 +42,22 @@ def test_the_header_in_force_crosses_splits(spark, tmp_path, tiny_splits):
     assert sorted(map(repr, ((r["parsed"], r["client_ip"], r["method"], r["target"]) for r in out.collect()))) == sorted(map(repr, want))
 
 
+@pytest.fixture
+def tiny_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("early", [0, 400])
+def test_w3c_splits_without_headers_come_in_many_batches(spark, tmp_path, tiny_splits, tiny_batches, early):
+    lines = [f"10.0.{i // 250}.{i % 250} GET" for i in range(1200)]
+    (tmp_path / "a.log").write_text("\n".join([*lines[:early], "#Fields: c-ip cs-method", *lines[early:]]) + "\n")
+    got = [(r["parsed"], r["client_ip"], r["method"]) for r in readers.read_w3c_log(spark, str(tmp_path / "a.log")).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(False, None, None)] * early + [(True, *x.split()) for x in lines[early:]]))
+
+
 def test_headers_of_equal_length_in_one_file(spark, tmp_path):
     (tmp_path / "a.log").write_text("#Fields: c-ip cs-method\n1.1.1.1 GET\n#Fields: cs-method c-ip\nPOST 2.2.2.2\n")
     out = {r["client_ip"]: r["method"] for r in readers.read_w3c_log(spark, str(tmp_path / "a.log")).collect()}

@@ -50,9 +50,12 @@ def _carried_down(batches):
         if rows.empty:
             continue
         first = (rows["file"].iat[0], rows["split"].iat[0])
-        if first == place and pd.isna(rows["head"].iat[0]):
-            rows["head"] = [head, *rows["head"].iloc[1:]]
-        rows["head"] = rows.groupby(["file", "split"], sort=False)["head"].ffill()
+        heads = rows["head"].astype(object)
+        if first == place and pd.isna(heads.iat[0]):
+            heads.iat[0] = head
+        heads = heads.groupby([rows["file"], rows["split"]], sort=False).ffill()
+        # Lines without any header stay text: missing values alone would become a column of numbers, which is no text for Arrow.
+        rows["head"] = pd.Series([None if pd.isna(h) else h for h in heads], index=rows.index, dtype=object)
         place, head = (rows["file"].iat[-1], rows["split"].iat[-1]), rows["head"].iat[-1]
         yield rows[["file", "split", "line", "head", "is_head"]]
 
