@@ -58,6 +58,14 @@ def test_w3c_splits_without_headers_come_in_many_batches(spark, tmp_path, tiny_s
     assert sorted(map(repr, got)) == sorted(map(repr, [(False, None, None)] * early + [(True, *x.split()) for x in lines[early:]]))
 
 
+@pytest.mark.parametrize("early", [0, 400])
+def test_zeek_splits_without_headers_come_in_many_batches(spark, tmp_path, tiny_splits, tiny_batches, early):
+    lines = [f"10.0.{i // 250}.{i % 250}\t{i}" for i in range(1200)]
+    (tmp_path / "conn.log").write_text("\n".join([*lines[:early], "#fields\tip\tn", *lines[early:]]) + "\n")
+    got = [(r["parsed"], *[r["row"][k] for k in ("ip", "n") if r["row"]]) for r in readers.read_zeek(spark, str(tmp_path / "conn.log")).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(False,)] * early + [(True, *x.split("\t")) for x in lines[early:]]))
+
+
 def test_headers_of_equal_length_in_one_file(spark, tmp_path):
     (tmp_path / "a.log").write_text("#Fields: c-ip cs-method\n1.1.1.1 GET\n#Fields: cs-method c-ip\nPOST 2.2.2.2\n")
     out = {r["client_ip"]: r["method"] for r in readers.read_w3c_log(spark, str(tmp_path / "a.log")).collect()}
