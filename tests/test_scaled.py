@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tracewright.functions import values
+from tracewright.functions import text, values
 from tracewright.operators import aggregates, custody, joins, ordered
 from tracewright.plans import stream_plans
 from tracewright.sources import readers
@@ -43,6 +43,40 @@ def test_partners_are_judged_where_they_meet(spark):
     assert sorted(map(tuple, joins.contradiction_partners(again, again).collect())) == got
 
 
+def test_texts_of_partners_are_tokenised_once_and_met_by_their_bits(spark):
+    rows = [("c", f"f{i}", "AB"[i % 2], "t", "/p", "HYPOTHESIS", "T1", f"word{i} other{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, FINDING)
+    plan = plan_of(joins.contradiction_partners(df, df))
+    assert plan.count("regexp_extract_all") == 2
+    # Token lists are compared once at most, after the bits.
+    assert plan.count("array_intersect") == 2 and plan.index("bit_count") < plan.index("array_intersect")
+
+
+def test_bits_never_tell_too_much(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    some = lambda: rng.choice([None, [], rng.sample(words[:12], rng.randrange(13)), rng.sample(words, rng.choice([3, 30, 60, 390])), rng.sample(words, 40)])
+    # A share of exactly the limit is not below it.
+    even = [([f"w{i}" for i in range(u - r)], [f"w{i}" for i in range(u - r - s, u - s)][:s] + [f"x{i}" for i in range(r)]) for u, s, r in ((10 * k, 3 * k, 7 * k) for k in range(1, 20))]
+    pairs = [*even, *((some(), some()) for _ in range(3000))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a array<string>, b array<string>")
+
+    def told(c, few):
+        bits = text.token_bits(F.col(c), few)
+        spare = F.size(c) - sum(map(F.bit_count, bits[1:]), F.bit_count(bits[0]))
+        return {"bits": bits, "size": F.size(c), "spare": F.coalesce(spare, F.lit(0))}
+
+    sure = lambda few: text.bits_below(told("a", few), told("b", few), 0.3)
+    got = {r["i"]: r for r in df.select("i", sure(8).alias("wide"), sure(1).alias("narrow"), text.jaccard_below(F.col("a"), F.col("b"), 0.3).alias("exact")).collect()}
+    settled = 0
+    for i, (a, b) in enumerate(pairs):
+        below = None if a is None or b is None else bool(set(a) | set(b)) and len(set(a) & set(b)) * 10 < len(set(a) | set(b)) * 3
+        assert got[i]["exact"] == below, (a, b)
+        assert not (got[i]["wide"] or got[i]["narrow"]) or below, (a, b)
+        settled += bool(below and got[i]["wide"])
+    assert settled > 0.8 * sum(bool(r["exact"]) for r in got.values())
+
+
 def test_a_header_per_line(spark, tmp_path):
     lines = []
     for i in range(3000):

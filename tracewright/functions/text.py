@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ STOP_WORDS = (
     "entry", "entries", "consistent", "suspicious", "recent", "recently",
 )
 
+# Longs that a token set's bits fill.
+BIT_WORDS = 8
+
 # Chat control tokens and the marker id each one gets.
 CONTROL_TOKENS = (
     ("im_start", "<|im_start|>"),
@@ -54,11 +60,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def token_bits(tokens: Column, words: int = BIT_WORDS) -> list[Column]:
+    """A token array as `words` longs in which each token sets the bit of its hash."""
+    at = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(64 * words)))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def word(i: int) -> Column:
+        own = F.transform(F.filter(at, lambda h: F.shiftright(h, 6) == i), lambda h: F.call_function("shiftleft", one, (h % 64).cast("int")))
+        return F.coalesce(F.aggregate(own, none, lambda x, y: x.bitwiseOR(y)), none)
+
+    return [word(i) for i in range(words)]
+
+
 def jaccard_below(a: Column, b: Column, limit: float) -> Column:
-    """jaccard(a, b) < limit for arrays of distinct tokens: sizes that allow no more are told without looking at the tokens."""
-    few, many = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    near = let(F.size(F.array_intersect(a, b)), lambda shared: shared / (few + many - shared) < limit)
-    return F.when(many == 0, F.lit(1.0 < limit)).when(few / many < limit, F.lit(True)).otherwise(near)
+    """jaccard(a, b) < limit for arrays of distinct tokens; both sizes are compared as whole numbers, so the overlap is made once."""
+    return _few_shared(F.size(F.array_intersect(a, b)), F.size(a), F.size(b), limit)
+
+
+def bits_below(a: dict, b: dict, limit: float) -> Column:
+    """True only if jaccard(a, b) < limit, told from {'bits': token_bits, 'size': tokens, 'spare': tokens less bits set} of both.
+
+    Common tokens set common bits, and a token beyond those is one of the spare ones of its side: a bound that is never too low.
+    """
+    common = reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseAND(y)) for x, y in zip(a["bits"], b["bits"], strict=True)])
+    return _few_shared(common + F.least(a["spare"], b["spare"]), a["size"], b["size"], limit)
+
+
+def _few_shared(shared: Column, size_a: Column, size_b: Column, limit: float) -> Column:
+    # shared / (size_a + size_b - shared) < p / q without a division; two empty arrays agree fully.
+    p, q = Fraction(str(limit)).as_integer_ratio()
+    sizes = size_a + size_b
+    return F.when(sizes == 0, F.lit(1.0 < limit)).otherwise(shared * F.lit(p + q).cast("long") < sizes * F.lit(p).cast("long"))
 
 
 def coverage(expected: Column, candidate: Column) -> Column:
