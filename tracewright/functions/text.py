@@ -82,15 +82,15 @@ def bits_below(a: dict, b: dict, limit: float) -> Column:
 
     Common tokens set common bits, and a token beyond those is one of the spare ones of its side: a bound that is never too low.
     """
-    common = reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseAND(y)) for x, y in zip(a["bits"], b["bits"], strict=True)])
+    common = reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseAND(y)).cast("double") for x, y in zip(a["bits"], b["bits"], strict=True)])
     return _few_shared(common + F.least(a["spare"], b["spare"]), a["size"], b["size"], limit)
 
 
 def _few_shared(shared: Column, size_a: Column, size_b: Column, limit: float) -> Column:
-    # shared / (size_a + size_b - shared) < p / q without a division; two empty arrays agree fully.
+    # shared / (size_a + size_b - shared) < p / q without a division; two empty arrays agree fully. Doubles hold these numbers whole.
     p, q = Fraction(str(limit)).as_integer_ratio()
-    sizes = size_a + size_b
-    return F.when(sizes == 0, F.lit(1.0 < limit)).otherwise(shared * F.lit(p + q).cast("long") < sizes * F.lit(p).cast("long"))
+    sizes = size_a.cast("double") + size_b.cast("double")
+    return F.when(sizes == 0, F.lit(1.0 < limit)).otherwise(shared * F.lit(float(p + q)) < sizes * F.lit(float(p)))
 
 
 def coverage(expected: Column, candidate: Column) -> Column:
